@@ -1,12 +1,15 @@
 """Path, id and URL columns.
 
 Every function takes columns (or column names) and returns a column built from
-JVM expressions only. A regular-expression guard keeps the interpreted fold of
-``clean_path`` away from paths that are already clean, which is nearly all of them.
+JVM expressions only, and names its input as few times as it can: these functions nest,
+and every mention multiplies the plan. A regular-expression guard keeps the interpreted
+fold of ``clean_path`` away from paths that are already clean, which is nearly all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,16 +29,20 @@ def file_ext(path: Column | str) -> Column:
 
 
 def base_name(path: Column | str) -> Column:
-    p = as_col(path)
-    last = F.regexp_extract(p, r"([^/]+)/*\z", 1)
-    return F.coalesce(F.nullif(last, F.lit("")), F.when(p == "", ".").otherwise("/"))
+    """Last path element; ``.`` for an empty path, ``/`` for slashes only."""
+    named = F.regexp_replace(as_col(path), r"^\z", ".")
+    last = F.regexp_replace(named, r"^[\s\S]*/(?=[^/]+/*\z)|(?<=[^/])/+\z", "")
+    return F.regexp_replace(last, r"^/+\z", "/")
 
 
-def clean_path(path: Column | str) -> Column:
-    """Shortest equal path: no empty, ``.`` or resolvable ``..`` element."""
-    p = as_col(path)
-    rooted = p.startswith("/")
-    parts = F.filter(F.split(p, "/"), lambda s: ~s.isin("", "."))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once and named once in the plan."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _resolved(path: Column) -> Column:
+    """Names of a path with ``.``, ``..`` and empty elements resolved, and its root."""
+    rooted = path.startswith("/")
 
     def step(kept: Column, s: Column) -> Column:
         previous = F.get(kept, F.size(kept) - 1)
@@ -46,18 +53,27 @@ def clean_path(path: Column | str) -> Column:
             .otherwise(F.concat(kept, F.array(s)))
         )
 
-    folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    absolute = F.concat(F.when(rooted, "/").otherwise(""), folded)
+    parts = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def clean_path(path: Column | str) -> Column:
+    """Shortest equal path: no empty, ``.`` or resolvable ``..`` element."""
+    p = as_col(path)
     unclean = p.rlike(r"^\z|//|(^|/)\.\.?(/|\z)|[^/]/\z")
-    return F.when(unclean, F.coalesce(F.nullif(absolute, F.lit("")), F.lit("."))).otherwise(p)
+
+    def fold(raw: Column) -> Column:
+        root = F.when(raw.startswith("/"), "/").otherwise("")
+        joined = F.concat(root, F.array_join(_resolved(raw), "/"))
+        return F.regexp_replace(joined, r"^\z", ".")
+
+    return F.when(unclean, _let(p, fold)).otherwise(p)
 
 
 def dir_name(path: Column | str) -> Column:
     """Cleaned path without its last element; ``.`` if nothing is left."""
-    p = as_col(path)
-    head = F.regexp_replace(p, r"/?[^/]*\z", "")
-    none = F.when(p.startswith("/"), "/").otherwise(".")
-    return F.when(head == "", none).otherwise(clean_path(head))
+    above = F.regexp_replace(as_col(path), r"^[^/]*\z", "./x")
+    return clean_path(F.regexp_replace(above, r"(?<=[\s\S])/[^/]*\z|(?<=^/)[^/]*\z", ""))
 
 
 def join_path(*parts: Column | str) -> Column:
@@ -68,23 +84,28 @@ def join_path(*parts: Column | str) -> Column:
 
 def rel_path(base: Column | str, target: Column | str) -> Column:
     """Path from ``base`` to ``target``; ``target`` itself if there is none."""
-    cb, ct = clean_path(base), clean_path(target)
-    b = F.when(cb == ".", F.array().cast("array<string>")).otherwise(
-        F.filter(F.split(cb, "/"), lambda s: s != "")
-    )
-    t = F.when(ct == ".", F.array().cast("array<string>")).otherwise(
-        F.filter(F.split(ct, "/"), lambda s: s != "")
-    )
-    differ = F.array_position(F.zip_with(b, t, lambda x, y: x.eqNullSafe(y)), False).cast("int")
-    shared = F.when(differ == 0, F.size(b)).otherwise(differ - 1)
-    up = F.size(b) - shared
-    steps = F.concat(
-        F.array_repeat(F.lit(".."), up), F.slice(t, shared + 1, F.size(t))
-    )
-    found = F.coalesce(F.nullif(F.array_join(steps, "/"), F.lit("")), F.lit("."))
-    climbs = F.array_contains(F.slice(b, shared + 1, F.size(b)), "..")
-    possible = (cb.startswith("/") == ct.startswith("/")) & ~climbs
-    return F.when(possible, found).otherwise(as_col(target))
+    sides = F.struct(as_col(base).alias("base"), as_col(target).alias("target"))
+
+    def steps(s: Column) -> Column:
+        b, t = s["b"], s["t"]
+        differ = F.array_position(F.zip_with(b, t, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        return _let(
+            F.when(differ == 0, F.size(b)).otherwise(differ - 1),
+            lambda shared: F.when(
+                ~F.array_contains(F.slice(b, shared + 1, F.size(b)), ".."),
+                F.array_join(F.concat(
+                    F.array_repeat(F.lit(".."), F.size(b) - shared), F.slice(t, shared + 1, F.size(t))
+                ), "/"),
+            ),
+        )
+
+    def between(s: Column) -> Column:
+        same_root = s["base"].startswith("/") == s["target"].startswith("/")
+        names = F.struct(_resolved(s["base"]).alias("b"), _resolved(s["target"]).alias("t"))
+        found = F.when(same_root, F.regexp_replace(_let(names, steps), r"^\z", "."))
+        return F.coalesce(found, s["target"])
+
+    return _let(sides, between)
 
 
 def document_id(path: Column | str) -> Column:
@@ -106,15 +127,13 @@ def sanitize_path(path: Column | str) -> Column:
 
 def path_to_url(path: Column | str) -> Column:
     p = F.regexp_replace(as_col(path), "^/", "")
-    return F.when(base_name(p) == "index.html", dir_name(p)).otherwise(F.concat(p, F.lit(".html")))
+    return F.when(p.rlike(r"(^|/)index\.html/*\z"), dir_name(p)).otherwise(F.concat(p, F.lit(".html")))
 
 
 def up_levels(path: Column | str) -> Column:
     """``../`` once per directory level above a sanitised path."""
-    parent = dir_name(sanitize_path(path))
-    return F.when(parent == ".", "").otherwise(
-        F.repeat(F.lit("../"), F.length(F.regexp_replace(parent, "[^/]", "")) + 1)
-    )
+    parent = F.regexp_replace(dir_name(sanitize_path(path)), r"^\.\z", "")
+    return F.regexp_replace(F.regexp_replace(parent, r"^/\z", "//"), r"[^/]+(/|\z)|/", "../")
 
 
 def relative_url(from_path: Column | str, to_path: Column | str) -> Column:

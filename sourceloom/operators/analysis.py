@@ -109,9 +109,11 @@ def _parse(responses: DataFrame, schema: T.StructType) -> DataFrame:
     wrapped = F.concat(F.lit('{"answer":'), F.coalesce("response", F.lit("")), F.lit("}"))
     outer = T.StructType().add("answer", schema).add("_corrupt", T.StringType())
     read = F.from_json(wrapped, outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return responses.withColumn("__read", read).withColumn(
-        "ok", F.isnull("__read._corrupt")
-    ).withColumn("parsed", F.col("__read.answer")).drop("__read")
+    # One-row explode: filters on the result stay above it, so each answer is parsed once.
+    once = responses.select("*", F.explode(F.array(read)).alias("__read"))
+    return once.select(
+        *responses.columns, F.isnull("__read._corrupt").alias("ok"), F.col("__read.answer").alias("parsed")
+    )
 
 
 def _empty(kind: T.DataType) -> Column:

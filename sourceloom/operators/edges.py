@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.labels import edge_key, relation_type
 from sourceloom.functions.paths import dir_name, join_path
-from sourceloom.operators.skew import DEFAULT, SkewPolicy, skew_join, text_parts
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, skew_join, text_parts
 
 
 def known_paths(paths: DataFrame) -> DataFrame:
@@ -181,12 +181,12 @@ def resolve_targets(edges: DataFrame, docs: DataFrame, policy: SkewPolicy = DEFA
 
 
 def adjacency(
-    relations: DataFrame, lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT
+    relations: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     """``from, seq, to`` rows as ordered target lists per ``from``, in bounded parts."""
     return text_parts(
         relations, ["from"], ["seq"], line="to", out="targets", sep=",",
-        lines_per_part=lines_per_part, policy=policy,
+        part_bytes=part_bytes, policy=policy,
     )
 
 

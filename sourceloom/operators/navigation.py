@@ -50,7 +50,7 @@ def directory_nav(docs: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
         F.when(slashes == 0, F.col("first_path")).otherwise(title).alias("sort_key"),
     )
     order = ["sort_key", "kind", "node_path", "first_path"]
-    ranked = with_rank(placed, ["parent_path"], order, "ord", policy).withColumn(
+    ranked = with_rank(placed, ["parent_path"], order, "ord", policy=policy).withColumn(
         "ord", F.col("ord") + F.when(F.col("depth") == 0, 2).otherwise(0)
     )
     fixed = fixed_rows(docs.sparkSession, NAV_COLUMNS, [
@@ -66,13 +66,13 @@ def package_nav(comps: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
     ``comps`` has ``path, name``. The Packages entry exists only if there are components.
     """
     owned = comps.select("path", "name", package_of("path").alias("package"))
-    members = with_rank(owned, ["package"], ["name", "path"], "ord", policy).select(
+    members = with_rank(owned, ["package"], ["name", "path"], "ord", policy=policy).select(
         F.concat(F.lit("packages/"), "package", F.lit("/"), "path").alias("node_path"),
         F.concat(F.lit("packages/"), "package").alias("parent_path"),
         F.col("name").alias("title"), component_url("path", "name").alias("url"),
         F.lit(2).alias("depth"), "ord",
     )
-    packages = with_rank(owned.select("package").distinct(), [], ["package"], "ord", policy).select(
+    packages = with_rank(owned.select("package").distinct(), [], ["package"], "ord", policy=policy).select(
         F.concat(F.lit("packages/"), "package").alias("node_path"),
         F.lit("packages").alias("parent_path"), base_name("package").alias("title"),
         F.lit("").alias("url"), F.lit(1).alias("depth"), "ord",

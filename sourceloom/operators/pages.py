@@ -21,24 +21,26 @@ from sourceloom.functions.paths import (
     up_levels,
 )
 from sourceloom.operators.project import package_of
-from sourceloom.operators.skew import DEFAULT, SkewPolicy, fixed_rows, skew_join, text_parts
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, fixed_rows, skew_join, text_parts
 
 PAGE_COLUMNS = ["out_path", "title", "part", "body_md"]
 
 
 def module_pages(
-    docs: DataFrame, refs: DataFrame, lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT
+    docs: DataFrame, refs: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     """Content, then links to what a document depends on and to what uses it.
 
     ``docs`` has ``id, path, content``; ``refs`` distinct ``source_id, target_id, type``.
     Edges to unknown documents give no link. Only narrow link rows are ranked; the content
-    joins part 0 at the end, so it crosses the network once.
+    meets part 0 in one join on (page, part), where a page of many parts is no hot key.
     """
-    page = docs.select(F.col("id").alias("page_id"), up_levels("path").alias("up"))
+    clean = sanitize_path("path")
+    page = docs.select(
+        F.col("id").alias("page_id"), up_levels("path").alias("up"), clean.alias("title")
+    )
     far = docs.select(
-        F.col("id").alias("far_id"), F.col("path").alias("far_path"),
-        path_to_url(sanitize_path("path")).alias("far_url"),
+        F.col("id").alias("far_id"), F.col("path").alias("far_path"), path_to_url(clean).alias("far_url")
     )
     ends = refs.select("type", F.explode(F.array(
         F.struct(F.lit(1).alias("section"), F.col("source_id").alias("page_id"), F.col("target_id").alias("far_id")),
@@ -46,24 +48,29 @@ def module_pages(
     )).alias("end")).select("end.*", "type")
     links = skew_join(skew_join(ends, far, ["far_id"], "inner", policy), page, ["page_id"], "inner", policy)
     link = F.concat(F.lit("- ["), "far_path", F.lit("]("), "up", "far_url", F.lit(")\n"))
-    lines = links.select("page_id", "section", F.lit(1).alias("kind"), "far_id", "type", link.alias("line"))
+    lines = links.select(
+        "page_id", "title", "section", F.lit(1).alias("kind"), "far_id", "type", link.alias("line")
+    )
     heading = F.when(F.col("section") == 1, "\n\n## Dependencies\n\n").otherwise("\n\n## Used By\n\n")
-    headings = lines.select("page_id", "section").distinct().select(
-        "page_id", "section", F.lit(0).alias("kind"), F.lit("").alias("far_id"),
+    headings = lines.select("page_id", "title", "section").distinct().select(
+        "page_id", "title", "section", F.lit(0).alias("kind"), F.lit("").alias("far_id"),
         F.lit("").alias("type"), heading.alias("line"),
     )
     parts = text_parts(
         lines.unionByName(headings), ["page_id"], ["section", "kind", "far_id", "type"],
-        out="links", lines_per_part=lines_per_part, policy=policy,
+        out="links", keep=("title",), sized=ends, part_bytes=part_bytes,
+        policy=policy,
+    )
+    first = docs.select(
+        F.col("id").alias("page_id"), F.lit(0).cast("bigint").alias("part"),
+        clean.alias("page_title"), F.coalesce("content", F.lit("")).alias("content"),
+    )
+    title = F.coalesce("page_title", "title")
+    body = F.concat(F.coalesce("content", F.lit("")), F.coalesce("links", F.lit("")))
+    return first.join(parts, ["page_id", "part"], "full").select(
+        F.concat(title, F.lit(".html")).alias("out_path"), title.alias("title"), "part",
+        body.alias("body_md"),
     )
-    clean = sanitize_path("path")
-    shown = docs.select(
-        F.col("id").alias("page_id"), F.concat(clean, F.lit(".html")).alias("out_path"),
-        clean.alias("title"), F.coalesce("content", F.lit("")).alias("content"),
-    ).join(parts, "page_id", "left")
-    part = F.coalesce("part", F.lit(0))
-    body = F.concat(F.when(part == 0, F.col("content")).otherwise(""), F.coalesce("links", F.lit("")))
-    return shown.select("out_path", "title", part.cast("bigint").alias("part"), body.alias("body_md"))
 
 
 def overview(docs: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def overview(docs: DataFrame) -> DataFrame:
     return first.select(F.coalesce("c", F.lit("")).alias("overview"))
 
 
-def index_page(comps: DataFrame, lines_per_part: int = 200, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def index_page(comps: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT) -> DataFrame:
     """List of components (``path, name, description``) by package."""
     owned = comps.withColumn("package", package_of("path"))
     url = component_url("path", "name")
@@ -99,13 +106,13 @@ def index_page(comps: DataFrame, lines_per_part: int = 200, policy: SkewPolicy =
     )
     return text_parts(
         lines, ["out_path"], ["place", "package", "kind", "name", "path"],
-        lines_per_part=lines_per_part, policy=policy,
+        part_bytes=part_bytes, policy=policy,
     ).select("out_path", F.lit("Overview").alias("title"), "part", "body_md")
 
 
 def component_pages(
     comps: DataFrame, files: DataFrame, references: DataFrame,
-    lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Title, type, overview, package, files and dependencies of each component.
 
@@ -145,18 +152,21 @@ def component_pages(
     dep_head = line(having, 3, zero, F.lit("## Dependencies\n\n"))
     dep_end = line(having, 5, zero, F.lit("\n"))
     lines = file_lines.unionByName(files_end).unionByName(dep_head).unionByName(dep_lines).unionByName(dep_end)
+    head = skew_join(named, shared, ["out_path"], "inner", policy)
+    lines = skew_join(lines, head, ["path"], "inner", policy)
     parts = text_parts(
-        lines, ["path"], ["section", "pos"], out="rest", lines_per_part=lines_per_part, policy=policy
+        lines, ["path"], ["section", "pos"], out="rest", keep=("name", "out_path", "collision"),
+        part_bytes=part_bytes, policy=policy,
     )
-    shown = comps.select("path", "name", component_url("path", "name").alias("out_path"), text.alias("text"))
-    body = F.concat(F.when(F.col("part") == 0, F.col("text")).otherwise(""), "rest")
-    return shown.join(parts, "path").join(shared, "out_path").select(
+    first = comps.select("path", F.lit(0).cast("bigint").alias("part"), text.alias("text"))
+    body = F.concat(F.coalesce("text", F.lit("")), "rest")
+    return parts.join(first, ["path", "part"], "left").select(
         "path", "out_path", F.col("name").alias("title"), "part", body.alias("body_md"), "collision"
     )
 
 
 def diagram(
-    nodes: DataFrame, edges: DataFrame, lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT
+    nodes: DataFrame, edges: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     """Diagram text in parts: nodes ``path, name``, then edges ``source, target, type``."""
     def ident(c: str) -> Column:
@@ -179,7 +189,7 @@ def diagram(
     )
     lines = head.unionByName(node_lines).unionByName(edge_lines)
     return text_parts(
-        lines, [], ["kind", "k1", "k2", "k3"], out="diagram", lines_per_part=lines_per_part, policy=policy
+        lines, [], ["kind", "k1", "k2", "k3"], out="diagram", part_bytes=part_bytes, policy=policy
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.paths import as_col, base_name, dir_name, rel_path, walk_key
-from sourceloom.operators.skew import DEFAULT, SkewPolicy, skew_join, text_parts, with_rank
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, skew_join, text_parts, with_rank
 
 # Path suffix -> project type, and path suffix -> display language.
 PROJECT_SUFFIXES = {"go.mod": "go-module", ".sln": "dotnet-solution"}
@@ -81,7 +81,7 @@ def components(files: DataFrame, root: str) -> DataFrame:
 
 
 def component_files(
-    files: DataFrame, root: str, lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT
+    files: DataFrame, root: str, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     """Files of each component in walk order, as text parts of bounded size."""
     lines = with_component(files.select("path"), root).select(
@@ -89,7 +89,7 @@ def component_files(
     )
     return text_parts(
         lines, ["comp_path"], ["key"], out="files", sep="\n",
-        lines_per_part=lines_per_part, policy=policy,
+        part_bytes=part_bytes, policy=policy,
     )
 
 
@@ -118,11 +118,11 @@ def component_references(files: DataFrame, analyses: DataFrame, root: str) -> Da
 
 
 def component_reference_parts(
-    references: DataFrame, lines_per_part: int = 1000, policy: SkewPolicy = DEFAULT
+    references: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     return text_parts(
         references, ["comp_path"], ["first_key", "first_pos"], line="target", out="references",
-        sep=",", lines_per_part=lines_per_part, policy=policy,
+        sep=",", part_bytes=part_bytes, policy=policy,
     )
 
 
@@ -175,5 +175,5 @@ def package_of(path: Column | str) -> Column:
 def by_package(comps: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
     """Components with their package and their place in it by name (then path)."""
     return with_rank(
-        comps.withColumn("package", package_of("path")), ["package"], ["name", "path"], "ord", policy
+        comps.withColumn("package", package_of("path")), ["package"], ["name", "path"], "ord", policy=policy
     )

@@ -3,7 +3,7 @@
 A group is *hot* if it has more rows than ``limit = max(max_rows, total / (4 * P))``
 with P shuffle partitions. At most ``4 * P`` groups can be hot, whatever the data, so a
 table with one row per hot group has a proven size bound and may be broadcast. Nothing
-is dropped or capped: hot groups are split into ranges (ranks) or salted (joins).
+is dropped or capped: hot groups are cut into ranges (ranks) or salted (joins).
 
 Group sizes cost one narrow, pre-aggregated pass. It is skipped when all scanned input
 fits into one scan split, where no group can outgrow a task.
@@ -11,6 +11,7 @@ fits into one scan split, where no group can outgrow a task.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,40 +19,60 @@ from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 1_000_000
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
+PART_BYTES = 1024 * 1024
 _SAMPLES_PER_RANGE = 20
 _HASH_SPACE = 1 << 30
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
+    """``salt_joins``: None leaves hot join keys to adaptive execution where that is on."""
+
     max_rows: int = MAX_GROUP_ROWS
     small_input: int = SMALL_INPUT_BYTES
+    salt_joins: bool | None = None
 
 
 DEFAULT = SkewPolicy()
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of all leaf relations as the optimiser knows them; very large if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while leaves.hasNext():
-            total += int(leaves.next().stats().sizeInBytes().toString())
-        return total
-    except Exception:  # no JVM handle: take the checked path
+    """Bytes of all relations a plan starts from; very large if they cannot be seen."""
+    if not hasattr(df, "_jdf"):
         return 1 << 62
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-def _hot_groups(df: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[DataFrame, int] | None:
+    Only a local session without that setting gets a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _hot_groups(sized: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[DataFrame, int] | None:
     """Hot groups with their row counts and the limit, or None if there are none."""
-    if input_bytes(df) <= policy.small_input:
+    if input_bytes(sized) <= policy.small_input:
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     top = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
     if top.total is None:
         return None
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = max(policy.max_rows, -(-top.total // (4 * partitions)))
     if top.largest <= limit:
         return None
@@ -63,23 +84,34 @@ def with_rank(
     group: list[str],
     order: list[str],
     out: str = "rank",
+    weight: Column | None = None,
+    sized: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """1-based row number (bigint) per group in ascending order.
 
-    ``order`` must be unique within a group. A hot group is cut into ranges of the order
-    key, each ranked in its own task, and every range is shifted by the rows before it.
-    The cuts come from a hash sample, which only decides where ranges meet.
+    With ``weight`` the sum of the weights before a row is added as ``<out>_before``.
+    ``order`` must be unique within a group. ``sized`` may give rows with the group
+    columns that are cheaper to count than ``df`` and at least as many.
+
+    A hot group is cut into ranges of the order key. Each range is ranked in its own task
+    and shifted by what lies before it. The cuts come from a hash sample, which only
+    decides where ranges meet: every row is ranked.
     """
     keys = group or ["__all"]
     rows = df if group else df.withColumn("__all", F.lit(0))
-    hot = _hot_groups(rows, keys, policy)
+    counted_rows = rows if sized is None else sized if group else sized.withColumn("__all", F.lit(0))
+    rows = rows.withColumn("__w", F.lit(0) if weight is None else weight)
+    before = [] if weight is None else [f"{out}_before"]
+    hot = _hot_groups(counted_rows, keys, policy)
     if hot is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        ranked = rows.withColumn(out, F.row_number().over(window).cast("bigint"))
-        return ranked if group else ranked.drop("__all")
+        ranked = _rank_within(rows, keys, order)
+        return ranked.select(
+            *df.columns, F.col("__rank").alias(out), *[F.col("__before").alias(c) for c in before]
+        )
 
     groups, limit = hot
+    rows = cut_lineage(rows)
     key_of = F.struct(*[F.col(c) for c in order])
     groups = groups.withColumn("__cuts", F.ceil(F.col("__n") / limit))
     share = _SAMPLES_PER_RANGE * F.col("__cuts") / F.col("__n")
@@ -101,18 +133,29 @@ def with_rank(
         "__range", _range_of(F.col("__bounds"), key_of)
     )
     counted = placed.where(F.col("__bounds").isNotNull()).groupBy(*keys, "__range").agg(
-        F.count(F.lit(1)).alias("__n")
+        F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__w")
     )
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counted.select(
-        *keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")
+        *keys, "__range",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"),
+        F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__shift_w"),
     )
-    window = Window.partitionBy(*keys, "__range").orderBy(*order)
-    ranked = placed.withColumn("__rank", F.row_number().over(window)).join(
+    ranked = _rank_within(placed, [*keys, "__range"], order).join(
         F.broadcast(shifts), [*keys, "__range"], "left"
     )
     return ranked.select(
-        *df.columns, (F.col("__rank") + F.coalesce("__shift", F.lit(0))).cast("bigint").alias(out)
+        *df.columns,
+        (F.col("__rank") + F.coalesce("__shift", F.lit(0))).alias(out),
+        *[(F.col("__before") + F.coalesce("__shift_w", F.lit(0))).alias(c) for c in before],
+    )
+
+
+def _rank_within(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__rank", F.row_number().over(window).cast("bigint")).withColumn(
+        "__before", F.coalesce(F.sum("__w").over(earlier), F.lit(0)).cast("bigint")
     )
 
 
@@ -133,6 +176,11 @@ def _range_of(bounds: Column, key: Column) -> Column:
     return F.when(bounds.isNotNull(), found).otherwise(0)
 
 
+def _adaptive_splits(spark: SparkSession) -> bool:
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(n).lower() == "true" for n in names)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -142,13 +190,17 @@ def skew_join(
 ) -> DataFrame:
     """Equi join (``inner``, ``left``, ``left_semi``) for a left side with hot keys.
 
-    Only hot keys are salted: their left rows are spread over ``ceil(rows / limit)`` salts
-    and only the matching right rows are repeated, so each task gets a bounded share.
-    Each left row has one salt, so outer and semi results stay whole.
+    With adaptive skew joins on, Spark splits the hot partitions it meets and no extra
+    pass is needed. Otherwise hot keys are counted and salted: their left rows are spread
+    over ``ceil(rows / limit)`` salts and only the matching right rows are repeated. Each
+    left row has one salt, so outer and semi results stay whole.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"skew_join does not support {how!r}")
-    hot = _hot_groups(left, on, policy)
+    salt = policy.salt_joins
+    if salt is None:
+        salt = not _adaptive_splits(left.sparkSession)
+    hot = _hot_groups(left, on, policy) if salt else None
     if hot is None:
         return left.join(right, on, how)
     groups, limit = hot
@@ -167,21 +219,25 @@ def text_parts(
     line: str = "line",
     out: str = "body_md",
     sep: str = "",
-    lines_per_part: int = 1000,
+    keep: tuple[str, ...] = (),
+    sized: DataFrame | None = None,
+    part_bytes: int = PART_BYTES,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
-    """Ordered lines of a page as rows ``(page..., part, text)``.
+    """Ordered lines of a page as rows ``page..., keep..., part, text``.
 
-    A page has as many parts as it needs, numbered from 0; joined in order they are the
-    page. No row holds more than ``lines_per_part`` lines, however large the page is.
+    A line belongs to part ``floor(bytes before it / part_bytes)``, one byte added per
+    line. Joined in order the parts are the page. No row is larger than ``part_bytes``
+    and one line, however large the page. ``keep`` columns depend on the page columns.
     """
-    ranked = with_rank(lines, page, order, "__rank", policy).select(
-        *page,
-        F.floor((F.col("__rank") - 1) / lines_per_part).cast("bigint").alias("part"),
-        F.struct("__rank", F.col(line).alias("__line")).alias("__item"),
+    weight = F.octet_length(F.col(line)) + 1
+    ranked = with_rank(lines, page, order, "__r", weight, sized, policy).select(
+        *page, *keep,
+        F.floor(F.col("__r_before") / part_bytes).cast("bigint").alias("part"),
+        F.struct("__r", F.col(line).alias("__line")).alias("__item"),
     )
     ordered = F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["__line"])
-    return ranked.groupBy(*page, "part").agg(F.array_join(ordered, sep).alias(out))
+    return ranked.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
 
 
 def fixed_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:

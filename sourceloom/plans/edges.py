@@ -120,9 +120,8 @@ def relation_types(spark, sf):
 
 @query("d7_adjacency", f"""
 with e as ({t.EDGES}),
-r as (select source_id, target_id, row_number() over (partition by source_id
-        order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn from e)
-select source_id, (rn - 1) // 1000 as part, string_agg(target_id, ',' order by rn) as targets from r group by 1, 2""")
+r as (select source_id, target_id, (l_orderkey, l_linenumber, l_partkey, l_suppkey) as seq from e)
+{t.sql_parts('source_id', 'target_id', 'seq', 'r', 'targets', "','")}""")
 def adjacency(spark, sf):
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = t.edges(spark, sf).select(

@@ -54,19 +54,17 @@ def edge_counts(spark, sf):
 @query("b5_dependency_lists", f"""
 with e as ({t.EDGES}), k as ({KEYED}), d as ({t.DOCS}),
 r as (
-  select k.source_id, a.path as source_path,
-         k.type || ' ' || coalesce(b.path, '') || ' -> ' || k.target_id as line,
-         row_number() over (partition by k.source_id order by k.target_id, k.type) as rn
+  select k.source_id, a.path as source_path, k.target_id, k.type,
+         k.type || ' ' || coalesce(b.path, '') || ' -> ' || k.target_id as line
   from k join d a on a.id = k.source_id left join d b on b.id = k.target_id)
-select source_id, source_path, (rn - 1) // 1000 as part, string_agg(line, chr(10) order by rn) as deps
-from r group by all""")
+{t.sql_parts('source_id, source_path', 'line', 'target_id, type', 'r', 'deps', 'chr(10)')}""")
 def dependency_lists(spark, sf):
     refs = normalised_edges(t.edges(spark, sf))
     rows = op.dependency_rows(t.documents(spark, sf), refs)
     line = F.concat("type", F.lit(" "), F.coalesce("target_path", F.lit("")), F.lit(" -> "), "target_id")
     return text_parts(
-        rows.withColumn("line", line), ["source_id", "source_path"], ["target_id", "type"],
-        out="deps", sep="\n",
+        rows.withColumn("line", line), ["source_id"], ["target_id", "type"],
+        out="deps", sep="\n", keep=("source_path",), sized=refs,
     )
 
 

@@ -15,13 +15,6 @@ from sourceloom.plans.lookups import KEYED
 from sourceloom.plans.registry import query
 
 
-def _parts(line_order: str, page: str, source: str, size: int) -> str:
-    """Numbered lines of a page cut into parts."""
-    return f"""
-select {page}, (rn - 1) // {size} as part, string_agg(line, '' order by rn) as body
-from (select *, row_number() over (partition by {page} order by {line_order}) as rn from {source}) group by {page}, part"""
-
-
 GRAPH = f"e as ({t.EDGES}), k as ({KEYED}), d as ({t.DOCS})"
 
 
@@ -33,7 +26,7 @@ with {GRAPH}, l as (
     '  ' || replace(a.path, '/', '_') || ' --> |' || k.type || '| ' || replace(b.path, '/', '_') || chr(10)
     from k join d a on a.id = k.source_id join d b on b.id = k.target_id
   union all select 1, 3, '', '', '', '```'),
-x as ({_parts('kind, k1, k2, k3', 'pg', 'l', 1000)})
+x as ({t.sql_parts('pg', 'line', 'kind, k1, k2, k3', 'l', 'body')})
 select part, body as diagram from x""")
 def diagram(spark, sf):
     docs = t.documents(spark, sf)
@@ -102,7 +95,7 @@ l as (
          case when package = 'root' then '### Root Package' else '### Package ' || package end || chr(10) || chr(10) from g
   union all select 'index.html', 1, package, 1, name, path, '- [' || name || '](' || url || ') - ' || description || chr(10) from c
   union all select 'index.html', 1, package, 2, '', '', chr(10) from g),
-index_parts as ({_parts('place, package, kind, name, path', 'out_path', 'l', 200)})"""
+index_parts as ({t.sql_parts('out_path', 'line', 'place, package, kind, name, path', 'l', 'body')})"""
 
 
 @query("j4_index_page", f"with {INDEX} select out_path, 'Overview' as title, part, body as body_md from index_parts")
@@ -153,7 +146,7 @@ mh as (
          chr(10) || chr(10) || case section when 1 then '## Dependencies' else '## Used By' end || chr(10) || chr(10) as line
   from ml),
 mu as (select * from ml union all select * from mh),
-mp as ({_parts('section, kind, far_id, type', 'page_id', 'mu', 1000)}),
+mp as ({t.sql_parts('page_id', 'line', 'section, kind, far_id, type', 'mu', 'body')}),
 module_parts as (
   select path || '.html' as out_path, path as title, coalesce(part, 0) as part,
          case when coalesce(part, 0) = 0 then content else '' end || coalesce(body, '') as body_md

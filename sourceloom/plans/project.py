@@ -59,9 +59,8 @@ def components(spark, sf):
 
 
 @query("c4_component_files", f"""
-{WITH}, {COMP}, r as (select *, row_number() over (partition by comp_path order by walk) as rn from c)
-select comp_path, (rn - 1) // 1000 as part, string_agg(path, chr(10) order by rn) as files
-from r group by 1, 2""")
+{WITH}, {COMP}
+{t.sql_parts('comp_path', 'path', 'walk', 'c', 'files', 'chr(10)')}""")
 def component_files(spark, sf):
     return op.component_files(_files(spark, sf), ROOT)
 
