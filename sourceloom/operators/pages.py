@@ -48,18 +48,11 @@ def module_pages(
     )).alias("end")).select("end.*", "type")
     links = skew_join(skew_join(ends, far, ["far_id"], "inner", policy), page, ["page_id"], "inner", policy)
     link = F.concat(F.lit("- ["), "far_path", F.lit("]("), "up", "far_url", F.lit(")\n"))
-    lines = links.select(
-        "page_id", "title", "section", F.lit(1).alias("kind"), "far_id", "type", link.alias("line")
-    )
+    lines = links.select("page_id", "title", "section", "far_id", "type", link.alias("line"))
     heading = F.when(F.col("section") == 1, "\n\n## Dependencies\n\n").otherwise("\n\n## Used By\n\n")
-    headings = lines.select("page_id", "title", "section").distinct().select(
-        "page_id", "title", "section", F.lit(0).alias("kind"), F.lit("").alias("far_id"),
-        F.lit("").alias("type"), heading.alias("line"),
-    )
     parts = text_parts(
-        lines.unionByName(headings), ["page_id"], ["section", "kind", "far_id", "type"],
-        out="links", keep=("title",), sized=ends, part_bytes=part_bytes,
-        policy=policy,
+        lines, ["page_id"], ["section", "far_id", "type"], out="links", keep=("title",),
+        heading=heading, sized=ends, part_bytes=part_bytes, policy=policy,
     )
     first = docs.select(
         F.col("id").alias("page_id"), F.lit(0).cast("bigint").alias("part"),

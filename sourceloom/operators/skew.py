@@ -85,12 +85,14 @@ def with_rank(
     order: list[str],
     out: str = "rank",
     weight: Column | None = None,
+    section: str | None = None,
     sized: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """1-based row number (bigint) per group in ascending order.
 
-    With ``weight`` the sum of the weights before a row is added as ``<out>_before``.
+    With ``weight`` the sum of the weights before a row is added as ``<out>_before``. With
+    ``section``, the first order column, ``<out>_opens`` marks the first row of a section.
     ``order`` must be unique within a group. ``sized`` may give rows with the group
     columns that are cheaper to count than ``df`` and at least as many.
 
@@ -102,13 +104,21 @@ def with_rank(
     rows = df if group else df.withColumn("__all", F.lit(0))
     counted_rows = rows if sized is None else sized if group else sized.withColumn("__all", F.lit(0))
     rows = rows.withColumn("__w", F.lit(0) if weight is None else weight)
-    before = [] if weight is None else [f"{out}_before"]
+    rows = rows.withColumn("__sec", F.lit(0) if section is None else F.col(section))
+
+    def finish(ranked: DataFrame, shift: Column, shift_w: Column, last: Column) -> DataFrame:
+        added = [(F.col("__rank") + shift).alias(out)]
+        if weight is not None:
+            added.append((F.col("__before") + shift_w).alias(f"{out}_before"))
+        if section is not None:
+            previous = F.coalesce(F.col("__prev"), last)
+            added.append((~previous.eqNullSafe(F.col("__sec"))).alias(f"{out}_opens"))
+        return ranked.select(*df.columns, *added)
+
     hot = _hot_groups(counted_rows, keys, policy)
     if hot is None:
-        ranked = _rank_within(rows, keys, order)
-        return ranked.select(
-            *df.columns, F.col("__rank").alias(out), *[F.col("__before").alias(c) for c in before]
-        )
+        none = F.lit(0).cast("bigint")
+        return finish(_rank_within(rows, keys, order), none, none, F.lit(None))
 
     groups, limit = hot
     rows = cut_lineage(rows)
@@ -133,29 +143,31 @@ def with_rank(
         "__range", _range_of(F.col("__bounds"), key_of)
     )
     counted = placed.where(F.col("__bounds").isNotNull()).groupBy(*keys, "__range").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__w")
+        F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__w"), F.max("__sec").alias("__sec")
     )
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counted.select(
         *keys, "__range",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"),
         F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__shift_w"),
+        F.max("__sec").over(earlier).alias("__last"),
     )
     ranked = _rank_within(placed, [*keys, "__range"], order).join(
         F.broadcast(shifts), [*keys, "__range"], "left"
     )
-    return ranked.select(
-        *df.columns,
-        (F.col("__rank") + F.coalesce("__shift", F.lit(0))).alias(out),
-        *[(F.col("__before") + F.coalesce("__shift_w", F.lit(0))).alias(c) for c in before],
+    return finish(
+        ranked, F.coalesce("__shift", F.lit(0)), F.coalesce("__shift_w", F.lit(0)), F.col("__last")
     )
 
 
 def _rank_within(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__rank", F.row_number().over(window).cast("bigint")).withColumn(
-        "__before", F.coalesce(F.sum("__w").over(earlier), F.lit(0)).cast("bigint")
+    return rows.select(
+        "*",
+        F.row_number().over(window).cast("bigint").alias("__rank"),
+        F.coalesce(F.sum("__w").over(earlier), F.lit(0)).cast("bigint").alias("__before"),
+        F.lag("__sec").over(window).alias("__prev"),
     )
 
 
@@ -220,6 +232,7 @@ def text_parts(
     out: str = "body_md",
     sep: str = "",
     keep: tuple[str, ...] = (),
+    heading: Column | None = None,
     sized: DataFrame | None = None,
     part_bytes: int = PART_BYTES,
     policy: SkewPolicy = DEFAULT,
@@ -229,15 +242,33 @@ def text_parts(
     A line belongs to part ``floor(bytes before it / part_bytes)``, one byte added per
     line. Joined in order the parts are the page. No row is larger than ``part_bytes``
     and one line, however large the page. ``keep`` columns depend on the page columns.
+    ``heading`` is set before the first line of each value of the first order column.
     """
-    weight = F.octet_length(F.col(line)) + 1
-    ranked = with_rank(lines, page, order, "__r", weight, sized, policy).select(
+    ranked = with_rank(
+        lines, page, order, "__r", F.octet_length(F.col(line)) + 1,
+        None if heading is None else order[0], sized, policy,
+    )
+    text = F.col(line)
+    if heading is not None:
+        text = F.concat(F.when(F.col("__r_opens"), heading).otherwise(""), text)
+    items = ranked.select(
         *page, *keep,
         F.floor(F.col("__r_before") / part_bytes).cast("bigint").alias("part"),
-        F.struct("__r", F.col(line).alias("__line")).alias("__item"),
+        F.struct("__r", text.alias("__line")).alias("__item"),
     )
     ordered = F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["__line"])
-    return ranked.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
+    return items.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, for costly work per row.
+
+    An input within one scan split is read by very few tasks. Anything larger has tasks
+    enough and is left where it is.
+    """
+    if input_bytes(df) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def fixed_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.operators.skew import PART_BYTES
+from sourceloom.operators.skew import PART_BYTES, spread
 from sourceloom.schemas import COMPONENTS, RELATIONS
 
 # Files: extension by language; .CS tests lower-casing, .txt is no known kind.
@@ -166,7 +166,7 @@ def analysis_responses(spark: SparkSession, sf: str) -> DataFrame:
         F.array("l_returnflag", "l_linestatus").alias("insights"),
     ))
     path = F.concat_ws("/", F.lit("o"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         path.alias("path"),
         F.when(F.col("l_orderkey") % 7 == 0, F.left(answer, F.length(answer) - 3)).otherwise(answer).alias("response"),
     )
@@ -260,10 +260,12 @@ def sql_key(source: str, target: str, kind: str) -> str:
     return f"substr(sha256({source} || ':' || {target} || ':' || {kind}), 1, 32)"
 
 
-def sql_parts(page: str, line: str, order: str, source: str, out: str, sep: str = "''") -> str:
+def sql_parts(
+    page: str, line: str, order: str, source: str, out: str, sep: str = "''", text: str | None = None
+) -> str:
     """Ordered lines of a page cut into parts by the bytes before them."""
     return f"""
-select {page}, part, string_agg({line}, {sep} order by {order}) as {out}
+select {page}, part, string_agg({text or line}, {sep} order by {order}) as {out}
 from (select *, coalesce(sum(strlen({line}) + 1) over (partition by {page} order by {order}
         rows between unbounded preceding and 1 preceding), 0)::bigint // {PART_BYTES} as part from {source})
 group by {page}, part"""

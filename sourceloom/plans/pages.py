@@ -138,15 +138,14 @@ ends as (
   select 1 as section, source_id as page_id, target_id as far_id, type from k
   union all select 2, target_id, source_id, type from k),
 ml as (
-  select page_id, section, 1 as kind, far_id, ends.type as type, '- [' || b.path || ']('
+  select page_id, section, far_id, ends.type as type, '- [' || b.path || ']('
          || repeat('../', length(a.path) - length(replace(a.path, '/', ''))) || b.path || '.html)' || chr(10) as line
   from ends join d a on a.id = page_id join d b on b.id = far_id),
 mh as (
-  select distinct page_id, section, 0 as kind, '' as far_id, '' as type,
-         chr(10) || chr(10) || case section when 1 then '## Dependencies' else '## Used By' end || chr(10) || chr(10) as line
-  from ml),
-mu as (select * from ml union all select * from mh),
-mp as ({t.sql_parts('page_id', 'line', 'section, kind, far_id, type', 'mu', 'body')}),
+  select *, case when row_number() over (partition by page_id, section order by far_id, type) > 1 then ''
+         else chr(10) || chr(10) || case section when 1 then '## Dependencies' else '## Used By' end || chr(10) || chr(10)
+         end as head from ml),
+mp as ({t.sql_parts('page_id', 'line', 'section, far_id, type', 'mh', 'body', text='head || line')}),
 module_parts as (
   select path || '.html' as out_path, path as title, coalesce(part, 0) as part,
          case when coalesce(part, 0) = 0 then content else '' end || coalesce(body, '') as body_md
