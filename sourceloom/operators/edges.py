@@ -103,34 +103,39 @@ def implements_pairs(sides: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFram
     compared with sets holding its rarest method. Interfaces without methods match every
     struct of their directory and skip the comparison.
     """
-    keyed = sides.withColumn("set_id", F.sha2(F.to_json(F.struct("methods")), 256))
-    structs = keyed.where("has_struct")
-    interfaces = keyed.where("has_interface")
-    have = structs.select("dir", F.col("set_id").alias("have_id"), F.col("methods").alias("have"))
-    have = have.dropDuplicates(["dir", "have_id"])
-    need = interfaces.select("dir", F.col("set_id").alias("need_id"), F.col("methods").alias("need"))
-    need = need.dropDuplicates(["dir", "need_id"])
+    keyed = sides.where("has_struct or has_interface").select(
+        "id", "dir", "methods", F.sha2(F.to_json(F.struct("methods")), 256).alias("set_id"),
+        (F.col("has_struct").cast("int") + F.col("has_interface").cast("int") * 2).alias("roles"),
+    )
+    sets = keyed.groupBy("dir", "set_id").agg(
+        F.bit_or("roles").alias("roles"), F.first("methods").alias("methods")
+    )
+    have = sets.where(F.col("roles").bitwiseAND(1) != 0).select(
+        "dir", F.col("set_id").alias("have_id"), F.col("methods").alias("have")
+    )
+    need = sets.where(F.col("roles").bitwiseAND(2) != 0).select(
+        "dir", F.col("set_id").alias("need_id"), F.col("methods").alias("need")
+    )
 
     postings = have.select("dir", F.explode("have").alias("method"), "have_id")
     spread = postings.groupBy("dir", "method").agg(F.count(F.lit(1)).alias("n"))
-    asked = need.select("dir", F.explode("need").alias("method"), "need_id")
+    asked = need.select("dir", "need_id", "need", F.explode("need").alias("method"))
     rarest = skew_join(asked, spread, ["dir", "method"], "left", policy).groupBy(
         "dir", "need_id"
     ).agg(
         F.min_by("method", F.struct("n", "method")).alias("method"),
-        F.bool_and(F.isnotnull("n")).alias("possible"),
-    ).where("possible")
-    candidates = skew_join(
-        postings, rarest.select("dir", "method", "need_id"), ["dir", "method"], "inner", policy
-    )
-    compared = skew_join(
-        skew_join(candidates, need, ["dir", "need_id"], "inner", policy),
-        have, ["dir", "have_id"], "inner", policy,
-    ).where(F.size(F.array_except("need", "have")) == 0).select("dir", "have_id", "need_id")
+        F.first("need").alias("need"), F.bool_and(F.isnotnull("n")).alias("possible"),
+    ).where("possible").drop("possible")
+    candidates = skew_join(postings, rarest, ["dir", "method"], "inner", policy)
+    compared = skew_join(candidates, have, ["dir", "have_id"], "inner", policy).where(
+        F.size(F.array_except("need", "have")) == 0
+    ).select("dir", "have_id", "need_id")
     without = need.where(F.size("need") == 0).select("dir", "need_id")
     vacuous = skew_join(have, without, ["dir"], "inner", policy).select("dir", "have_id", "need_id")
 
     matched = compared.unionByName(vacuous)
+    structs = keyed.where(F.col("roles").bitwiseAND(1) != 0)
+    interfaces = keyed.where(F.col("roles").bitwiseAND(2) != 0)
     sources = structs.select("dir", F.col("set_id").alias("have_id"), F.col("id").alias("source_id"))
     targets = interfaces.select("dir", F.col("set_id").alias("need_id"), F.col("id").alias("target_id"))
     fanned = skew_join(sources, matched, ["dir", "have_id"], "inner", policy)

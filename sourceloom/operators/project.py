@@ -129,22 +129,18 @@ def component_reference_parts(
 def project(files: DataFrame, analyses: DataFrame, root: str) -> DataFrame:
     """The project as component rows that repeat the project's own fields.
 
-    The header is one row. It reaches the component rows by an equi join on ``root``.
+    Those fields are one-row results, read as scalar subqueries: no join is planned.
     """
-    header = main_language(files).withColumn("root", F.lit(root)).join(
-        project_type(files).withColumn("root", F.lit(root)), "root"
-    )
     references = component_references(files, analyses, root).groupBy("comp_path").agg(
         F.count(F.lit(1)).alias("n_references")
     )
-    rolled = (
-        components(files, root)
-        .join(component_descriptions(files, analyses, root), "comp_path")
-        .join(references, "comp_path", "left")
-        .withColumn("root", F.lit(root))
-    )
-    return rolled.join(F.broadcast(header), "root").select(
-        "root", "language", "project_type", "comp_path", "type", "name", "n_files", "description",
+    rolled = components(files, root).join(
+        component_descriptions(files, analyses, root), "comp_path"
+    ).join(references, "comp_path", "left")
+    return rolled.select(
+        F.lit(root).alias("root"), main_language(files).scalar().alias("language"),
+        project_type(files).scalar().alias("project_type"),
+        "comp_path", "type", "name", "n_files", "description",
         F.coalesce("n_references", F.lit(0)).alias("n_references"),
     )
 

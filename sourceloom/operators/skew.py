@@ -253,7 +253,7 @@ def text_parts(
         text = F.concat(F.when(F.col("__r_opens"), heading).otherwise(""), text)
     items = ranked.select(
         *page, *keep,
-        F.floor(F.col("__r_before") / part_bytes).cast("bigint").alias("part"),
+        F.call_function("div", F.col("__r_before"), F.lit(part_bytes)).alias("part"),
         F.struct("__r", text.alias("__line")).alias("__item"),
     )
     ordered = F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["__line"])

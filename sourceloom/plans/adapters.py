@@ -81,7 +81,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf, EDGES_SQL)
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]
+    return spark.sql(EDGES_SQL, lineitem=spread(table(spark, sf, "lineitem").select(used)))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.vectors import cosine
 from sourceloom.operators.chunking import chunk_documents
 from sourceloom.operators.similarity import search_similar, search_similar_batch
+from sourceloom.operators.skew import spread
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
 
@@ -71,4 +72,5 @@ select doc_id, array_to_string(lines[start_line:end_line], chr(10)) || chr(10) a
        start_line, end_line
 from c join d using (doc_id)""")
 def chunks(spark, sf):
-    return chunk_documents(t.table(spark, sf, "documents"), "doc_id", "text", CHUNK_BYTES)
+    docs = spread(t.table(spark, sf, "documents").select("doc_id", "text"))
+    return chunk_documents(docs, "doc_id", "text", CHUNK_BYTES)
