@@ -84,6 +84,11 @@ def join_path(*parts: Column | str) -> Column:
 
 def rel_path(base: Column | str, target: Column | str) -> Column:
     """Path from ``base`` to ``target``; ``target`` itself if there is none."""
+    return F.coalesce(rel_path_or_null(base, target), as_col(target))
+
+
+def rel_path_or_null(base: Column | str, target: Column | str) -> Column:
+    """Path from ``base`` to ``target``; null where names alone cannot tell it."""
     sides = F.struct(as_col(base).alias("base"), as_col(target).alias("target"))
 
     def steps(s: Column) -> Column:
@@ -102,8 +107,7 @@ def rel_path(base: Column | str, target: Column | str) -> Column:
     def between(s: Column) -> Column:
         same_root = s["base"].startswith("/") == s["target"].startswith("/")
         names = F.struct(_resolved(s["base"]).alias("b"), _resolved(s["target"]).alias("t"))
-        found = F.when(same_root, F.regexp_replace(_let(names, steps), r"^\z", "."))
-        return F.coalesce(found, s["target"])
+        return F.when(same_root, F.regexp_replace(_let(names, steps), r"^\z", "."))
 
     return _let(sides, between)
 

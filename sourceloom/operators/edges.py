@@ -82,7 +82,11 @@ def relation_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAU
 
 
 def interface_sides(docs: DataFrame) -> DataFrame:
-    """Per document what interface matching needs: directory, roles, method names."""
+    """Per document what interface matching needs: directory, roles, method names.
+
+    Interfaces are looked for in documents of type ``module`` where a type is given.
+    """
+    module = F.col("type") == "module" if "type" in docs.columns else F.lit(True)
     comps = F.coalesce("components", F.array().cast(docs.schema["components"].dataType))
     methods = F.transform(
         F.filter(comps, lambda c: F.lower(c["type"]) == "method"), lambda c: F.lower(c["name"])
@@ -90,7 +94,7 @@ def interface_sides(docs: DataFrame) -> DataFrame:
     return docs.select(
         "id", dir_name("path").alias("dir"),
         F.exists(comps, lambda c: F.lower(c["type"]) == "struct").alias("has_struct"),
-        F.exists(comps, lambda c: F.lower(c["type"]) == "interface").alias("has_interface"),
+        (module & F.exists(comps, lambda c: F.lower(c["type"]) == "interface")).alias("has_interface"),
         F.array_sort(F.array_distinct(methods)).alias("methods"),
     )
 
@@ -103,9 +107,10 @@ def implements_pairs(sides: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFram
     compared with sets holding its rarest method. Interfaces without methods match every
     struct of their directory and skip the comparison.
     """
-    keyed = sides.where("has_struct or has_interface").select(
+    has = {c: F.coalesce(c, F.lit(False)) for c in ("has_struct", "has_interface")}
+    keyed = sides.where(has["has_struct"] | has["has_interface"]).select(
         "id", "dir", "methods", F.sha2(F.to_json(F.struct("methods")), 256).alias("set_id"),
-        (F.col("has_struct").cast("int") + F.col("has_interface").cast("int") * 2).alias("roles"),
+        (has["has_struct"].cast("int") + has["has_interface"].cast("int") * 2).alias("roles"),
     )
     sets = keyed.groupBy("dir", "set_id").agg(
         F.bit_or("roles").alias("roles"), F.first("methods").alias("methods")

@@ -1,7 +1,7 @@
 """Page bodies in Markdown.
 
-A page is rows ``out_path, title, part, body_md``: parts of bounded size, numbered from 0,
-which joined in order are the page. Most pages have one part; an index over everything,
+A page is rows ``out_path, title, part, body_md, last_updated``: parts of bounded size,
+numbered from 0, which joined in order are the page. Most pages have one part; an index over everything,
 or a hub that most edges point to, has as many as it needs.
 """
 
@@ -20,24 +20,32 @@ from sourceloom.functions.paths import (
     slug,
     up_levels,
 )
-from sourceloom.operators.project import package_of
+from sourceloom.operators.project import file_components, package_of
 from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, fixed_rows, skew_join, text_parts
 
-PAGE_COLUMNS = ["out_path", "title", "part", "body_md"]
+PAGE_COLUMNS = ["out_path", "title", "part", "body_md", "last_updated"]
+
+
+def _stamp(at: Column | str | None) -> Column:
+    return F.lit(at).cast("timestamp").alias("last_updated")
 
 
 def module_pages(
-    docs: DataFrame, refs: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
+    docs: DataFrame, refs: DataFrame, doc_type: str | None = None,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Content, then links to what a document depends on and to what uses it.
 
-    ``docs`` has ``id, path, content``; ``refs`` distinct ``source_id, target_id, type``.
-    Edges to unknown documents give no link. Only narrow link rows are ranked; the content
+    ``docs`` has ``id, path, content`` and may have ``type, updated_at``; ``refs`` distinct
+    ``source_id, target_id, type``. With ``doc_type`` only documents of that type get a
+    page; links may lead to any. Edges to unknown documents give no link. Only narrow link rows are ranked; the content
     meets part 0 in one join on (page, part), where a page of many parts is no hot key.
     """
     clean = sanitize_path("path")
-    page = docs.select(
-        F.col("id").alias("page_id"), up_levels("path").alias("up"), clean.alias("title")
+    shown = docs if doc_type is None else docs.where(F.col("type") == doc_type)
+    stamp = _stamp(F.col("updated_at") if "updated_at" in docs.columns else None)
+    page = shown.select(
+        F.col("id").alias("page_id"), up_levels("path").alias("up"), clean.alias("title"), stamp
     )
     far = docs.select(
         F.col("id").alias("far_id"), F.col("path").alias("far_path"), path_to_url(clean).alias("far_url")
@@ -48,21 +56,24 @@ def module_pages(
     )).alias("end")).select("end.*", "type")
     links = skew_join(skew_join(ends, far, ["far_id"], "inner", policy), page, ["page_id"], "inner", policy)
     link = F.concat(F.lit("- ["), "far_path", F.lit("]("), "up", "far_url", F.lit(")\n"))
-    lines = links.select("page_id", "title", "section", "far_id", "type", link.alias("line"))
+    lines = links.select(
+        "page_id", "title", "last_updated", "section", "far_id", "type", link.alias("line")
+    )
     heading = F.when(F.col("section") == 1, "\n\n## Dependencies\n\n").otherwise("\n\n## Used By\n\n")
     parts = text_parts(
-        lines, ["page_id"], ["section", "far_id", "type"], out="links", keep=("title",),
-        heading=heading, sized=ends, part_bytes=part_bytes, policy=policy,
+        lines, ["page_id"], ["section", "far_id", "type"], out="links",
+        keep=("title", "last_updated"), heading=heading, sized=ends, part_bytes=part_bytes, policy=policy,
     )
-    first = docs.select(
+    first = shown.select(
         F.col("id").alias("page_id"), F.lit(0).cast("bigint").alias("part"),
         clean.alias("page_title"), F.coalesce("content", F.lit("")).alias("content"),
+        stamp.alias("page_updated"),
     )
     title = F.coalesce("page_title", "title")
     body = F.concat(F.coalesce("content", F.lit("")), F.coalesce("links", F.lit("")))
     return first.join(parts, ["page_id", "part"], "full").select(
         F.concat(title, F.lit(".html")).alias("out_path"), title.alias("title"), "part",
-        body.alias("body_md"),
+        body.alias("body_md"), F.coalesce("page_updated", "last_updated").alias("last_updated"),
     )
 
 
@@ -72,7 +83,10 @@ def overview(docs: DataFrame) -> DataFrame:
     return first.select(F.coalesce("c", F.lit("")).alias("overview"))
 
 
-def index_page(comps: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def index_page(
+    comps: DataFrame, at: Column | str | None = None,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
+) -> DataFrame:
     """List of components (``path, name, description``) by package."""
     owned = comps.withColumn("package", package_of("path"))
     url = component_url("path", "name")
@@ -100,11 +114,11 @@ def index_page(comps: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolic
     return text_parts(
         lines, ["out_path"], ["place", "package", "kind", "name", "path"],
         part_bytes=part_bytes, policy=policy,
-    ).select("out_path", F.lit("Overview").alias("title"), "part", "body_md")
+    ).select("out_path", F.lit("Overview").alias("title"), "part", "body_md", _stamp(at))
 
 
 def component_pages(
-    comps: DataFrame, files: DataFrame, references: DataFrame,
+    comps: DataFrame, files: DataFrame, references: DataFrame, at: Column | str | None = None,
     part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Title, type, overview, package, files and dependencies of each component.
@@ -154,10 +168,55 @@ def component_pages(
     first = comps.select("path", F.lit(0).cast("bigint").alias("part"), text.alias("text"))
     body = F.concat(F.coalesce("text", F.lit("")), "rest")
     return parts.join(first, ["path", "part"], "left").select(
-        "path", "out_path", F.col("name").alias("title"), "part", body.alias("body_md"), "collision"
+        "path", "out_path", F.col("name").alias("title"), "part", body.alias("body_md"), _stamp(at),
+        "collision",
     )
 
 
+def documentation_pages(
+    analyses: DataFrame, references: DataFrame, at: Column | str | None = None,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
+) -> DataFrame:
+    """Index and component pages of analysed files: ``path, content`` and their
+    references ``path, pos, target``."""
+    comps = file_components(analyses)
+    no_files = comps.where(F.lit(False)).select("path", F.lit(0).alias("pos"), F.col("path").alias("file"))
+    pages = component_pages(comps, no_files, references, at, part_bytes, policy)
+    return index_page(comps, at, part_bytes, policy).unionByName(pages.select(*PAGE_COLUMNS))
+
+
+def wiki_pages(
+    docs: DataFrame, refs: DataFrame, at: Column | str | None = None,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
+) -> DataFrame:
+    """Home and architecture page, a page per module, and the search page.
+
+    Home shows the first architecture document by id; the architecture page exists only
+    if there is one.
+    """
+    changed = F.col("updated_at") if "updated_at" in docs.columns else F.lit(None)
+    first = docs.where("type = 'architecture'").agg(
+        F.min_by(F.struct("content", changed.cast("timestamp").alias("at")), "id").alias("doc")
+    )
+    text = F.coalesce("doc.content", F.lit(""))
+
+    def page(path: str, title: str, body: Column, stamp: Column) -> Column:
+        return F.struct(
+            F.lit(path).alias("out_path"), F.lit(title).alias("title"),
+            F.lit(0).cast("bigint").alias("part"), body.alias("body_md"), stamp.alias("last_updated"),
+        )
+
+    now = _stamp(at)
+    fixed = first.select(F.explode(F.array(
+        page("index.html", "Home", text, now),
+        page("architecture.html", "Architecture", F.when(F.isnotnull("doc"), text), F.col("doc.at")),
+        page("search.html", "Search", F.lit(""), now),
+    )).alias("page")).select("page.*").where(F.isnotnull("body_md"))
+    return fixed.unionByName(module_pages(docs, refs, "module", part_bytes, policy))
+
+
+
+
 def diagram(
     nodes: DataFrame, edges: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.functions.paths import as_col, base_name, dir_name, rel_path, walk_key
+from sourceloom.functions.paths import as_col, base_name, dir_name, rel_path_or_null, walk_key
 from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, skew_join, text_parts, with_rank
 
 # Path suffix -> project type, and path suffix -> display language.
@@ -58,13 +58,16 @@ def component_type(language: Column | str, path: Column | str) -> Column:
 
 
 def with_component(files: DataFrame, root: str) -> DataFrame:
-    """Add ``comp_path``: the directory below root, or a project file itself."""
+    """Add ``comp_path``: the directory below root, or a project file itself.
+
+    Files with no path relative to the root are left out.
+    """
     base = root.rstrip("/") or "/"
     below = F.lit(base if base == "/" else base + "/")
     rel = F.when(
         F.startswith(F.col("path"), below), F.substr(F.col("path"), F.length(below) + 1)
-    ).otherwise(rel_path(F.lit(base), F.col("path")))
-    return files.withColumn("__rel", rel).withColumn(
+    ).otherwise(rel_path_or_null(F.lit(base), F.col("path")))
+    return files.withColumn("__rel", rel).where(F.isnotnull("__rel")).withColumn(
         "comp_path",
         F.when(F.endswith(F.col("path"), F.lit(".csproj")), F.col("__rel")).otherwise(
             dir_name("__rel")

@@ -100,7 +100,7 @@ index_parts as ({t.sql_parts('out_path', 'line', 'place, package, kind, name, pa
 
 @query("j4_index_page", f"with {INDEX} select out_path, 'Overview' as title, part, body as body_md from index_parts")
 def index_page(spark, sf):
-    return op.index_page(_components(spark, sf))
+    return op.index_page(_components(spark, sf)).drop("last_updated")
 
 
 PAGE = f"""
@@ -129,7 +129,7 @@ def component_pages(spark, sf):
     """Files as components: they list no files and reference two names each."""
     comps = _components(spark, sf)
     none = t.files(spark, sf).where(F.lit(False)).select("path", F.lit(0).alias("pos"), F.col("path").alias("file"))
-    return op.component_pages(comps, none, t.targets(spark, sf))
+    return op.component_pages(comps, none, t.targets(spark, sf)).drop("last_updated")
 
 
 MODULES = f"""
@@ -147,14 +147,15 @@ mh as (
          end as head from ml),
 mp as ({t.sql_parts('page_id', 'line', 'section, far_id, type', 'mh', 'body', text='head || line')}),
 module_parts as (
-  select path || '.html' as out_path, path as title, coalesce(part, 0) as part,
+  select path || '.html' as out_path, path as title, d.type, coalesce(part, 0) as part,
          case when coalesce(part, 0) = 0 then content else '' end || coalesce(body, '') as body_md
   from d left join mp on page_id = id)"""
 
 
 @query("j6_module_pages", f"with {MODULES} select out_path, title, part, body_md from module_parts")
 def module_pages(spark, sf):
-    return op.module_pages(t.documents(spark, sf), normalised_edges(t.edges(spark, sf)))
+    pages = op.module_pages(t.documents(spark, sf), normalised_edges(t.edges(spark, sf)))
+    return pages.drop("last_updated")
 
 
 @query("j7_overview", f"""
@@ -181,14 +182,26 @@ def nav_flags(spark, sf):
     return nav.nav_flags(nav.directory_nav(_paths(spark, sf)), "search.html")
 
 
-@query("a9_pages_out", f"""
-with {INDEX}, {MODULES}
+@query("a9_documentation_pages", f"""
+with {INDEX}, {PAGE.replace(COMPS + ',', '', 1).strip()}
 select out_path, 'Overview' as title, part, body as body_md from index_parts
-union all select out_path, title, part, body_md from module_parts""")
-def pages_out(spark, sf):
-    """All pages of one site in the shape of the pages table."""
-    modules = op.module_pages(t.documents(spark, sf), normalised_edges(t.edges(spark, sf)))
-    return op.index_page(_components(spark, sf)).unionByName(modules)
+union all select c.url, name, 0, body from component_parts join c using (path)""")
+def documentation_pages(spark, sf):
+    """Index and component pages in the shape of the pages table."""
+    return op.documentation_pages(t.files(spark, sf), t.targets(spark, sf)).drop("last_updated")
+
+
+@query("a9_wiki_pages", f"""
+with {MODULES}, h as (select content from d where type = 'architecture' order by id limit 1)
+select 'index.html' as out_path, 'Home' as title, 0::bigint as part,
+       coalesce((select content from h), '') as body_md
+union all select 'architecture.html', 'Architecture', 0, content from h
+union all select 'search.html', 'Search', 0, ''
+union all select out_path, title, part, body_md from module_parts where type = 'module'""")
+def wiki_pages(spark, sf):
+    """Home, architecture, module and search pages in the shape of the pages table."""
+    refs = normalised_edges(t.edges(spark, sf))
+    return op.wiki_pages(t.documents(spark, sf), refs).drop("last_updated")
 
 
 @query("j6_linked_documents", f"""
