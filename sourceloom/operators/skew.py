@@ -64,11 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def _hot_groups(sized: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[DataFrame, int] | None:
     """Hot groups with their row counts and the limit, or None if there are none."""
     if input_bytes(sized) <= policy.small_input:
         return None
-    sizes = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = _sizes(sized, keys)
     top = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
     if top.total is None:
         return None
@@ -120,8 +124,9 @@ def with_rank(
         none = F.lit(0).cast("bigint")
         return finish(_rank_within(rows, keys, order), none, none, F.lit(None))
 
-    groups, limit = hot
+    _, limit = hot
     rows = cut_lineage(rows)
+    groups = _sizes(rows, keys).where(F.col("__n") > limit)
     key_of = F.struct(*[F.col(c) for c in order])
     groups = groups.withColumn("__cuts", F.ceil(F.col("__n") / limit))
     share = _SAMPLES_PER_RANGE * F.col("__cuts") / F.col("__n")
@@ -129,7 +134,7 @@ def with_rank(
         F.pmod(F.xxhash64("__key"), F.lit(_HASH_SPACE)) / _HASH_SPACE < share
     )
     bounds = sample.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("__key")).alias("__s"), F.first("__cuts").alias("__cuts")
+        F.sort_array(F.collect_set("__key")).alias("__s"), F.first("__cuts").alias("__cuts")
     ).select(
         *keys,
         F.array_distinct(
@@ -184,7 +189,8 @@ def _range_of(bounds: Column, key: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve)["lo"]
+    steps = F.ceil(F.log2(F.size(bounds) + 1)).cast("int")
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, halve)["lo"]
     return F.when(bounds.isNotNull(), found).otherwise(0)
 
 
@@ -256,7 +262,7 @@ def text_parts(
         F.call_function("div", F.col("__r_before"), F.lit(part_bytes)).alias("part"),
         F.struct("__r", text.alias("__line")).alias("__item"),
     )
-    ordered = F.transform(F.array_sort(F.collect_list("__item")), lambda x: x["__line"])
+    ordered = F.sort_array(F.collect_list("__item"))["__line"]
     return items.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
 
 

@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Settings a running session can still take.
+TUNING = {
+    # Text parts are collected per group. Sorting first keeps one group in memory at a
+    # time; the hash map would hold many, then sort after all once it has seen 128.
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **TUNING,
 }
 
 
+def tune(spark: SparkSession) -> None:
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """Session for tests and bench; a cluster brings its own master, memory and sizes."""
     builder = (
