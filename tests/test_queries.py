@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 import check_sql
+from sourceloom import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(plans.QUERIES)
 
 
 @pytest.fixture(scope="module")
