@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontamination, quality, tokens, urls
+from sourceloom.llm import decontamination, pieces, quality, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -79,6 +79,15 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to (a space where the text has U+2581)."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    rows = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), model), model)
+    same = F.col("decoded") == F.coalesce(F.replace("text", F.lit("\u2581"), F.lit(" ")), F.lit(""))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.section_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
