@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontamination, html_text, pieces, quality, tokens, urls
+from sourceloom.llm import decontamination, html_text, near, pieces, quality, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -94,6 +94,36 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
+OP5_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 1 then [w[1]]
+    else list_distinct([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) end as s from w),
+g as (select min(doc_id) as rep, len(list_sort(s)) as n, list_sort(s) as s from s where len(s) > 0 group by list_sort(s)),
+x as (select rep, n, unnest(s) as t from g),
+rare as (select t, count(*) as f from x group by t having count(*) > 1),
+r as (select rep, n, x.t, row_number() over (partition by rep order by coalesce(f, 1), x.t) as k from x left join rare using (t)),
+p as (select rep, n, t from r where k <= n - (4 * n + 4) // 5 + 1),
+c as (select distinct a.rep as a, b.rep as b, a.n as na, b.n as nb from p a join p b using (t) where a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l as (
+  select a, b from (select c.a, c.b, c.na, c.nb, len(list_intersect(g1.s, g2.s)) as i from c join g g1 on g1.rep = c.a join g g2 on g2.rep = c.b)
+  where 100 * i >= 80 * (na + nb - i)),
+e as (select a, b from l union all select b, a from l),
+reach as (
+  with recursive r(n, m) as (select a, a from e union select r.n, e.b from r join e on e.a = r.m) select n, min(m) as m from r group by n)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(reach.m, g.rep, s.doc_id) as component_id,
+       s.doc_id = coalesce(reach.m, g.rep, s.doc_id) as kept
+from s left join g on g.s = list_sort(s.s) left join reach on reach.n = g.rep
+"""
+
+
+@query("op5_minhash_near_dedup", OP5_SQL)
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.section_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
