@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import ann, decontamination, html_text, near, pieces, quality, tokens, urls
+from sourceloom.llm import ann, decontamination, html_text, near, pieces, quality, repeats, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -124,6 +124,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return rows.select(
+        "doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256")
+    )
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.section_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
