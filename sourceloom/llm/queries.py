@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import ann, decontamination, html_text, near, pieces, quality, repeats, tokens, urls
+from sourceloom.llm import ann, decontamination, html_text, lm, near, pieces, quality, repeats, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -144,6 +144,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
