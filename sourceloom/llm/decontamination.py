@@ -14,7 +14,7 @@ and documents pass one block after the other. There is no shuffle of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -167,12 +167,18 @@ def merged(runs: list[dict], starts: np.ndarray, widths: np.ndarray) -> list[dic
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_windows: int = BLOCK_WINDOWS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    shingle: int = 5,
+    block_windows: int = BLOCK_WINDOWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Which words of each document (``doc_id``, ``text``) belong to a benchmark item
     (``item_id``, ``text``).
 
-    One row per input row: ``doc_id, n_words, runs, items``. ``runs`` are the maximal runs of
+    One row per input row: ``row, n_words, runs, items``; ``row`` is a struct of ``doc_id`` and
+    the columns named in ``carry``. ``runs`` are the maximal runs of
     hit words by index, ``items`` the ids of items with an occurring window, ascending.
 
     Null and empty texts have no words, so nothing is hit; an item without words or without
@@ -182,7 +188,8 @@ def benchmark_hits(
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     shingled = items.mapInArrow(lambda it: item_shingles(it, window, shingle), SHINGLES)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    row = F.struct("doc_id", *(f"`{c}`" for c in carry if c != "doc_id"))
+    texts = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     n, sizes = shingled.agg(F.count_if(F.col("at") == 0), F.collect_set("size")).first()
     blocks = max(1, -(-n // block_windows))
     block = F.pmod(F.xxhash64("words"), F.lit(blocks))
@@ -206,4 +213,4 @@ def benchmark_hits(
         )
         held = docs.sparkSession.sparkContext.broadcast(Windows(windows))
         out = out.mapInArrow(lambda it, w=held: match(it, w.value), out.schema)
-    return out.select("doc_id", "n_words", F.coalesce("runs", F.array().cast(FOUND)).alias("runs"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    return out.select("row", "n_words", F.coalesce("runs", F.array().cast(FOUND)).alias("runs"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))

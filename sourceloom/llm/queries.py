@@ -39,7 +39,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return hits.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -129,7 +129,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
     n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
     return rows.select(
-        "doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256")
+        "row.doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256")
     )
 
 

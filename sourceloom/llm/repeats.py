@@ -14,13 +14,14 @@ once more, by their own hash, so that no group grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourceloom.llm.shared import kept
 from sourceloom.llm.suffixes import suffix_array
@@ -196,20 +197,22 @@ def tie(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str] = ()) -> DataFrame:
     """Texts (``doc_id``, ``text``) without the bytes covered by a ``length``-byte string that
     also starts earlier: in a smaller ``doc_id``, or in the same document further left.
     Strings are judged on the input and never cross documents; overlaps count.
 
-    One row per input row: ``doc_id, n_bytes, spans, rest``; ``spans`` are the maximal removed
-    byte ranges (``first``, last-plus-one ``last``), ``rest`` the remaining bytes. Null and
+    One row per input row: ``row, n_bytes, spans, rest``; ``row`` is a struct of ``doc_id`` and
+    the columns named in ``carry``, ``spans`` are the maximal removed byte ranges (``first``,
+    last-plus-one ``last``), ``rest`` the remaining bytes. Null and
     empty texts have no bytes; texts shorter than ``length`` stay whole. Rows that share an id
     are one document: of equal strings at equal starts there neither is the earlier. Null
     ids come after all others and are one document too. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), tie(F.col("text")).alias("tie"), "text")
+    row = F.struct("doc_id", *(f"`{c}`" for c in carry if c != "doc_id"))
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    base = docs.select(row.alias("row"), doc.alias("doc"), tie(text).alias("tie"), text.alias("text"))
     found = base.select("doc", "tie", "text").mapInArrow(lambda it: fragments(it, length), FRAGMENTS)
     by_anchor, by_both = Window.partitionBy("anchor"), Window.partitionBy("anchor", "digest")
     first = F.struct("doc", F.shiftright("place", TIE_BITS).alias("start"))
@@ -236,6 +239,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = late.groupBy("doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie")).agg(
         F.collect_list(F.struct(F.shiftright("place", TIE_BITS).alias("start"), "windows")).alias("runs")
     )
-    out = base.join(kept(spans), ["doc", "tie"], "left").select("doc_id", "text", "runs")
-    schema = "doc_id bigint, n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, rest binary"
+    out = base.join(kept(spans), ["doc", "tie"], "left").select("row", "text", "runs")
+    added = T.StructType.fromDDL("n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, rest binary")
+    schema = T.StructType([out.schema["row"], *added.fields])
     return out.mapInArrow(lambda it: removed(it, length), schema)
