@@ -99,20 +99,43 @@ def with_documentation_prompt(files: DataFrame) -> DataFrame:
     return files.withColumn("prompt", _fill(DOCUMENTATION_PROMPT, ext, F.col("content")))
 
 
+def _names(kind: T.DataType) -> set[str]:
+    """Field names at all depths."""
+    if isinstance(kind, T.StructType):
+        return {f.name for f in kind.fields}.union(*(_names(f.dataType) for f in kind.fields))
+    return _names(kind.elementType) if isinstance(kind, T.ArrayType) else set()
+
+
+def _exact_names(text: Column, schema: T.StructType) -> Column:
+    """The JSON text with field names in the schema's letter case, whatever theirs is.
+
+    A quote inside a JSON string is escaped, so only names match. Few answers need it, and
+    only those are rewritten.
+    """
+    names = sorted(_names(schema))
+    listed = "|".join(names)
+    fixed = text
+    for name in names:
+        fixed = F.regexp_replace(fixed, f'(?i)"{name}"(?=\\s*:)', f'"{name}"')
+    return F.when(text.rlike(f'"(?!(?:{listed})")(?i:{listed})"\\s*:'), fixed).otherwise(text)
+
+
 def _parse(responses: DataFrame, schema: T.StructType) -> DataFrame:
     """Add ``ok`` and ``parsed``.
 
-    The answer is read as a field of an outer object. So text after the JSON, a list in
-    place of an object, a code fence or a cut-off answer breaks the outer object and the
-    row is rejected whole, also where single fields could be read.
+    The answer is read as the only field of an outer object. So text after the JSON, further
+    keys, a list in place of an object, a code fence or a cut-off answer break the outer
+    object and the row is rejected whole, also where single fields could be read.
     """
-    wrapped = F.concat(F.lit('{"answer":'), F.coalesce("response", F.lit("")), F.lit("}"))
+    wrapped = F.concat(F.lit('{"answer":'), _exact_names(F.coalesce("response", F.lit("")), schema), F.lit("}"))
     outer = T.StructType().add("answer", schema).add("_corrupt", T.StringType())
     read = F.from_json(wrapped, outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    alone = F.coalesce(F.size(F.json_object_keys(wrapped)) == 1, F.lit(False))
     # One-row explode: filters on the result stay above it, so each answer is parsed once.
-    once = responses.select("*", F.explode(F.array(read)).alias("__read"))
+    once = responses.select("*", F.explode(F.array(F.struct(read.alias("read"), alone.alias("alone")))).alias("__read"))
     return once.select(
-        *responses.columns, F.isnull("__read._corrupt").alias("ok"), F.col("__read.answer").alias("parsed")
+        *responses.columns, (F.isnull("__read.read._corrupt") & F.col("__read.alone")).alias("ok"),
+        F.col("__read.read.answer").alias("parsed"),
     )
 
 
@@ -121,19 +144,27 @@ def _empty(kind: T.DataType) -> Column:
     return blank().cast(kind) if blank else F.lit("")
 
 
+def _filled(value: Column, kind: T.DataType) -> Column:
+    """Missing texts and lists become empty, at every depth."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_filled(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        value = F.transform(value, lambda x: _filled(x, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.ArrayType):
+        value = F.transform_values(value, lambda _, x: _filled(x, kind.valueType))
+    return F.coalesce(value, _empty(kind))
+
+
 def _split(responses: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     read = _parse(responses, schema)
-    analysis = F.struct(*[
-        F.coalesce(F.col("parsed")[f.name], _empty(f.dataType)).alias(f.name) for f in schema.fields
-    ])
-    good = read.where("ok").select("path", analysis.alias("analysis"))
+    good = read.where("ok").select("path", _filled(F.col("parsed"), schema).alias("analysis"))
     return good, read.where("not ok").select("path", "response")
 
 
 def parse_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed rows ``path, analysis`` and rejected rows ``path, response``.
 
-    Fields left out or null become empty.
+    Fields left out or null become empty, at every depth; names match in any letter case.
     """
     return _split(responses, ANALYSIS)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.labels import edge_key, relation_type
 from sourceloom.functions.paths import dir_name, join_path
-from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, skew_join, text_parts
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, text_parts
 
 
 def known_paths(paths: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def known_paths(paths: DataFrame) -> DataFrame:
 
 
 def _resolve(
-    names: DataFrame, known: DataFrame, candidates: Column, policy: SkewPolicy
+    names: DataFrame, known: DataFrame, candidates: Column
 ) -> DataFrame:
     """First existing candidate path per row of ``names`` (columns ``dir, name``).
 
@@ -40,12 +40,12 @@ def _resolve(
     """
     asked = names.select("dir", "name").distinct()
     tried = asked.select("dir", "name", F.posexplode(candidates).alias("pos", "path"))
-    found = skew_join(tried, known, ["path"], "left_semi", policy)
+    found = tried.join(known, ["path"], "left_semi")
     resolved = found.groupBy("dir", "name").agg(F.min_by("path", "pos").alias("found"))
-    return skew_join(names, resolved, ["dir", "name"], "left", policy)
+    return names.join(resolved, ["dir", "name"], "left")
 
 
-def import_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def import_edges(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Edges to the package path of each dotted dependency; unresolved ones are dropped.
 
     Distinct packages of a document, first occurrence first, come from array functions
@@ -61,12 +61,12 @@ def import_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAULT
         F.posexplode(packages).alias("ord", "name"),
     )
     places = F.array(join_path("dir", F.lit(".."), "name"), join_path("dir", "name"))
-    return _resolve(wanted, known, places, policy).where(F.isnotnull("found")).select(
+    return _resolve(wanted, known, places).where(F.isnotnull("found")).select(
         "source_id", F.col("found").alias("target_id"), F.lit("imports").alias("type"), "ord"
     )
 
 
-def relation_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def relation_edges(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Edges of stated relationships; the target is a known path if there is one."""
     stated = docs.select(
         F.col("id").alias("source_id"), dir_name("path").alias("dir"),
@@ -76,7 +76,7 @@ def relation_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAU
         relation_type(F.coalesce("rel.type", F.lit(""))).alias("type"),
     )
     places = F.array(join_path("dir", "name"))
-    return _resolve(stated, known, places, policy).select(
+    return _resolve(stated, known, places).select(
         "source_id", F.coalesce("found", "name").alias("target_id"), "type", "ord"
     )
 
@@ -89,7 +89,8 @@ def interface_sides(docs: DataFrame) -> DataFrame:
     module = F.col("type") == "module" if "type" in docs.columns else F.lit(True)
     comps = F.coalesce("components", F.array().cast(docs.schema["components"].dataType))
     methods = F.transform(
-        F.filter(comps, lambda c: F.lower(c["type"]) == "method"), lambda c: F.lower(c["name"])
+        F.filter(comps, lambda c: F.lower(c["type"]) == "method"),
+        lambda c: F.coalesce(F.lower(c["name"]), F.lit("")),
     )
     return docs.select(
         "id", dir_name("path").alias("dir"),
@@ -99,7 +100,7 @@ def interface_sides(docs: DataFrame) -> DataFrame:
     )
 
 
-def implements_pairs(sides: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def implements_pairs(sides: DataFrame) -> DataFrame:
     """Pairs in one directory where the first side has every method of the second.
 
     Relational division over *distinct* method sets: copies of a document are matched
@@ -125,32 +126,32 @@ def implements_pairs(sides: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFram
     postings = have.select("dir", F.explode("have").alias("method"), "have_id")
     spread = postings.groupBy("dir", "method").agg(F.count(F.lit(1)).alias("n"))
     asked = need.select("dir", "need_id", "need", F.explode("need").alias("method"))
-    rarest = skew_join(asked, spread, ["dir", "method"], "left", policy).groupBy(
+    rarest = asked.join(spread, ["dir", "method"], "left").groupBy(
         "dir", "need_id"
     ).agg(
         F.min_by("method", F.struct("n", "method")).alias("method"),
         F.first("need").alias("need"), F.bool_and(F.isnotnull("n")).alias("possible"),
     ).where("possible").drop("possible")
-    candidates = skew_join(postings, rarest, ["dir", "method"], "inner", policy)
-    compared = skew_join(candidates, have, ["dir", "have_id"], "inner", policy).where(
+    candidates = postings.join(rarest, ["dir", "method"], "inner")
+    compared = candidates.join(have, ["dir", "have_id"], "inner").where(
         F.size(F.array_except("need", "have")) == 0
     ).select("dir", "have_id", "need_id")
     without = need.where(F.size("need") == 0).select("dir", "need_id")
-    vacuous = skew_join(have, without, ["dir"], "inner", policy).select("dir", "have_id", "need_id")
+    vacuous = have.join(without, ["dir"], "inner").select("dir", "have_id", "need_id")
 
     matched = compared.unionByName(vacuous)
     structs = keyed.where(F.col("roles").bitwiseAND(1) != 0)
     interfaces = keyed.where(F.col("roles").bitwiseAND(2) != 0)
     sources = structs.select("dir", F.col("set_id").alias("have_id"), F.col("id").alias("source_id"))
     targets = interfaces.select("dir", F.col("set_id").alias("need_id"), F.col("id").alias("target_id"))
-    fanned = skew_join(sources, matched, ["dir", "have_id"], "inner", policy)
-    return skew_join(fanned, targets, ["dir", "need_id"], "inner", policy).select(
+    fanned = sources.join(matched, ["dir", "have_id"], "inner")
+    return fanned.join(targets, ["dir", "need_id"], "inner").select(
         "source_id", "target_id"
     )
 
 
-def implements_edges(docs: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    return implements_pairs(interface_sides(docs), policy).select(
+def implements_edges(docs: DataFrame) -> DataFrame:
+    return implements_pairs(interface_sides(docs)).select(
         "source_id", "target_id", F.lit("implements").alias("type"), F.lit(0).alias("ord")
     )
 
@@ -169,12 +170,12 @@ def merge_edges(*producers: DataFrame) -> DataFrame:
     ).select("edge.source_id", "edge.target_id", "edge.type", "ref_key", "edge.producer")
 
 
-def document_edges(docs: DataFrame, known: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def document_edges(docs: DataFrame, known: DataFrame) -> DataFrame:
     """All edges of all documents: imports, relationships, then interface matches."""
     return merge_edges(
-        import_edges(docs, known, policy),
-        relation_edges(docs, known, policy),
-        implements_edges(docs, policy),
+        import_edges(docs, known),
+        relation_edges(docs, known),
+        implements_edges(docs),
     )
 
 
@@ -184,10 +185,10 @@ def normalised_edges(raw: DataFrame) -> DataFrame:
     ).withColumn("ref_key", edge_key("source_id", "target_id", "type"))
 
 
-def resolve_targets(edges: DataFrame, docs: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def resolve_targets(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """Add the id of the document at the target path, null if there is none."""
     at_path = docs.select(F.col("path").alias("target_id"), F.col("id").alias("target_doc_id"))
-    return skew_join(edges, at_path, ["target_id"], "left", policy)
+    return edges.join(at_path, ["target_id"], "left")
 
 
 def adjacency(
@@ -201,12 +202,28 @@ def adjacency(
 
 
 def adjacency_map(relations: Column | str) -> Column:
-    """Map from -> [to, ...] of the relations inside one document."""
+    """Map from -> [to, ...] of the relations inside one document, in order of first use.
+
+    Relations are sorted once; each map entry is a slice of them, so the work is that of a
+    sort. A missing ``from`` or ``to`` counts as empty.
+    """
     rels = F.col(relations) if isinstance(relations, str) else relations
-    froms = F.array_distinct(F.transform(rels, lambda r: r["from"]))
-    return F.map_from_entries(F.transform(
-        froms,
-        lambda f: F.struct(
-            f, F.transform(F.filter(rels, lambda r: r["from"] == f), lambda r: r["to"])
-        ),
+    text = lambda c: F.coalesce(c, F.lit(""))
+    keyed = F.array_sort(F.transform(
+        rels, lambda r, i: F.struct(text(r["from"]).alias("from"), i.alias("at"), text(r["to"]).alias("to"))
     ))
+
+    def entries(ordered: Column) -> Column:
+        n = F.size(ordered)
+        heads = F.filter(
+            F.transform(ordered, lambda r, i: F.when((i == 0) | (F.get(ordered, i - 1)["from"] != r["from"]), i)),
+            lambda i: i.isNotNull(),
+        )
+        # Bound once, like the sorted relations, so that no element computes it anew.
+        return F.flatten(F.transform(F.array(heads), lambda h: F.transform(h, lambda i, k: F.struct(
+            ordered[i]["at"].alias("at"), ordered[i]["from"].alias("from"),
+            F.transform(F.slice(ordered, i + 1, F.coalesce(F.get(h, k + 1), n) - i), lambda r: r["to"]).alias("to"),
+        ))))
+
+    found = F.flatten(F.transform(F.array(keyed), entries))
+    return F.map_from_entries(F.transform(F.array_sort(found), lambda e: F.struct(e["from"], e["to"])))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RESULT = "path string, response string, error string"
 
@@ -37,18 +38,18 @@ class Throttle:
     def acquirer(
         self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep
     ) -> Callable[[], None]:
-        state = {"tokens": self.burst, "at": clock()}
+        """Calls are due one after the other, ``1 / per_second`` apart; up to ``burst`` of them
+        (one at least) may be ahead of their time."""
+        gap = 1 / self.per_second
+        ahead = (max(self.burst, 1) - 1) * gap
+        due = clock()
 
         def acquire() -> None:
-            while True:
-                now = clock()
-                gained = (now - state["at"]) * self.per_second
-                state["tokens"] = min(self.burst, state["tokens"] + gained)
-                state["at"] = now
-                if state["tokens"] >= 1:
-                    state["tokens"] -= 1
-                    return
-                sleep((1 - state["tokens"]) / self.per_second)
+            nonlocal due
+            now = clock()
+            if due - now > ahead:
+                sleep(due - now - ahead)
+            due = max(due, now) + gap
 
         return acquire
 
@@ -110,6 +111,12 @@ def enrich(
     return rows.mapInPandas(run, RESULT)
 
 
+def prompt_key(prompts: DataFrame) -> DataFrame:
+    """The prompts with ``prompt_id``, which changes with their text."""
+    system = F.coalesce("system_prompt", F.lit("")) if "system_prompt" in prompts.columns else F.lit("")
+    return prompts.withColumn("prompt_id", F.sha2(F.concat_ws("\n", F.sha2(system, 256), "prompt"), 256))
+
+
 def missing(prompts: DataFrame, stored: DataFrame) -> DataFrame:
-    """Prompts without a stored good answer."""
-    return prompts.join(stored.where("error is null").select("path"), "path", "left_anti")
+    """Prompts (``path, prompt_id``) without a stored good answer to just this prompt."""
+    return prompts.join(stored.where("error is null").select("path", "prompt_id"), ["path", "prompt_id"], "left_anti")

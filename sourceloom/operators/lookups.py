@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.paths import base_name
-from sourceloom.operators.skew import DEFAULT, SkewPolicy, skew_join
 
 
 def get_document(docs: DataFrame, doc_id: str) -> DataFrame:
@@ -40,9 +39,9 @@ def search_rows(docs: DataFrame) -> DataFrame:
     return docs.select("path", base_name("path").alias("title"), F.col("content").alias("description"))
 
 
-def find_files(files: DataFrame, paths: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def find_files(files: DataFrame, paths: DataFrame) -> DataFrame:
     """File rows for wanted paths, once per wanted row."""
-    return skew_join(paths, files, ["path"], "inner", policy)
+    return paths.join(files, ["path"], "inner")
 
 
 def edge_counts(docs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -59,11 +58,11 @@ def edge_counts(docs: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def dependency_rows(docs: DataFrame, refs: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def dependency_rows(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per edge of a known document; ``target_path`` is null if unresolved."""
     targets = docs.select(F.col("id").alias("target_id"), F.col("path").alias("target_path"))
     sources = docs.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"))
-    resolved = skew_join(refs, targets, ["target_id"], "left", policy)
-    return skew_join(resolved, sources, ["source_id"], "inner", policy).select(
+    resolved = refs.join(targets, ["target_id"], "left")
+    return resolved.join(sources, ["source_id"], "inner").select(
         "source_id", "source_path", "target_id", "target_path", "type"
     )

@@ -21,7 +21,8 @@ from sourceloom.functions.paths import (
     up_levels,
 )
 from sourceloom.operators.project import file_components, package_of
-from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, fixed_rows, skew_join, text_parts
+from sourceloom.sources import store
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, fixed_rows, text_parts
 
 PAGE_COLUMNS = ["out_path", "title", "part", "body_md", "last_updated"]
 
@@ -54,7 +55,7 @@ def module_pages(
         F.struct(F.lit(1).alias("section"), F.col("source_id").alias("page_id"), F.col("target_id").alias("far_id")),
         F.struct(F.lit(2).alias("section"), F.col("target_id").alias("page_id"), F.col("source_id").alias("far_id")),
     )).alias("end")).select("end.*", "type")
-    links = skew_join(skew_join(ends, far, ["far_id"], "inner", policy), page, ["page_id"], "inner", policy)
+    links = ends.join(far, ["far_id"], "inner").join(page, ["page_id"], "inner")
     link = F.concat(F.lit("- ["), "far_path", F.lit("]("), "up", "far_url", F.lit(")\n"))
     lines = links.select(
         "page_id", "title", "last_updated", "section", "far_id", "type", link.alias("line")
@@ -150,17 +151,15 @@ def component_pages(
     zero = F.lit(0)
     file_lines = line(files, 1, F.col("pos"), F.concat(F.lit("- `"), "file", F.lit("`\n")))
     files_end = line(comps, 2, zero, F.lit("\n"))
-    linked = skew_join(
-        references, first_named.withColumnRenamed("name", "target"), ["target"], "left", policy
-    )
+    linked = references.join(first_named.withColumnRenamed("name", "target"), ["target"], "left")
     url = F.coalesce("target_url", F.concat(F.lit("components/"), slug("target"), F.lit(".html")))
     dep_lines = line(linked, 4, F.col("pos"), F.concat(F.lit("- ["), "target", F.lit("]("), url, F.lit(")\n")))
     having = references.select("path").distinct()
     dep_head = line(having, 3, zero, F.lit("## Dependencies\n\n"))
     dep_end = line(having, 5, zero, F.lit("\n"))
     lines = file_lines.unionByName(files_end).unionByName(dep_head).unionByName(dep_lines).unionByName(dep_end)
-    head = skew_join(named, shared, ["out_path"], "inner", policy)
-    lines = skew_join(lines, head, ["path"], "inner", policy)
+    head = named.join(shared, ["out_path"], "inner")
+    lines = lines.join(head, ["path"], "inner")
     parts = text_parts(
         lines, ["path"], ["section", "pos"], out="rest", keep=("name", "out_path", "collision"),
         part_bytes=part_bytes, policy=policy,
@@ -273,15 +272,29 @@ def cross_reference_rows(enhanced: DataFrame) -> DataFrame:
     ).withColumn("url", component_link("target"))
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages as Parquet, parts of a page side by side.
+def write_pages(pages: DataFrame, path: str) -> int:
+    """Pages as Parquet, the next version of a table; returns its number.
 
-    Range partitioning keeps pages in order over the files and may split a large one.
+    Parts are dealt by page and part, so a large page is no task's burden and nothing is
+    computed twice to find ranges. A second run adds a version and leaves the first one.
     """
-    pages.repartitionByRange("out_path", "part").sortWithinPartitions("out_path", "part").write.mode(
-        "errorifexists"
-    ).parquet(path)
+    dealt = pages.repartition("out_path", "part").sortWithinPartitions("out_path", "part")
+    return store.write_version(dealt, path)
 
 
 def read_pages(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Pages of the last finished version, in parts."""
+    return store.read_table(spark, path)
+
+
+def whole_pages(pages: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
+    """Pages with one body each where it has at most ``max_bytes``, and the parts of the rest.
+
+    The size is summed by page before bodies move, so no task gathers a larger page.
+    """
+    rest = [c for c in pages.columns if c not in ("part", "body_md")]
+    size = pages.groupBy("out_path").agg(F.sum(F.octet_length("body_md")).alias("__bytes"))
+    sized = pages.join(size, "out_path")
+    items = F.sort_array(F.collect_list(F.struct("part", "body_md")))
+    whole = sized.where(F.col("__bytes") <= max_bytes).groupBy(*rest).agg(F.array_join(items["body_md"], "").alias("body_md"))
+    return whole, sized.where(F.col("__bytes") > max_bytes).select(*pages.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.paths import as_col, base_name, dir_name, rel_path_or_null, walk_key
-from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, skew_join, text_parts, with_rank
+from sourceloom.operators.skew import DEFAULT, PART_BYTES, SkewPolicy, text_parts, with_rank
 
 # Path suffix -> project type, and path suffix -> display language.
 PROJECT_SUFFIXES = {"go.mod": "go-module", ".sln": "dotnet-solution"}

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,28 +15,45 @@ from sourceloom.functions.vectors import cosine
 MAX_QUERY_VALUES = 4_000_000
 
 
-def search_similar(docs: DataFrame, vector: Sequence[float], limit: int) -> DataFrame:
+def search_similar(docs: DataFrame, vector: Sequence[float] | Column, limit: int) -> DataFrame:
     """The ``limit`` nearest rows of ``id, embedding`` with ``similarity``, best first.
 
+    ``vector`` may be a column, such as a scalar subquery.
+
     Rows without an embedding are left out; other lengths stay with 0. Spark keeps
     ``limit`` rows per task (TakeOrderedAndProject), never a full sort.
     """
-    query = F.lit([float(x) for x in vector]).cast("array<double>")
-    scored = docs.where(F.size("embedding") > 0).withColumn("similarity", cosine("embedding", query))
+    query = vector if isinstance(vector, Column) else F.lit([float(x) for x in vector])
+    # A column of its own: subqueries may not stand inside array functions.
+    held = docs.where(F.size("embedding") > 0).withColumn("__query", query.cast("array<double>"))
+    scored = held.withColumn("similarity", cosine("embedding", "__query")).drop("__query")
     return scored.orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def search_similar_batch(
-    docs: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], limit: int
-) -> DataFrame:
-    """``query_id, id, similarity, rank`` of the nearest documents for each query.
+def search_similar_batch(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``query_id, id, similarity, rank`` of the nearest documents for each query row
+    (``query_id, embedding``).
 
-    The queries travel with the task, so their size is checked. Each task scores a batch
-    of documents with one matrix product and passes on its best ``limit`` per query;
-    only those are shuffled and ranked. Pairs are never materialised.
+    Queries travel with the tasks, in blocks of about ``MAX_QUERY_VALUES`` numbers, however
+    many there are. Each task scores a batch of documents with one matrix product and passes
+    on its best ``limit`` per query; only those are shuffled and ranked. Pairs are never
+    materialised.
     """
-    if sum(len(v) for _, v in queries) > MAX_QUERY_VALUES:
-        raise ValueError("too many query values for one pass; split the queries")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = asked.where(F.col("v").isNotNull())
+    values = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    blocks = max(1, -(-values // MAX_QUERY_VALUES))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        local = _block(docs, [(r.query_id, r.v) for r in part], limit)
+        found = local if found is None else found.unionByName(local)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def _block(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
+    """Each task's nearest documents for some queries."""
     names = np.array([q for q, _ in queries], dtype=np.int64)
     by_length: dict[int, list[int]] = {}
     for i, (_, v) in enumerate(queries):
@@ -67,9 +84,7 @@ def search_similar_batch(
         T.StructField("query_id", T.LongType()), T.StructField("id", id_type),
         T.StructField("similarity", T.DoubleType()),
     ])
-    local = docs.where(F.size("embedding") > 0).select("id", "embedding").mapInPandas(best, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return docs.where(F.size("embedding") > 0).select("id", "embedding").mapInPandas(best, schema)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

@@ -1,12 +1,10 @@
-"""Ranks, joins and text assembly that hold when one key has most of the rows.
+"""Ranks and text assembly that hold when one key has most of the rows.
 
-A group is *hot* if it has more rows than ``limit = max(max_rows, total / (4 * P))``
-with P shuffle partitions. At most ``4 * P`` groups can be hot, whatever the data, so a
-table with one row per hot group has a proven size bound and may be broadcast. Nothing
-is dropped or capped: hot groups are cut into ranges (ranks) or salted (joins).
-
-Group sizes cost one narrow, pre-aggregated pass. It is skipped when all scanned input
-fits into one scan split, where no group can outgrow a task.
+A group is *hot* if it has more rows than ``limit = max(max_rows, total / (4 * P))`` with P
+shuffle partitions, or more bytes than the like limit of bytes where lines are weighed. At
+most ``8 * P`` groups can be hot, whatever the data, so a table with one row per hot group
+has a proven size bound and may be broadcast. Nothing is dropped or capped: hot groups are
+cut into ranges. Group sizes cost one narrow, pre-aggregated pass, at every input size.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 1_000_000
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
+MAX_GROUP_BYTES = 256 * 1024 * 1024
 PART_BYTES = 1024 * 1024
 _SAMPLES_PER_RANGE = 20
 _HASH_SPACE = 1 << 30
@@ -26,61 +24,48 @@ _HASH_SPACE = 1 << 30
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """``salt_joins``: None leaves hot join keys to adaptive execution where that is on."""
-
     max_rows: int = MAX_GROUP_ROWS
-    small_input: int = SMALL_INPUT_BYTES
-    salt_joins: bool | None = None
+    max_bytes: int = MAX_GROUP_BYTES
 
 
 DEFAULT = SkewPolicy()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all relations a plan starts from; very large if they cannot be seen."""
-    if not hasattr(df, "_jdf"):
-        return 1 << 62
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")  # a session of one process, as in tests
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    weight = F.sum("__w") if "__w" in rows.columns else F.lit(0)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), weight.alias("__bytes"))
 
 
-def _hot_groups(sized: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[DataFrame, int] | None:
-    """Hot groups with their row counts and the limit, or None if there are none."""
-    if input_bytes(sized) <= policy.small_input:
-        return None
+def _ranges(limits: tuple[int, int]) -> Column:
+    """Into how many ranges a group is cut."""
+    return F.ceil(F.greatest(F.col("__n") / limits[0], F.col("__bytes") / limits[1]))
+
+
+def _hot_limits(sized: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[int, int] | None:
+    """Rows and bytes a group may have, or None if no group has more."""
     sizes = _sizes(sized, keys)
-    top = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
-    if top.total is None:
-        return None
-    partitions = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(policy.max_rows, -(-top.total // (4 * partitions)))
-    if top.largest <= limit:
+    top = sizes.agg(
+        F.sum("__n").alias("rows"), F.max("__n").alias("most_rows"), F.sum("__bytes").alias("bytes"), F.max("__bytes").alias("most_bytes")
+    ).first()
+    if top.rows is None:
         return None
-    return sizes.where(F.col("__n") > limit), limit
+    share = 4 * int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limits = max(policy.max_rows, -(-top.rows // share)), max(policy.max_bytes, -(-int(top.bytes or 0) // share))
+    return limits if top.most_rows > limits[0] or (top.most_bytes or 0) > limits[1] else None
 
 
 def with_rank(
@@ -119,16 +104,14 @@ def with_rank(
             added.append((~previous.eqNullSafe(F.col("__sec"))).alias(f"{out}_opens"))
         return ranked.select(*df.columns, *added)
 
-    hot = _hot_groups(counted_rows, keys, policy)
-    if hot is None:
+    limits = _hot_limits(counted_rows if sized is not None else rows, keys, policy)
+    if limits is None:
         none = F.lit(0).cast("bigint")
         return finish(_rank_within(rows, keys, order), none, none, F.lit(None))
 
-    _, limit = hot
     rows = cut_lineage(rows)
-    groups = _sizes(rows, keys).where(F.col("__n") > limit)
+    groups = _sizes(rows, keys).withColumn("__cuts", _ranges(limits)).where("__cuts > 1").drop("__bytes")
     key_of = F.struct(*[F.col(c) for c in order])
-    groups = groups.withColumn("__cuts", F.ceil(F.col("__n") / limit))
     share = _SAMPLES_PER_RANGE * F.col("__cuts") / F.col("__n")
     sample = rows.select(*keys, key_of.alias("__key")).join(F.broadcast(groups), keys).where(
         F.pmod(F.xxhash64("__key"), F.lit(_HASH_SPACE)) / _HASH_SPACE < share
@@ -194,42 +177,6 @@ def _range_of(bounds: Column, key: Column) -> Column:
     return F.when(bounds.isNotNull(), found).otherwise(0)
 
 
-def _adaptive_splits(spark: SparkSession) -> bool:
-    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    return all(spark.conf.get(n).lower() == "true" for n in names)
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    policy: SkewPolicy = DEFAULT,
-) -> DataFrame:
-    """Equi join (``inner``, ``left``, ``left_semi``) for a left side with hot keys.
-
-    With adaptive skew joins on, Spark splits the hot partitions it meets and no extra
-    pass is needed. Otherwise hot keys are counted and salted: their left rows are spread
-    over ``ceil(rows / limit)`` salts and only the matching right rows are repeated. Each
-    left row has one salt, so outer and semi results stay whole.
-    """
-    if how not in ("inner", "left", "left_semi"):
-        raise ValueError(f"skew_join does not support {how!r}")
-    salt = policy.salt_joins
-    if salt is None:
-        salt = not _adaptive_splits(left.sparkSession)
-    hot = _hot_groups(left, on, policy) if salt else None
-    if hot is None:
-        return left.join(right, on, how)
-    groups, limit = hot
-    salts = F.broadcast(groups.select(*on, F.ceil(F.col("__n") / limit).cast("int").alias("__m")))
-    spread = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__m")).cast("int"), F.lit(0))
-    salted = left.join(salts, on, "left").withColumn("__salt", spread).drop("__m")
-    copies = F.sequence(F.lit(0), F.coalesce("__m", F.lit(1)) - 1)
-    repeated = right.join(salts, on, "left").withColumn("__salt", F.explode(copies)).drop("__m")
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
-
-
 def text_parts(
     lines: DataFrame,
     page: list[str],
@@ -266,15 +213,9 @@ def text_parts(
     return items.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores, for costly work per row.
-
-    An input within one scan split is read by very few tasks. Anything larger has tasks
-    enough and is left where it is.
-    """
-    if input_bytes(df) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt evenly to ``tasks`` tasks, for costly work per row."""
+    return df.repartition(tasks)
 
 
 def fixed_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:

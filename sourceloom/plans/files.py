@@ -17,9 +17,15 @@ from sourceloom.sources.tree import classify_files, scan_tree, with_extensions
 FIXED_TIME = "2024-01-01 00:00:00"
 
 
-@query("a1_scan_tree")
+@query("a1_scan_tree", """
+select table_name || '.parquet' as name, 'PAR1' as head, 'PAR1' as tail from information_schema.tables
+where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+  'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""")
 def scan(spark, sf):
-    return scan_tree(spark, sf).select(F.substring_index("path", "/", -1).alias("name"), "length")
+    """The table files themselves, with the marks that their content begins and ends with."""
+    return scan_tree(spark, sf, ["parquet"]).select(
+        F.substring_index("path", "/", -1).alias("name"), F.left("content", F.lit(4)).alias("head"), F.right("content", F.lit(4)).alias("tail")
+    )
 
 
 @query("a2_extension_filter", f"""

@@ -21,19 +21,17 @@ def _vectors(spark, sf):
     )
 
 
-def _query_vectors(spark, sf, ids):
-    """Query vectors are parameters: a fixed, small number of rows."""
-    rows = _vectors(spark, sf).where(F.col("id").isin(ids)).orderBy("id").select("id", "embedding").collect()
-    return [(r.id, r.embedding) for r in rows]
+def _first(spark, sf):
+    """The query vector, as a scalar subquery."""
+    return _vectors(spark, sf).where("id = 0").select("embedding").scalar()
 
 
 @query("f1_cosine", f"""
 with v as ({VECTORS}), q as (select v as qv from v where id = 0)
 select id, round(list_cosine_similarity(v, qv), 6) as similarity from v, q""")
 def cosine_to_first(spark, sf):
-    [(_, vector)] = _query_vectors(spark, sf, [0])
-    against = F.lit(list(vector)).cast("array<double>")
-    return _vectors(spark, sf).select("id", F.round(cosine("embedding", against), 6).alias("similarity"))
+    both = _vectors(spark, sf).withColumn("first", _first(spark, sf))
+    return both.select("id", F.round(cosine("embedding", "first"), 6).alias("similarity"))
 
 
 @query("f2_top_k", f"""
@@ -41,19 +39,18 @@ with v as ({VECTORS}), q as (select v as qv from v where id = 0)
 select id, round(list_cosine_similarity(v, qv), 6) as similarity from v, q
 order by list_cosine_similarity(v, qv) desc, id limit 10""")
 def top_k(spark, sf):
-    [(_, vector)] = _query_vectors(spark, sf, [0])
-    return search_similar(_vectors(spark, sf), vector, 10).select(
+    return search_similar(_vectors(spark, sf), _first(spark, sf), 10).select(
         "id", F.round("similarity", 6).alias("similarity")
     )
 
 
 @query("f2_top_k_batch", f"""
-with v as ({VECTORS}), q as (select id as query_id, v as qv from v where id in (0,1,2,3,4,5,6,7,8,9)),
+with v as ({VECTORS}), q as (select id as query_id, v as qv from v where label = 0),
 s as (select query_id, id, round(list_cosine_similarity(v, qv), 12) as s from v, q),
 r as (select *, row_number() over (partition by query_id order by s desc, id) as rank from s)
 select query_id, id, round(s, 6) as similarity, rank from r where rank <= 10""")
 def top_k_batch(spark, sf):
-    queries = _query_vectors(spark, sf, list(range(10)))
+    queries = _vectors(spark, sf).where("label = 0").withColumnRenamed("id", "query_id")
     return search_similar_batch(_vectors(spark, sf), queries, 10).select(
         "query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank")
     )
@@ -72,5 +69,5 @@ select doc_id, array_to_string(lines[start_line:end_line], chr(10)) || chr(10) a
        start_line, end_line
 from c join d using (doc_id)""")
 def chunks(spark, sf):
-    docs = spread(t.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = spread(t.table(spark, sf, "documents").select("doc_id", "text"), t.cores(spark))
     return chunk_documents(docs, "doc_id", "text", CHUNK_BYTES)

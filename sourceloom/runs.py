@@ -2,7 +2,8 @@
 
 Each step is a Spark job over a table in ``out``. Model answers are written before they
 are used, so a lost executor or a second run does not ask the model again for what it has
-answered: a run adds only the answers that are missing.
+answered: a run adds only the answers that are missing. Every table has versions, pages
+too, so a run may be repeated on the same folder. Failed calls are returned, not lost.
 """
 
 from __future__ import annotations
@@ -11,33 +12,38 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourceloom.operators import analysis, edges, pages
-from sourceloom.operators.enrich import Retry, Throttle, enrich, missing
+from sourceloom.operators.enrich import Retry, Throttle, enrich, missing, prompt_key
 from sourceloom.operators.skew import with_rank
+from sourceloom.schemas import DOCUMENT, REFERENCE
 from sourceloom.sources import store
 from sourceloom.sources.tree import DEFAULT_EXTENSIONS, classify_files, split_rejects, with_extensions
 
+ANSWERS = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "response", "error", "prompt_id")])
 Client = Callable[[], Callable[[str | None, str], str]]
 
 
 def answers(
     prompts: DataFrame, make_client: Client, path: str,
     retry: Retry = Retry(), throttle: Throttle | None = None, parallelism: int | None = None,
-) -> DataFrame:
-    """Good answers ``path, response`` for the prompts, kept as a table at ``path``."""
+) -> tuple[DataFrame, DataFrame]:
+    """Good answers ``path, response`` for the prompts, and failed calls ``path, error``.
+
+    Both are kept as a table at ``path``. An answer counts for its prompt only: if the
+    prompt's text changed, the model is asked again.
+    """
     spark = prompts.sparkSession
-    version = store.current_version(spark, path)
-    left = prompts if version is None else missing(prompts, store.read_table(spark, path))
-    fresh = enrich(left, make_client, retry, throttle, parallelism)
-    if version is not None:
-        fresh = store.read_table(spark, path).where("error is null").unionByName(fresh)
-    following = 0 if version is None else version + 1
-    fresh.write.mode("overwrite").parquet(f"{path}/v={following}")
-    stored = store.read_table(spark, path)
-    return stored.where("error is null").select("path", "response").join(
-        prompts.select("path"), "path", "left_semi"
-    )
+    keyed = prompt_key(prompts)
+    known = store.current_version(spark, path) is not None
+    kept = store.read_table(spark, path, ANSWERS).where("error is null") if known else None
+    left = keyed if kept is None else missing(keyed, kept)
+    fresh = enrich(left, make_client, retry, throttle, parallelism).join(left.select("path", "prompt_id"), "path")
+    fresh = fresh.select(*ANSWERS.fieldNames())
+    store.write_version(fresh if kept is None else kept.unionByName(fresh), path)
+    stored = store.read_table(spark, path, ANSWERS).join(keyed.select("path", "prompt_id"), ["path", "prompt_id"], "left_semi")
+    return stored.where("error is null").select("path", "response"), stored.where("error is not null").select("path", "error")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -51,38 +57,41 @@ def document_tree(
 ) -> DataFrame:
     """Documentation text per file: documents stored, index and component pages written.
 
-    Returns the rejected files with a reason.
+    Returns ``path, reason`` of what has no page: rejected files and failed calls.
     """
     spark = files.sparkSession
     accepted, rejected = split_rejects(with_extensions(files, extensions))
     prompts = analysis.with_documentation_prompt(accepted).select("path", "prompt")
-    docs = analysis.response_documents(answers(prompts, make_client, f"{out}/answers", **calls), at)
+    given, failed = answers(prompts, make_client, f"{out}/answers", **calls)
+    docs = analysis.response_documents(given, at)
     store.save_documents(_numbered(docs), f"{out}/documents")
-    stored = store.read_table(spark, f"{out}/documents")
+    stored = store.read_table(spark, f"{out}/documents", DOCUMENT)
     no_refs = stored.where(F.lit(False)).select("path", F.lit(0).alias("pos"), F.col("id").alias("target"))
     pages.write_pages(pages.documentation_pages(stored, no_refs, at), f"{out}/pages")
-    return rejected.select("path", "reason")
+    return rejected.select("path", "reason").unionByName(failed.withColumnRenamed("error", "reason"))
 
 
-def analyse_tree(files: DataFrame, make_client: Client, out: str, at: str, **calls) -> DataFrame:
+def analyse_tree(
+    files: DataFrame, make_client: Client, out: str, at: str, **calls
+) -> tuple[DataFrame, DataFrame]:
     """Structured analysis per file: documents, references and pages written.
 
-    Returns the answers that could not be parsed.
+    Returns the answers that could not be parsed, and the failed calls ``path, error``.
     """
     spark = files.sparkSession
     prompts = analysis.with_analysis_prompt(classify_files(files))
-    given = answers(prompts.select("path", "system_prompt", "prompt"), make_client, f"{out}/answers", **calls)
+    given, failed = answers(prompts.select("path", "system_prompt", "prompt"), make_client, f"{out}/answers", **calls)
     good, bad = analysis.parse_analysis(given)
     store.save_documents(_numbered(analysis.analysis_documents(good, at)), f"{out}/documents")
-    docs = store.read_table(spark, f"{out}/documents")
+    docs = store.read_table(spark, f"{out}/documents", DOCUMENT)
     known = edges.known_paths(files.select("path"))
     found = edges.document_edges(docs, known).select(
         "source_id", "target_id", "type", F.lit(at).cast("timestamp").alias("created_at")
     )
     store.save_references(_numbered(found), f"{out}/references")
-    refs = store.read_table(spark, f"{out}/references")
+    refs = store.read_table(spark, f"{out}/references", REFERENCE)
     pages.write_pages(pages.documentation_pages(docs, reference_rows(docs, refs), at), f"{out}/pages")
-    return bad
+    return bad, failed
 
 
 def reference_rows(docs: DataFrame, refs: DataFrame) -> DataFrame:

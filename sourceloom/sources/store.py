@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENT_KEY = ["id"]
 REFERENCE_KEY = ["source_id", "target_id", "type"]
@@ -49,11 +50,32 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return max((int(s.getPath().getParent().getName()[2:]) for s in done), default=None)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def write_version(rows: DataFrame, path: str, partition_by: str | None = None) -> int:
+    """Write the next version. A second writer that chose the same one fails: it finds the
+    folder there, finished or not. An unfinished one of a dead job counts as taken too."""
+    version = highest_version(rows.sparkSession, path) + 1
+    writer = rows.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(f"{path}/v={version}")
+    return version
+
+
+def highest_version(spark: SparkSession, path: str) -> int:
+    """Highest version of a table, finished or not; -1 if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, "v=*")) or []
+    return max((int(s.getPath().getName()[2:]) for s in found), default=-1)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The last finished version. With a schema, one without a single row can be read too."""
     version = current_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"no finished version below {path}")
-    return spark.read.parquet(f"{path}/v={version}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/v={version}")
 
 
 def save(
@@ -61,16 +83,11 @@ def save(
 ) -> int:
     """Write the next version with ``batch`` applied; returns its number."""
     spark = batch.sparkSession
-    version = current_version(spark, path)
-    if version is None:
-        rows, following = latest(batch, key, seq).drop(seq), 0
+    if current_version(spark, path) is None:
+        rows = latest(batch, key, seq).drop(seq)
     else:
-        rows, following = upsert(read_table(spark, path), batch, key, seq), version + 1
-    writer = rows.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{path}/v={following}")
-    return following
+        rows = upsert(read_table(spark, path), batch, key, seq)
+    return write_version(rows, path, partition_by)
 
 
 def save_documents(batch: DataFrame, path: str, seq: str = "seq") -> int:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions.paths import file_ext
+from sourceloom.operators.skew import cut_lineage
 
 # Lower-case extension -> (language, type).
 FILE_KINDS = {
@@ -22,26 +26,76 @@ FILE_KINDS = {
 DEFAULT_EXTENSIONS = (".js", ".ts", ".go", ".rs", ".py", ".java")
 
 
+def _list(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies directly in each folder, whatever its name."""
+    for batch in batches:
+        rows = []
+        for folder in batch["path"]:
+            store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+            prefix = folder.partition("://")[0] + "://" if "://" in folder else ""
+            for info in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+                local = isinstance(store, fs.LocalFileSystem)
+                if info.type == fs.FileType.Directory and not (local and os.path.islink(info.path)):
+                    rows.append((prefix + _under(folder, inner, info.path), True, None))
+                elif info.type == fs.FileType.File:
+                    rows.append((prefix + _under(folder, inner, info.path), False, info.size))
+        yield pd.DataFrame(rows, columns=["path", "folder", "length"]).astype({"length": "Int64", "folder": "boolean"})
+
+
+def _under(folder: str, inner: str, path: str) -> str:
+    """The path below a folder, written as the folder's name is."""
+    return folder.partition("://")[2].rstrip("/") + path[len(inner.rstrip("/")):] if "://" in folder else path
+
+
+def list_tree(spark: SparkSession, root: str, extensions: Iterable[str] | None = None) -> DataFrame:
+    """``path, length`` of every file below ``root``; extensions are applied while listing.
+
+    Folders are listed level by level, each level by Spark tasks. Links to folders are not
+    followed, and folders that vanish meanwhile are empty.
+    """
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    found = None
+    while True:
+        listed = cut_lineage(level.mapInPandas(_list, "path string, folder boolean, length bigint"))
+        files = listed.where("not folder").select("path", "length")
+        if extensions is not None:
+            files = with_extensions(files, extensions)
+        found = files if found is None else found.unionByName(files)
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return found
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
 def scan_tree(
-    spark: SparkSession, root: str, path_glob: str | None = None, skip_unreadable: bool = False
+    spark: SparkSession, root: str, extensions: Iterable[str] | None = None, skip_unreadable: bool = False
 ) -> DataFrame:
-    """``path, length, content`` of every file below ``root``.
+    """``path, length, content`` of every file below ``root`` with one of ``extensions`` (of
+    every file, if none are given).
 
-    Files that vanish while the job runs are skipped. The content is not read when it is
-    not selected; ``path_glob`` is applied while listing.
+    Only wanted files are opened. Bytes that are not UTF-8 become U+FFFD. Files that vanish
+    while the job runs are skipped; unreadable ones fail the scan unless ``skip_unreadable``.
+    ``list_tree`` gives the same rows without content.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
-    )
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
+
+    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                try:
+                    with store.open_input_stream(inner) as file:
+                        text = file.read().decode("utf-8", "replace")
+                except FileNotFoundError:
+                    continue
+                except OSError:
+                    if skip_unreadable:
+                        continue
+                    raise
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [text]})
+
     plain_path = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "")
-    return reader.load(root).select(
-        plain_path.alias("path"), "length", F.decode("content", "UTF-8").alias("content")
-    )
+    files = list_tree(spark, root, extensions).repartition(spark.sparkContext.defaultParallelism, "path")
+    return files.mapInPandas(read, "path string, length bigint, content string").withColumn("path", plain_path)
 
 
 def with_extensions(

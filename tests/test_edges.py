@@ -7,9 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis, edges
-from sourceloom.operators.skew import SkewPolicy
 
-FORCED = SkewPolicy(max_rows=3, small_input=0, salt_joins=True)
 
 
 def comp(name, kind, deps=()):
@@ -66,13 +64,12 @@ def test_each_answer_is_parsed_once(responses):
     assert plan.count("from_json(") == 1
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), FORCED])
-def test_sample_edges(docs, policy):
+def test_sample_edges(docs):
     known = edges.known_paths(docs)
     by_id = {r.id: r.path for r in docs.select("id", "path").collect()}
     got = {
         (by_id[r.source_id], by_id.get(r.target_id, r.target_id), r.type, r.producer)
-        for r in edges.document_edges(docs, known, policy).collect()
+        for r in edges.document_edges(docs, known).collect()
     }
     assert got == {
         ("in/math/calculator.go", "Calculator", "belongs-to", 1),
@@ -95,8 +92,7 @@ def test_parent_candidate_wins(spark):
     assert {r.target_id for r in edges.relation_edges(doc, known).collect()} == {"r/a/b"}
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), FORCED])
-def test_interface_matching_against_brute_force(spark, policy):
+def test_interface_matching_against_brute_force(spark):
     rng = random.Random(3)
     names = ["m%d" % i for i in range(5)]
     rows = []
@@ -106,7 +102,7 @@ def test_interface_matching_against_brute_force(spark, policy):
         rows.append((f"d{i:03}", "hot" if i % 3 else f"dir{i % 5}", kind < 0.7, kind > 0.4, methods))
     sides = spark.createDataFrame(rows, "id string, dir string, has_struct boolean, has_interface boolean, methods array<string>")
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] and b[3] and set(b[4]) <= set(a[4])}
-    got = edges.implements_pairs(sides, policy).collect()
+    got = edges.implements_pairs(sides).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 

@@ -5,7 +5,7 @@ from sourceloom.operators import navigation, pages, project, similarity
 from sourceloom.operators.skew import SkewPolicy
 from sourceloom.sources.tree import classify_files
 
-FORCED = SkewPolicy(max_rows=2, small_input=0, salt_joins=True)
+FORCED = SkewPolicy(max_rows=2)
 POLICIES = [SkewPolicy(), FORCED]
 THREE = ["in/main.go", "in/math/calculator.go", "in/math/operations.go"]
 MORE = [*THREE, "in/go.mod", "in/A.CS", "in/a.csproj", "in/a.sln", "in/readme.md", "in/noext"]
@@ -176,17 +176,17 @@ def test_similar(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_similar_batch_agrees_with_single(spark):
+@pytest.mark.parametrize("block", [4_000_000, 2])
+def test_similar_batch_agrees_with_single(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "MAX_QUERY_VALUES", block)
     docs = spark.createDataFrame(VECTORS, "id string, embedding array<double>").repartition(3)
     queries = [(1, [1.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0]), (4, [0.0, 0.0])]
-    batch = similarity.search_similar_batch(docs, queries, 3).collect()
+    batch = similarity.search_similar_batch(docs, spark.createDataFrame(queries, "query_id bigint, embedding array<double>"), 3).collect()
     for name, vector in queries:
         single = similarity.search_similar(docs, vector, 3).collect()
         rows = sorted((r for r in batch if r.query_id == name), key=lambda r: r["rank"])
         assert [r.id for r in rows] == [r.id for r in single]
         assert [r.similarity for r in rows] == pytest.approx([r.similarity for r in single])
-    with pytest.raises(ValueError):
-        similarity.search_similar_batch(docs, [(1, [0.0] * (similarity.MAX_QUERY_VALUES + 1))], 1)
 
 
 def test_display_rows(spark):

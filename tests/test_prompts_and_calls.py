@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis
-from sourceloom.operators.enrich import Retry, Throttle, call_with_retry, enrich, missing
+from sourceloom.operators.enrich import Retry, Throttle, call_with_retry, enrich, missing, prompt_key
 
 
 def test_prompts(spark):
@@ -74,7 +75,11 @@ def test_enrich(spark):
     got = {r.path: r for r in rows.collect()}
     assert len(got) == 20 and got["p3"].response == "Q3" and got["p3"].error is None
     assert got["p7"].response is None and got["p7"].error == "RuntimeError: refused"
-    assert [r.path for r in missing(prompts, rows).collect()] == ["p7"]
+    keyed = prompt_key(prompts)
+    stored = rows.join(keyed.select("path", "prompt_id"), "path")
+    assert [r.path for r in missing(keyed, stored).collect()] == ["p7"]
+    changed = prompt_key(prompts.withColumn("prompt", F.concat("prompt", F.lit("!"))))
+    assert missing(changed, stored).count() == 20
 
 
 def test_enrich_passes_system_prompt(spark):

@@ -24,9 +24,6 @@ def test_query(spark, database, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert len(got) > 0 or name == "d1_import_edges"
     sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert name == "a1_scan_tree"
-        return
     want = database.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert check_sql.rows(got) == check_sql.rows(want)

@@ -31,8 +31,9 @@ def tree(spark):
 
 def test_analyse_tree(spark, tmp_path):
     out = str(tmp_path / "out")
-    bad = runs.analyse_tree(tree(spark), sample_client(RESPONSES), out, AT, retry=Retry(retries=0))
+    bad, failed = runs.analyse_tree(tree(spark), sample_client(RESPONSES), out, AT, retry=Retry(retries=0))
     assert {r.path for r in bad.collect()} == {f"in/bad{i}.go" for i in range(2, 7)}
+    assert [(r.path, r.error) for r in failed.collect()] == [("in/bad1.go", "OSError: down")]
     docs, refs = store.read_table(spark, f"{out}/documents"), store.read_table(spark, f"{out}/references")
     assert docs.count() == 3 and refs.count() == 4
     ids = {r.path: r.id for r in docs.collect()}
@@ -70,5 +71,43 @@ def test_document_tree_asks_once(spark, tmp_path):
     assert pages == {"index.html", "components/a/x.html"}
     prompts = files.where("path like '%.go' or path like '%.py'").selectExpr("path", "content as prompt")
     more = runs.answers(prompts, counting(str(log)), f"{out}/answers")
-    assert {r.path: r.response for r in more.collect()} == {"a/x.go": "# x", "b.py": "# y"}
-    assert sorted(log.read_text().split()) == ["x", "y"]
+    assert {r.path: r.response for r in more[0].collect()} == {"a/x.go": "# x", "b.py": "# y"} and more[1].isEmpty()
+    assert len(log.read_text().split()) == 3  # the documentation prompt of x, and both of these
+    again = runs.answers(prompts, counting(str(log)), f"{out}/answers")
+    assert again[0].count() == 2 and len(log.read_text().split()) == 3
+
+
+def test_changed_content_is_asked_again_on_the_same_folder(spark, tmp_path):
+    log, out = tmp_path / "calls", str(tmp_path / "out")
+    for text in ("old", "new"):
+        runs.document_tree(spark.createDataFrame([("x.go", text)], "path string, content string"), counting(str(log)), out, AT)
+    docs = store.read_table(spark, f"{out}/documents").collect()
+    assert [d.content for d in docs] == ["# new"] and log.read_text().split() == ["old", "new"]
+    assert "x.html" in {r.out_path.rsplit("/", 1)[-1] for r in read_pages(spark, f"{out}/pages").collect()}
+
+
+def failing():
+    def make():
+        def client(_system, _prompt):
+            raise OSError("down")
+
+        return client
+
+    return make
+
+
+def test_runs_without_a_good_answer(spark, tmp_path):
+    files = spark.createDataFrame([("x.go", "x"), ("y.go", "y")], "path string, content string")
+    out = str(tmp_path / "out")
+    lost = runs.document_tree(files, failing(), out, AT, retry=Retry(retries=0))
+    assert {(r.path, r.reason) for r in lost.collect()} == {("x.go", "OSError: down"), ("y.go", "OSError: down")}
+    bad, failed = runs.analyse_tree(files, failing(), str(tmp_path / "two"), AT, retry=Retry(retries=0))
+    assert bad.isEmpty() and failed.count() == 2
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(3)
+    assert store.write_version(rows, path) == 0
+    (tmp_path / "t" / "v=1").mkdir()  # another writer is at it, or died
+    assert store.write_version(rows, path) == 2 and store.current_version(spark, path) == 2

@@ -1,13 +1,13 @@
-"""Hot groups: the split and salted paths give what the plain ones give."""
+"""Hot groups: the split path gives what the plain one gives."""
 
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom.operators.skew import SkewPolicy, input_bytes, skew_join, text_parts, with_rank
+from sourceloom.operators.skew import SkewPolicy, text_parts, with_rank
 
-FORCED = SkewPolicy(max_rows=50, small_input=0, salt_joins=True)
+FORCED = SkewPolicy(max_rows=50)
 
 
 @pytest.fixture(scope="module")
@@ -49,27 +49,19 @@ def test_hot_group_is_ranked_in_several_tasks(lopsided):
     assert "Window [row_number() windowspecdefinition(g" in text and "__range" in text
 
 
-def test_small_input_skips_the_check(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    small = spark.read.parquet(str(tmp_path / "t"))
-    assert 0 < input_bytes(small) < 100_000
+def test_small_files_with_one_hot_key_are_split(spark, tmp_path):
+    """Ten million rows of one key are a file of a few kilobytes."""
+    spark.range(10_000_000).select(F.lit(1).alias("g"), "id").write.parquet(str(tmp_path / "t"))
+    plan = with_rank(spark.read.parquet(str(tmp_path / "t")), ["g"], ["id"], "r")
+    assert "__range" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.agg(F.count_if(F.col("r") == F.col("id") + 1)).first()[0] == 10_000_000
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-@pytest.mark.parametrize("unique", [True, False])
-def test_salted_join(spark, lopsided, how, unique):
-    right = spark.range(0, 30, 2).select(F.col("id").cast("int").alias("g"), (F.col("id") * 10).alias("v"))
-    if not unique:
-        right = right.unionByName(right.withColumn("v", F.col("v") + 1))
-    plain = lopsided.join(right, ["g"], how)
-    salted = skew_join(lopsided, right, ["g"], how, FORCED)
-    assert salted.columns == plain.columns
-    assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-
-
-def test_join_type_is_checked(lopsided):
-    with pytest.raises(ValueError):
-        skew_join(lopsided, lopsided, ["g"], "full")
+def test_long_lines_are_split_by_bytes(lopsided):
+    policy = SkewPolicy(max_bytes=10_000)
+    plan = with_rank(lopsided, ["g"], ["k"], "r", weight=F.lit(100), policy=policy)
+    assert "__range" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.r for r in plan.collect()} == brute_ranks(lopsided.collect())
 
 
 @pytest.mark.parametrize("policy", [SkewPolicy(), FORCED])

@@ -1,4 +1,6 @@
 import json
+import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from sourceloom.operators import lookups
 from sourceloom.schemas import DOCUMENT, REFERENCE
 from sourceloom.sources import store
 from sourceloom.sources.records import decode_rows, encode_rows
-from sourceloom.sources.tree import classify_files, scan_tree, split_rejects, with_extensions
+from sourceloom.sources.tree import classify_files, list_tree, scan_tree, split_rejects, with_extensions
 
 
 @pytest.fixture
@@ -39,12 +41,23 @@ def test_extension_list_is_case_sensitive_and_tolerant(spark, tree):
     assert names(["cs"]) == set()
     assert {r.path.rsplit("/", 1)[1] for r in with_extensions(scan_tree(spark, tree)).collect()} == {
         "main.go", "calculator.go", "b.py"}
-    assert scan_tree(spark, tree, path_glob="*.sln").count() == 1
+    assert {r.path.rsplit("/", 1)[1] for r in scan_tree(spark, tree, ["sln", ".py"]).collect()} == {"a.sln", "b.py"}
 
 
-def test_scan_prunes_content(spark, tree):
-    plan = scan_tree(spark, tree).select("path", "length")._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+def test_scan_sees_every_file_and_opens_only_wanted_ones(spark, tree):
+    root = pathlib.Path(tree)
+    for name, data in {"_w.py": b"w", "p/__init__.py": b"", "_internal/y.py": b"y", ".hidden/z.py": b"z", "latin.py": b"caf\xe9",
+                       "a b%20.py": b"s"}.items():
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "image.png").write_bytes(b"")
+    os.truncate(root / "image.png", 1 << 33)  # never read
+    (root / "self").symlink_to(root)
+    rows = {r.path.removeprefix(tree + "/"): (r.content, r.length) for r in scan_tree(spark, tree, ["py"]).collect()}
+    assert rows == {"_w.py": ("w", 1), "p/__init__.py": ("", 0), "_internal/y.py": ("y", 1), ".hidden/z.py": ("z", 1),
+                    "latin.py": ("caf\ufffd", 4), "a b%20.py": ("s", 1), "deep/er/b.py": ("b", 1)}
+    assert list_tree(spark, tree).where("path like '%image.png'").first().length == 1 << 33
+    assert {r.path for r in scan_tree(spark, "file://" + tree, ["sln"]).collect()} == {tree + "/a.sln"}
 
 
 def test_rejects(spark):
@@ -100,7 +113,7 @@ def test_unfinished_version_is_ignored(spark, tmp_path):
     store.save_documents(document(spark, "a", "1").withColumn("seq", F.lit(1)), path)
     (tmp_path / "docs" / "v=1").mkdir()
     assert store.current_version(spark, path) == 0
-    assert store.save_documents(document(spark, "a", "2").withColumn("seq", F.lit(1)), path) == 1
+    assert store.save_documents(document(spark, "a", "2").withColumn("seq", F.lit(1)), path) == 2
     assert [r.content for r in store.read_table(spark, path).collect()] == ["2"]
 
 
