@@ -128,13 +128,14 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def method_sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as documents with methods; at most 15 distinct methods exist."""
+    """Customers as documents with methods; at most 15 distinct methods exist. A directory
+    is a nation in a block of 600 customers, so there are more of them in larger tables."""
     methods = _run(spark, sf, METHODS_SQL).groupBy("o_custkey").agg(
         F.array_sort(F.collect_set(F.lower("method"))).alias("methods")
     )
     customer = table(spark, sf, "customer")
     return customer.join(methods, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("dir"),
+        F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey", F.lit("/"), F.floor(F.col("c_custkey") / 600)).alias("dir"),
         F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("has_struct"),
         F.col("c_mktsegment").isin("HOUSEHOLD", "MACHINERY").alias("has_interface"),
         F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
@@ -220,10 +221,10 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_analyses(spark: SparkSession, sf: str) -> DataFrame:
-    """``path, purpose, targets``: first line as purpose, empty for every fifth document."""
+    """``path, purpose, targets``: the whole text as purpose, empty for every fifth document."""
     return files(spark, sf).select(
         "path",
-        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring_index("content", "\n", 1)).alias("purpose"),
+        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("content")).alias("purpose"),
         F.array(
             F.concat(F.lit("t"), F.col("doc_id") % 4), F.concat(F.lit("t"), F.col("doc_id") % 3)
         ).alias("targets"),
@@ -231,7 +232,7 @@ def file_analyses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ANALYSES = """
-select path, case when doc_id % 5 = 0 then '' else split_part(content, chr(10), 1) end as purpose,
+select path, case when doc_id % 5 = 0 then '' else content end as purpose,
        concat('t', doc_id % 4) as t0, concat('t', doc_id % 3) as t1 from f"""
 REFS = """
 select path, 0 as pos, concat('t', doc_id % 4) as target from f

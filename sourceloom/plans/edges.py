@@ -46,7 +46,7 @@ s as (
   from customer left join m on o_custkey = c_custkey group by all),
 implements as (
   select concat('c', a.c_custkey) as source_id, concat('c', b.c_custkey) as target_id
-  from s a join s b on a.c_nationkey = b.c_nationkey
+  from s a join s b on a.c_nationkey = b.c_nationkey and a.c_custkey // 600 = b.c_custkey // 600
   where a.c_mktsegment in ('BUILDING', 'MACHINERY') and b.c_mktsegment in ('HOUSEHOLD', 'MACHINERY')
     and list_has_all(a.methods, b.methods))"""
 

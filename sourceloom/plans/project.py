@@ -24,15 +24,14 @@ def _files(spark, sf):
 
 @query("c1_project_type", f"""
 with f as ({t.FILES} union all
-  select -1, concat('root/', source, '/go.mod'), '', '' from documents where n_chars > 1000)
+  select -1, concat('root/', source, case lang when 'de' then '/all.sln' else '/go.mod' end), '', '' from documents)
 select coalesce(arg_min(case when path like '%go.mod' then 'go-module' else 'dotnet-solution' end,
                         replace(path, '/', chr(1))), 'unknown') as project_type
 from f where path like '%go.mod' or path like '%.sln'""")
 def project_type(spark, sf):
-    """Sources with a long document have a marker file too."""
-    markers = t.table(spark, sf, "documents").where("n_chars > 1000").select(
-        F.concat(F.lit("root/"), "source", F.lit("/go.mod")).alias("path")
-    )
+    """Every document's source has a marker file, of a kind that depends on the language."""
+    kind = F.when(F.col("lang") == "de", "/all.sln").otherwise("/go.mod")
+    markers = t.table(spark, sf, "documents").select(F.concat(F.lit("root/"), "source", kind).alias("path"))
     return op.project_type(t.files(spark, sf).select("path").unionByName(markers))
 
 
