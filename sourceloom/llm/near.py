@@ -9,9 +9,9 @@ the collision-corrected estimate and the sizes drop most false ones, and the res
 confirmed on the full sets of 64-bit shingle hashes.
 
 Equal sets are one node from the start. In a band, all nodes are compared with one leader,
-not with each other. Where that leaves several components in a band, other leaders follow,
-and after ``ROUNDS`` of them all remaining pairs of different components are compared, in
-blocks of ``BLOCK`` by ``BLOCK`` nodes, so no link is lost and no task holds a whole band.
+not with each other. Where that leaves several components in a band, the nodes outside its
+largest one are compared with all others, in blocks of ``BLOCK`` by ``BLOCK`` nodes, so no
+component is missed and no task holds a whole band.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from sourceloom.llm.words import NON_SPACE, Words, mix, shingles, slices, words
 BANDS, ROWS = 32, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-ROUNDS = 3
 BLOCK = 256
 SIGMAS = 5
 # Fixed value: expected share of accidental collisions of HyperMinHash registers.
@@ -147,6 +146,14 @@ def sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield out.filter(pa.array(same))
 
 
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node, hashes`` (ascending) of the wanted nodes, from one document of each."""
+    texts = wanted.join(nodes.select("node", "digest", "rep"), "node").withColumnRenamed("rep", "doc_id")
+    texts = texts.join(docs.select("doc_id", "text"), "doc_id").select("node", "digest", "text")
+    found = texts.mapInArrow(lambda it: sets(it, size), "node bigint, hashes array<bigint>")
+    return kept(found.dropDuplicates(["node"]))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of nodes that are similar enough by their full sets."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"))
@@ -155,48 +162,62 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     )
     near = kept(pairs.join(side("a"), "a").join(side("b"), "b").where(passes("r_a", "r_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b"))
     involved = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    texts = involved.join(nodes, "node").select("node", "digest", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
-    found = texts.select("node", "digest", "text").mapInArrow(lambda it: sets(it, size), "node bigint, hashes array<bigint>")
-    found = kept(found.dropDuplicates(["node"]))
+    found = full_sets(involved, nodes, docs, size)
     both = near.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
     both = both.join(found.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
     shared = F.size(F.array_intersect("h_a", "h_b"))
     return kept(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
 
 
-def leader_pairs(bands: DataFrame, turn: int) -> DataFrame:
-    """In each band with several components, its nodes beside one of them, the leader."""
-    rank = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
-    chosen = bands.groupBy("key").agg(
-        F.min_by(F.struct("node", "component"), rank).alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    met = bands.join(chosen.where("low <> high").select("key", "leader"), "key").where(F.col("component") != F.col("leader.component"))
-    return met.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-
-
-def remaining_pairs(bands: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of different components in a band, compared block by block."""
-    mixed = bands.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    mixed = mixed.where("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = bands.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
-    own = own.join(nodes.select("node", "registers", "n"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "registers", "n"
-    )
+def leader_pairs(bands: DataFrame) -> DataFrame:
+    """In each band its nodes beside the leader, the one that meets most nodes in all its
+    bands. In a family of edited copies that is the text they were made from."""
+    chosen = bands.groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"))
+    met = bands.join(chosen, "key").where("node <> leader")
+    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def remaining_links(bands: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between different components of a band, found by comparing every node outside
+    the band's largest component with all of another one, in blocks. A block gives links
+    that join its components, not all of them."""
+    counts = bands.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most")
+    ).where("all > most")
+    mixed = mixed.withColumns({
+        "rows": F.ceil(F.col("all") / BLOCK).cast("int"), "columns": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    })
+    own = kept(bands.select("key", "node", "component").join(mixed.select("key", "top", "rows", "columns"), "key"))
+    if own.isEmpty():
+        return None
+    found = full_sets(own.select("node").distinct(), nodes, docs, size)
+    held = own.join(nodes.select("node", "registers", "n"), "node").join(found, "node")
+    at = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = ["key", "node", "component", "registers", "n", "hashes"]
+    members = held.select(*cells, at("rows").alias("i"), every("columns").alias("j"), F.lit(False).alias("outside"))
+    outside = held.where("component <> top").select(*cells, every("rows").alias("i"), at("columns").alias("j"), F.lit(True).alias("outside"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         held, n = as_rows(group.registers), group.n.to_numpy()
-        node, component, block = group.node.to_numpy(), group.component.to_numpy(), group.block.to_numpy()
-        same_block = group.i.iloc[0] == group.j.iloc[0]
-        out = []
-        for k in range(len(group)):
-            against = np.flatnonzero((component != component[k]) & ((node > node[k]) if same_block else (block > block[k])))
-            good = against[likely(held[k][None], held[against], np.full(len(against), n[k]), n[against], percent)]
-            out += [(min(node[k], x), max(node[k], x)) for x in node[good]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+        node, component, out = group.node.to_numpy(), group.component.to_numpy().copy(), group.outside.to_numpy(bool)
+        hashes = [np.asarray(h).view(np.uint64) for h in group.hashes]  # the order they are sorted in
+        inside, links = np.flatnonzero(~out), []
+        for k in np.flatnonzero(out).tolist():
+            good = inside[likely(held[k][None], held[inside], np.full(len(inside), n[k]), n[inside], percent)]
+            for m in good[component[good] != component[k]].tolist():
+                if component[m] == component[k]:
+                    continue
+                small, large = sorted((hashes[k], hashes[m]), key=len)
+                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                shared = int((large[place] == small).sum())
+                if 100 * shared >= percent * (n[k] + n[m] - shared):
+                    links.append((min(node[k], node[m]), max(node[k], node[m])))
+                    component[component == component[m]] = component[k]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return kept(members.unionByName(outside).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -223,26 +244,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # Only bands that several nodes share matter from here on.
     bands = nodes.select("node", "registers").mapInPandas(keys, "key bigint, node bigint")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bands = kept(bands.join(shared, "key"))
-    labelled = bands.withColumn("component", F.col("node"))
-    links = edges = None
-    tested = None
-    for turn in range(ROUNDS + 1):
-        pairs = leader_pairs(labelled, turn) if turn < ROUNDS else remaining_pairs(labelled, nodes, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept(pairs)
-        if pairs.isEmpty():
-            if turn == ROUNDS or tested is None:
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = confirmed(pairs, nodes, docs, size, percent)
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            links = kept(components(edges))
-            labelled = kept(bands.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    bands = bands.join(bands.groupBy("node").agg(F.sum("size").alias("degree")), "node").select("key", "node", "degree")
+    links, edges = None, confirmed(kept(leader_pairs(bands)), nodes, docs, size, percent)
+    if not edges.isEmpty():
+        links = kept(components(edges))
+        bands = bands.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    else:
+        bands = bands.withColumn("component", F.col("node"))
+    more = remaining_links(bands, nodes, docs, size, percent)
+    if more is not None and not more.isEmpty():
+        links = kept(components(edges.unionByName(more)))
     if links is None:
         ends = nodes.select("digest", F.col("rep").alias("component_id"))
     else:
