@@ -6,8 +6,9 @@ places, so they meet if text is dealt by anchors. Neighbouring windows with one
 a fragment; only fragments whose anchor occurs again are looked at.
 
 Equal fragments collapse first: all but the earliest are covered whole. Where different
-fragments share an anchor, a suffix array over the distinct ones puts equal windows side by
-side, and each window learns the earliest start of its class. Anchors are dealt to groups of
+fragments share an anchor, windows that no other fragment has are left aside, and a suffix
+array over the distinct pieces that remain puts equal windows side by side, so that each
+learns the earliest start of its class. Anchors are dealt to groups of
 about ``GROUP_BYTES``; an anchor with more distinct text than that has its windows dealt
 once more, by their own hash, so that no group grows with the data.
 """
@@ -28,8 +29,8 @@ from sourceloom.llm.suffixes import suffix_array
 from sourceloom.llm.words import BASE, BYTE_VALUES, INVERSE, mix, powers, slices, text_bytes
 
 LENGTH = 100
-GRAM = 20
-GROUP_BYTES = 256 << 10
+GRAM = 32
+GROUP_BYTES = 1 << 20
 SLICE = 1 << 20
 TIE_BITS = 24
 
@@ -106,19 +107,67 @@ def cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "digest", "doc", "place", "windows", "bytes"])
 
 
+def repeated_pieces(group: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose hash occurs again in the group: for each run its fragment, its
+    first byte there and how many windows it has."""
+    data = np.frombuffer(b"".join(group["bytes"]), np.uint8)
+    windows = group.windows.to_numpy(np.int64)
+    begins = np.cumsum(windows + length - 1) - (windows + length - 1)
+    owner = np.repeat(np.arange(len(group)), windows)
+    start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begins[owner]
+    hashes = rolling(data, length, start)
+    order = np.argsort(hashes, kind="stable")
+    equal = np.zeros(len(order) + 1, bool)
+    equal[1:-1] = hashes[order][1:] == hashes[order][:-1]
+    again = np.zeros(len(order), bool)
+    again[order] = equal[1:] | equal[:-1]
+    owner, start = owner[again], start[again]
+    first = np.ones(len(start), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(first)
+    return owner[at], start[at] - begins[owner[at]], np.diff(np.append(at, len(start)))
+
+
 def earlier_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Runs of windows in the group's fragments that also start earlier, by a suffix array."""
-    group = group.sort_values(["doc", "place", "anchor"], kind="stable")
+    """Runs of windows in the group's fragments that also start earlier.
+
+    Windows without an equal hash are left aside, equal pieces of what remains collapse to
+    the earliest, and a suffix array of the distinct pieces shows which windows are equal.
+    """
+    group = group.sort_values(["doc", "place", "anchor"], kind="stable").reset_index(drop=True)
+    owner, offset, windows = repeated_pieces(group, length)
+    place, docs = group.place.to_numpy(np.int64), group.doc.to_numpy(np.int64)
+    start, doc, tie = (place >> TIE_BITS)[owner] + offset, docs[owner], place[owner] & ((1 << TIE_BITS) - 1)
+    pieces: dict[bytes, int] = {}
+    late, kept_ = [], []
+    for k in np.lexsort((start, doc)).tolist():
+        text = group["bytes"][owner[k]][offset[k] : offset[k] + windows[k] + length - 1]
+        least = pieces.setdefault(text, k)
+        if least == k:
+            kept_.append(k)
+        elif (doc[least], start[least]) != (doc[k], start[k]):
+            late.append(k)
+    whole = pd.DataFrame({"doc": doc[late], "place": start[late] << TIE_BITS | tie[late], "windows": windows[late].astype(np.int32)})
+    if not kept_:
+        return whole
+    own = np.array(kept_)
+    return pd.concat([whole, equal_windows(list(pieces), doc[own], start[own], tie[own], windows[own], length)], ignore_index=True)
+
+
+def equal_windows(
+    pieces: list[bytes], doc: np.ndarray, start: np.ndarray, tie: np.ndarray, windows: np.ndarray, length: int
+) -> pd.DataFrame:
+    """Windows of distinct pieces that also start earlier, by a suffix array of the pieces."""
     text: list[int] = []
     begins = []
-    for piece in group["bytes"]:
+    for piece in pieces:
         begins.append(len(text))
         text.extend(piece)
         text.append(256)
     order = np.array(suffix_array(text), np.int64)
-    flat, begins, windows = np.array(text, np.int16), np.array(begins), group.windows.to_numpy(np.int64)
-    owner = np.searchsorted(begins, order, "right") - 1
-    valid = order - begins[owner] < windows[owner]
+    flat, begin = np.array(text, np.int16), np.array(begins)
+    owner = np.searchsorted(begin, order, "right") - 1
+    valid = order - begin[owner] < windows[owner]
     order, owner = order[valid], owner[valid]
     same = np.zeros(len(order), bool)
     view = np.lib.stride_tricks.sliding_window_view(flat, length)
@@ -126,28 +175,23 @@ def earlier_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
         b = min(len(order), a + 4096)
         same[a:b] = (view[order[a:b]] == view[order[a - 1 : b - 1]]).all(axis=1)
     label = np.cumsum(~same)
-    # Fragments are in order of document and place, and equal windows of one document start in that order too.
-    start = (group.place.to_numpy(np.int64) >> TIE_BITS)[owner] + order - begins[owner]
-    doc = group.doc.to_numpy(np.int64)[owner]
-    rank = np.lexsort((start, doc, label))
+    at, in_doc = start[owner] + order - begin[owner], doc[owner]
+    rank = np.lexsort((at, in_doc, label))
     head = np.ones(len(rank), bool)
     head[1:] = label[rank][1:] != label[rank][:-1]
     group_at = np.cumsum(head) - 1
-    least_doc, least_start = doc[rank][head][group_at], start[rank][head][group_at]
+    least_doc, least_at = in_doc[rank][head][group_at], at[rank][head][group_at]
     late = np.zeros(len(order), bool)
-    late[rank] = (doc[rank] != least_doc) | (start[rank] != least_start)
-    return runs(group, owner[late], start[late])
-
-
-def runs(group: pd.DataFrame, owner: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    first = np.ones(len(start), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-    at = np.flatnonzero(first)
-    place, doc = group.place.to_numpy(np.int64)[owner[at]], group.doc.to_numpy(np.int64)[owner[at]]
-    tie = place & ((1 << TIE_BITS) - 1)
-    return pd.DataFrame({"doc": doc, "place": start[at] << TIE_BITS | tie, "windows": np.diff(np.append(at, len(start))).astype(np.int32)})
+    late[rank] = (in_doc[rank] != least_doc) | (at[rank] != least_at)
+    owner, at = owner[late], at[late]
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    first = np.ones(len(at), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+    k = np.flatnonzero(first)
+    return pd.DataFrame({
+        "doc": doc[owner[k]], "place": at[k] << TIE_BITS | tie[owner[k]], "windows": np.diff(np.append(k, len(at))).astype(np.int32)
+    })
 
 
 def windows_by_hash(large: DataFrame, length: int) -> DataFrame:
@@ -231,7 +275,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str]
     weight = texts.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("weight"))
     sized = texts.join(weight, "anchor")
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    groups = max(1, 2 * total // GROUP_BYTES)
+    groups = max(1, 4 * total // GROUP_BYTES)
     small = sized.where(F.col("weight") <= GROUP_BYTES).withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
     late = small.groupBy("group").applyInPandas(lambda g: earlier_windows(g, length), "doc bigint, place bigint, windows int")
     late = late.unionByName(windows_by_hash(kept(sized.where(F.col("weight") > GROUP_BYTES)), length))
