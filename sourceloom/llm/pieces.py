@@ -27,16 +27,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
-from sourceloom.llm.words import BASE, INVERSE, mix, powers, slices, text_bytes
+from sourceloom.llm.words import BASE, CHUNK, INVERSE, mix, powers, slices, text_bytes
 
 SPACE = 0x2581
 NORMAL, CONTROL, BYTE = 1, 3, 6
-KNOWN_SEGMENTS = 1_000_000
-KNOWN_PAIRS = 2_000_000
+KNOWN_SEGMENTS = 300_000
+KNOWN_PAIRS = 1_000_000
+ENCODE_BYTES = 2 << 20
+DECODE_IDS = 100_000
 
 
 def code_points(data: bytes) -> np.ndarray:
-    return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.int32)
 
 
 @dataclass
@@ -63,9 +65,10 @@ class Vocabulary:
         self.symbols = np.full((len(self.ids), self.longest), -1, np.int64)
         for row, piece in zip(self.symbols, self.ids, strict=True):
             row[: len(piece)] = [ord(c) for c in piece]
-        self.merging = np.unique(code_points("".join(p for p in self.ids if len(p) > 1).encode()))
-        self.single = np.array(sorted(ord(p) for p in self.ids if len(p) == 1), np.int64)
-        self.single_ids = np.array([self.ids[chr(c)] for c in self.single], np.int64)
+        # By code point: whether it stands in a piece with others, and whether it is a piece.
+        self.merging, self.single = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.merging[code_points("".join(p for p in self.ids if len(p) > 1).encode())] = True
+        self.single[[ord(p) for p in self.ids if len(p) == 1]] = True
         # Decoding: the bytes of each piece, one after the other.
         said = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k != NORMAL else p.replace(chr(SPACE), " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.said, self.said_at = np.frombuffer(b"".join(said), np.uint8), np.cumsum([0, *map(len, said)])
@@ -102,7 +105,7 @@ class Vocabulary:
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether ``right`` can follow ``left`` (-1: the segment's start)."""
-        keys = (left + 1) * (1 << 22) + right
+        keys = (left.astype(np.int64) + 1) * (1 << 22) + right
         wanted = np.unique(keys)
         at = np.searchsorted(self.pairs, wanted)
         new = wanted[(at == len(self.pairs)) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != wanted)] if len(self.pairs) else wanted
@@ -191,20 +194,22 @@ def encode_segments(text: np.ndarray, begins: np.ndarray, vocab: Vocabulary) ->
     index = SuffixArray(text, vocab.longest)
     low, high = index.find(vocab.symbols, vocab.length[vocab.normal])
     n = high - low
-    token = np.repeat(vocab.normal, n)
+    token = np.repeat(vocab.normal.astype(np.int32), n)
     start = index.order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    alone = np.flatnonzero(~np.isin(text, vocab.single))
-    token, start = np.concatenate([token, text[alone] + len(vocab.pieces)]), np.concatenate([start, alone])
-    end = start + np.where(token < len(vocab.pieces), vocab.length[np.minimum(token, len(vocab.pieces) - 1)], 1)
+    alone = np.flatnonzero(~vocab.single[text])
+    token, start = np.concatenate([token, text[alone] + np.int32(len(vocab.pieces))]), np.concatenate([start, alone]).astype(np.int32)
+    end = start + np.where(token < len(vocab.pieces), vocab.length[np.minimum(token, len(vocab.pieces) - 1)].astype(np.int32), np.int32(1))
     segment = np.searchsorted(begins, start, "right") - 1
     inside = end <= begins[segment + 1]
     token, start, end, segment = token[inside], start[inside], end[inside], segment[inside]
-    place = end - begins[segment]
+    place = (end - begins[segment]).astype(np.int32)
+    at_start = start == begins[segment]
+    del inside, segment
     order = np.argsort(place, kind="stable")
-    token, start, end, place = token[order], start[order], end[order], place[order]
-    at_start = start == begins[segment[order]]
+    token, start, end, place, at_start = token[order], start[order], end[order], place[order], at_start[order]
+    del order
     last = np.full(len(text) + 1, -1, np.int64)  # last token of the encoding that ends here
-    bounds = np.flatnonzero(np.diff(place, prepend=0, append=np.iinfo(np.int64).max))
+    bounds = np.flatnonzero(np.diff(place, prepend=0, append=np.iinfo(np.int32).max))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         before = np.where(at_start[a:b], -1, last[start[a:b]])
         good = np.flatnonzero((at_start[a:b] | (before >= 0)))
@@ -245,7 +250,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.flat, self.first = np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.hashes, self.flat, self.first = np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(1, np.int64)
         self.rank = np.empty(0, np.int64)  # of the hash in order -> number of the segment
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -254,13 +259,13 @@ class Encoder:
         docs = [code_points(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         sizes = np.array([len(d) + (len(d) > 0) for d in docs], np.int64)
         ends = np.cumsum(sizes)
-        text = np.full(int(ends[-1]) if len(ends) else 0, SPACE, np.int64)
+        text = np.full(int(ends[-1]) if len(ends) else 0, SPACE, np.int32)
         for d, e in zip(docs, ends.tolist(), strict=True):
             text[e - len(d) : e] = d
         text[text == 32] = SPACE
         if not len(text):
             return np.empty(0, np.int64), np.zeros(len(docs) + 1, np.int64)
-        alone = ~np.isin(text, self.vocab.merging)
+        alone = ~self.vocab.merging[text]
         cut = np.ones(len(text), bool)
         cut[1:] = ((text[1:] == SPACE) & (text[:-1] != SPACE)) | alone[1:] | alone[:-1]
         heads = (ends - sizes)[sizes > 0]
@@ -290,23 +295,38 @@ class Encoder:
             order = np.argsort(hashes)
             self.hashes, self.rank = hashes[order], numbers[order]
             self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
-            self.flat = np.concatenate([self.flat, flat])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         return self.rank[np.searchsorted(self.hashes, unique)][back]
 
 
 def segment_hashes(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(mix(text) * powers(BASE, len(text)), out=sums[1:])
-    return mix((sums[begins[1:]] - sums[begins[:-1]]) * powers(INVERSE, len(text))[begins[:-1]] + np.diff(begins).astype(np.uint64))
+    out, i = np.empty(len(begins) - 1, np.uint64), 0
+    while i < len(out):
+        base = begins[i]
+        j = max(i + 1, int(np.searchsorted(begins, base + CHUNK, "right")) - 1)
+        n = int(begins[j] - base)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(text[base : base + n]) * powers(BASE, n), out=sums[1:])
+        a, b = begins[i:j] - base, begins[i + 1 : j + 1] - base
+        out[i:j] = mix((sums[b] - sums[a]) * powers(INVERSE, n)[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def decode(ids: np.ndarray, first: np.ndarray, vocab: Vocabulary) -> list[str]:
     """Texts of the id lists that start at ``first``; the dummy prefix goes again."""
-    size = np.diff(vocab.said_at)[ids]
-    at = np.repeat(vocab.said_at[ids], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    data = vocab.said[at].tobytes()
-    ends = np.concatenate([[0], np.cumsum(size)])[first]
-    return [data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    out, i = [], 0
+    while i < len(first) - 1:  # some lists at a time, of about DECODE_IDS ids
+        j = max(i + 1, int(np.searchsorted(first, first[i] + DECODE_IDS, "right")) - 1)
+        own = ids[first[i] : first[j]]
+        size = np.diff(vocab.said_at)[own]
+        at = np.repeat(vocab.said_at[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        data = vocab.said[at].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[first[i : j + 1] - first[i]].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            out.append(data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace"))
+        i = j
+    return out
 
 
 def model_bytes(docs: DataFrame, model_file: str):
@@ -315,8 +335,8 @@ def model_bytes(docs: DataFrame, model_file: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encoded(docs: DataFrame, model_file: str) -> DataFrame:
-    """Piece ids of each text.
+def encoded(docs: DataFrame, model_file: str, back: bool = False) -> DataFrame:
+    """Piece ids of each text, and with ``back`` the text they decode to (as ``decoded``).
 
     One row per input row (``doc_id``, ``text``): ``doc_id, text, ids``. Null and empty texts
     have no ids. Repeated rows are encoded alike. Other columns are left out, whatever their
@@ -325,14 +345,17 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     held = model_bytes(docs, model_file)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary(held.value).encoder
-        for batch in slices(batches, "text", 8 << 20):
-            ids, first = encoder.encode(batch.column("text"))
+        vocab = vocabulary(held.value)
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            ids, first = vocab.encoder.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], names=["doc_id", "text", "ids"])
+            columns, names = [batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"]
+            if back:
+                columns, names = [*columns, pa.array(decode(ids, first, vocab), pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(encode, "doc_id bigint, text string, ids array<int>")
+    return texts.mapInArrow(encode, "doc_id bigint, text string, ids array<int>" + ", decoded string" * back)
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
@@ -343,9 +366,9 @@ def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(held.value)
         for batch in batches:
-            lists = batch.column("ids").cast(pa.list_(pa.int64()))
+            lists = batch.column("ids")
             sizes = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
             texts = decode(ids, np.concatenate([[0], np.cumsum(sizes)]), vocab)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 

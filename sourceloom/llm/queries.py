@@ -89,7 +89,7 @@ BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and what they decode to (a space where the text has U+2581)."""
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    rows = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), model), model)
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), model, back=True)
     same = F.col("decoded") == F.coalesce(F.replace("text", F.lit("\u2581"), F.lit(" ")), F.lit(""))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
