@@ -1,8 +1,8 @@
 """HTML extraction with removal of site templates.
 
 Every page is parsed once to hash its element subtrees (tag, class and text, bottom up).
-Spark counts on how many pages of a host each subtree stands; those on many pages are the
-site's template. A second parse deletes them, with what markup itself declares not to be
+Spark counts on how many pages of a host with different contents each subtree stands (copies
+of a page count once); those on many are the site's template. A second parse deletes them, with what markup itself declares not to be
 main text, and joins what is left. Text under ``article`` or ``main`` is never taken for a
 template, however often it recurs, because articles are copied and quoted.
 
@@ -67,10 +67,11 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 
 
 class Element:
-    __slots__ = ("tag", "mark", "dropped", "main", "begin", "parts")
+    __slots__ = ("tag", "mark", "dropped", "main", "holds", "begin", "parts")
 
     def __init__(self, tag: str, mark: str, dropped: bool, main: bool, begin: int):
         self.tag, self.mark, self.dropped, self.main, self.begin = tag, mark, dropped, main, begin
+        self.holds = False  # main text, which its hash does not cover
         self.parts: list[bytes] = []  # hashes of what is inside, in order
 
 
@@ -111,10 +112,12 @@ class Page:
         element = self.stack.pop()
         if element.tag not in INLINE:
             self.out.append(" ")
+        if element.main or element.holds:
+            self.stack[-1].holds = True
         if element.parts and not element.main:
             digest = xxhash.xxh64(f"{element.tag} {element.mark}\0".encode() + b"".join(element.parts))
             self.stack[-1].parts.append(digest.digest())
-            if element.tag not in WHOLE:
+            if element.tag not in WHOLE and not element.holds and not element.dropped:
                 number = digest.intdigest() - (1 << 63)
                 if self.template is None:
                     self.hashes.add(number)
@@ -199,12 +202,14 @@ class Page:
 
 
 def subtree_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's subtrees, with a hash of its text before templates go (``content``)."""
     for batch in batches:
-        lists = [list(Page(h or "").hashes) for h in batch.column("html").to_pylist()]
-        sizes = [len(x) for x in lists]
+        pages = [Page(h or "") for h in batch.column("html").to_pylist()]
+        sizes = [len(x.hashes) for x in pages]
         at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        flat = pa.array([h for x in lists for h in x], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), flat], names=["host", "hash"])
+        flat = pa.array([h for x in pages for h in x.hashes], pa.int64())
+        content = pa.array([xxhash.xxh64(x.text.encode("utf-8", "replace")).intdigest() - (1 << 63) for x in pages], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), flat, content.take(at)], names=["host", "hash", "content"])
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,17 +224,18 @@ def main_text(pages: DataFrame, many: int = MANY_PAGES, share: float = SHARE) ->
 
     One row per input row: ``page_id, url, text``. Left out is what stands in navigation,
     footers, sidebars, forms and the like, by element name, class, id or role, and outside
-    ``article`` and ``main`` every subtree that stands on at least ``many`` pages and
-    ``share`` of all pages of the host. White space becomes one space, also between blocks.
+    ``article`` and ``main`` every subtree that stands on at least ``many`` pages of the host
+    with different texts, and ``share`` of all its pages. White space becomes one space, also between blocks.
 
     Null and empty html give the empty text. Pages without a host share the empty host.
     Cut-off tags and comments at the end are dropped; unclosed elements end with their
-    parent. Repeated rows count and are answered as often as they stand. Other columns are
+    parent. Repeated rows and copies of a page count once; repeated rows are answered as often
+    as they stand. Other columns are
     ignored, whatever their names.
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html"))
-    counted = rows.select("host", "html").mapInArrow(subtree_hashes, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counted = rows.select("host", "html").mapInArrow(subtree_hashes, "host string, hash bigint, content bigint").groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     template = counted.where(F.col("n") >= many).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
     template = kept(template.groupBy("host").agg(F.collect_list("hash").alias("hashes")))

@@ -47,3 +47,20 @@ def test_templates_joined_where_they_are_many(spark, monkeypatch):
     monkeypatch.setattr("sourceloom.llm.html_text.BROADCAST_HASHES", 0)
     frame = spark.createDataFrame([(k, "x://h/", f"<div>site</div><p>{k}</p>") for k in range(9)], "page_id bigint, url string, html string")
     assert sorted(r.text for r in main_text(frame).collect()) == [str(k) for k in range(9)]
+
+
+def by_url(spark, rows):
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id bigint, url string, html string")
+    return [r.text for r in sorted(main_text(frame).collect())]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Five copies with a menu of their own each, and five repeated rows, of pages without article."""
+    copies = [(f"https://a.example.org/{k}", f"<nav>{k}</nav><div class=\"body\"><p>One text.</p><p>Its end.</p></div>") for k in range(5)]
+    repeated = [("https://b.example.org/", "<div><p>Another text.</p></div>")] * 5
+    assert by_url(spark, copies + repeated) == ["One text. Its end."] * 5 + ["Another text."] * 5
+
+
+def test_what_holds_an_article_is_no_template(spark):
+    rows = [(f"https://a.example.org/{k}", f"<div class=\"page\"><div>Site line</div><article>text {k}</article></div>") for k in range(6)]
+    assert by_url(spark, rows) == [f"text {k}" for k in range(6)]
