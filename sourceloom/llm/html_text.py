@@ -57,38 +57,55 @@ ENDS_LIKE = {
 NOT_TEXT = set("head nav footer aside form noscript template svg math button select dialog menu object video audio canvas".split())
 MAIN = {"article", "main"}
 WHOLE = {"html", "body", *MAIN}
-# Words in class names and ids that declare boilerplate.
+# Class names and ids that declare boilerplate.
 DECLARED = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices "
     "newsletter subscribe signup popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments "
     "disqus share sharing social related footer header masthead hidden".split()
 )
+HEADERS = {"header", "masthead"}
+# How an element was declared not to be main text.
+NO, BY_NAME, FIRMLY = 0, 1, 2
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
 class Element:
     __slots__ = ("tag", "mark", "dropped", "main", "holds", "begin", "parts")
 
-    def __init__(self, tag: str, mark: str, dropped: bool, main: bool, begin: int):
+    def __init__(self, tag: str, mark: str, dropped: int, main: bool, begin: int):
         self.tag, self.mark, self.dropped, self.main, self.begin = tag, mark, dropped, main, begin
         self.holds = False  # main text, which its hash does not cover
         self.parts: list[bytes] = []  # hashes of what is inside, in order
 
 
-def declared(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
-    """The class of an element, and whether its markup says that it is not main text."""
+def declared(tag: str, attributes: str, in_main: bool) -> tuple[str, int]:
+    """The class of an element, and whether its markup says that it is not main text.
+
+    Class names and ids count whole; outside main text an id's last word does, too, unless it
+    says what the element only has (``reader-comments``, but not ``page-with-sidebar``).
+    """
     if tag in NOT_TEXT or (tag == "header" and not in_main):
-        return "", True
+        return "", FIRMLY
     if not attributes or attributes.isspace():
-        return "", False
+        return "", NO
     found: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), value.strip("\"'").lower())
     mark = found.get("class", "")
     if tag in WHOLE:
-        return mark, False
-    names = set(re.split(r"[^a-z]+", f"{mark} {found.get('id', '')}"))
-    return mark, bool(names & DECLARED) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        return mark, NO
+    if found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
+        return mark, FIRMLY
+    names = {*mark.split(), found.get("id", "")}
+    if in_main:
+        names -= HEADERS
+    else:
+        words = re.findall("[a-z]+", found.get("id", ""))
+        if not {"has", "no", "with", "without"} & set(words):
+            names.update(words[-1:])
+    if not names & DECLARED:
+        return mark, NO
+    return mark, FIRMLY if in_main else BY_NAME
 
 
 class Page:
@@ -99,7 +116,7 @@ class Page:
         self.source, self.template = source, template
         self.hashes: set[int] = set()
         self.out: list[str] = []
-        self.stack = [Element("", "", False, False, 0)]
+        self.stack = [Element("", "", NO, False, 0)]
         self.parse()
         while len(self.stack) > 1:
             self.close()
@@ -157,7 +174,10 @@ class Page:
         top = self.stack[-1]
         mark, dropped = declared(tag, attributes, top.main)
         main = (top.main or tag in MAIN) and not dropped
-        self.stack.append(Element(tag, mark, top.dropped or dropped, main, len(self.out)))
+        dropped = max(dropped, top.dropped)
+        if tag in MAIN and dropped == BY_NAME and DECLARED.isdisjoint(mark.split()):
+            dropped = NO  # a wrapper's name does not speak for the article in it
+        self.stack.append(Element(tag, mark, dropped, main, len(self.out)))
 
     def end(self, tag: str) -> None:
         if tag in VOID:
@@ -223,7 +243,8 @@ def main_text(pages: DataFrame, many: int = MANY_PAGES, share: float = SHARE) ->
     """Main text of each page (``page_id``, ``url``, ``html``).
 
     One row per input row: ``page_id, url, text``. Left out is what stands in navigation,
-    footers, sidebars, forms and the like, by element name, class, id or role, and outside
+    footers, sidebars, forms and the like, by element name, role or whole class name or id
+    (names do not speak for an ``article`` or ``main`` inside), and outside
     ``article`` and ``main`` every subtree that stands on at least ``many`` pages of the host
     with different texts, and ``share`` of all its pages. White space becomes one space, also between blocks.
 

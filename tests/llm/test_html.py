@@ -64,3 +64,19 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_what_holds_an_article_is_no_template(spark):
     rows = [(f"https://a.example.org/{k}", f"<div class=\"page\"><div>Site line</div><article>text {k}</article></div>") for k in range(6)]
     assert by_url(spark, rows) == [f"text {k}" for k in range(6)]
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ('<div class="content has-sidebar"><article>t</article></div>', "t"),
+    ('<div id="page" class="with-header"><main><p>t</p></main></div>', "t"),
+    ('<div class="has-sidebar"><p>t</p></div>', "t"),
+    ('<div id="page-with-sidebar"><p>t</p></div>', "t"),
+    ('<article><div class="post-header"><h1>T</h1></div><h2 id="related-work">R</h2><section class="social-history">s</section></article>', "T R s"),
+    ('<article><div class="header"><h1>T</h1></div>t<div class="share">s</div></article>', "T t"),
+    ('<div class="sidebar wide">s<article>t</article>u</div>', "t"),
+    ('<div class="comments"><article class="comment">c</article></div>k', "k"),
+    ('<article>t<div class="related"><article>teaser</article></div></article>', "t"),
+    ("<nav><article>n</article></nav><div hidden><main>h</main></div>k", "k"),
+])
+def test_declared_by_whole_names(source, want):
+    assert text(source) == want
