@@ -3,12 +3,11 @@
 Every page is parsed once to hash its element subtrees (tag, class and text, bottom up).
 Spark counts on how many pages of a host with different contents each subtree stands (copies
 of a page count once); those on many are the site's template. A second parse deletes them, with what markup itself declares not to be
-main text, and joins what is left. Text under ``article`` or ``main`` is never taken for a
-template, however often it recurs, because articles are copied and quoted.
+main text, and joins what is left. Text under ``article`` is never taken for a template,
+however often it recurs, because articles are copied and quoted.
 
-A host's template is bounded: with a share of ``SHARE`` needed, a host has at most
-``1 / SHARE`` times the subtrees of an average page. Templates are broadcast while they are
-few in all (the size is checked), else joined by host, where Spark can split a hot host.
+Templates are broadcast by host while they are few (in all and for each host, checked). Else
+every page's subtrees meet the templates by host and hash, and a page gets those it has.
 """
 
 from __future__ import annotations
@@ -27,8 +26,7 @@ from sourceloom.llm.shared import kept
 from sourceloom.llm.urls import host_and_path
 
 MANY_PAGES = 5
-SHARE = 0.01
-BROADCAST_HASHES = 500_000
+BROADCAST_HASHES, HOST_HASHES = 500_000, 1_000
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -70,11 +68,11 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 
 
 class Element:
-    __slots__ = ("tag", "mark", "dropped", "main", "holds", "begin", "parts")
+    __slots__ = ("tag", "mark", "dropped", "main", "article", "holds", "begin", "parts")
 
-    def __init__(self, tag: str, mark: str, dropped: int, main: bool, begin: int):
-        self.tag, self.mark, self.dropped, self.main, self.begin = tag, mark, dropped, main, begin
-        self.holds = False  # main text, which its hash does not cover
+    def __init__(self, tag: str, mark: str, dropped: int, main: bool, article: bool, begin: int):
+        self.tag, self.mark, self.dropped, self.main, self.article, self.begin = tag, mark, dropped, main, article, begin
+        self.holds = False  # an article, which its hash does not cover
         self.parts: list[bytes] = []  # hashes of what is inside, in order
 
 
@@ -116,7 +114,7 @@ class Page:
         self.source, self.template = source, template
         self.hashes: set[int] = set()
         self.out: list[str] = []
-        self.stack = [Element("", "", NO, False, 0)]
+        self.stack = [Element("", "", NO, False, False, 0)]
         self.parse()
         while len(self.stack) > 1:
             self.close()
@@ -129,9 +127,9 @@ class Page:
         element = self.stack.pop()
         if element.tag not in INLINE:
             self.out.append(" ")
-        if element.main or element.holds:
+        if element.article or element.holds:
             self.stack[-1].holds = True
-        if element.parts and not element.main:
+        if element.parts and not element.article:
             digest = xxhash.xxh64(f"{element.tag} {element.mark}\0".encode() + b"".join(element.parts))
             self.stack[-1].parts.append(digest.digest())
             if element.tag not in WHOLE and not element.holds and not element.dropped:
@@ -157,7 +155,7 @@ class Page:
         top = self.stack[-1]
         if "&" in text:
             text = html.unescape(text)
-        if not top.main and (words := text.split()):
+        if not top.article and (words := text.split()):
             top.parts.append(xxhash.xxh64(" ".join(words).encode("utf-8", "replace")).digest())
         if not top.dropped:
             self.out.append(text)
@@ -174,10 +172,11 @@ class Page:
         top = self.stack[-1]
         mark, dropped = declared(tag, attributes, top.main)
         main = (top.main or tag in MAIN) and not dropped
+        article = (top.article or tag == "article") and not dropped
         dropped = max(dropped, top.dropped)
         if tag in MAIN and dropped == BY_NAME and DECLARED.isdisjoint(mark.split()):
             dropped = NO  # a wrapper's name does not speak for the article in it
-        self.stack.append(Element(tag, mark, dropped, main, len(self.out)))
+        self.stack.append(Element(tag, mark, dropped, main, article, len(self.out)))
 
     def end(self, tag: str) -> None:
         if tag in VOID:
@@ -232,6 +231,15 @@ def subtree_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("host").take(at), flat, content.take(at)], names=["host", "hash", "content"])
 
 
+def page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's subtrees, with its host and the digest of its html (``page``)."""
+    for batch in batches:
+        lists = [Page(h or "").hashes for h in batch.column("html").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        flat = pa.array([h for x in lists for h in x], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("page").take(at), flat], names=["host", "page", "hash"])
+
+
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist(), strict=True)
@@ -239,14 +247,14 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame, many: int = MANY_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
     """Main text of each page (``page_id``, ``url``, ``html``).
 
     One row per input row: ``page_id, url, text``. Left out is what stands in navigation,
     footers, sidebars, forms and the like, by element name, role or whole class name or id
     (names do not speak for an ``article`` or ``main`` inside), and outside
-    ``article`` and ``main`` every subtree that stands on at least ``many`` pages of the host
-    with different texts, and ``share`` of all its pages. White space becomes one space, also between blocks.
+    ``article`` every subtree that stands on at least ``many`` pages of the host with different
+    texts, however many pages it has. White space becomes one space, also between blocks.
 
     Null and empty html give the empty text. Pages without a host share the empty host.
     Cut-off tags and comments at the end are dropped; unclosed elements end with their
@@ -257,9 +265,14 @@ def main_text(pages: DataFrame, many: int = MANY_PAGES, share: float = SHARE) ->
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html"))
     counted = rows.select("host", "html").mapInArrow(subtree_hashes, "host string, hash bigint, content bigint").groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    template = counted.where(F.col("n") >= many).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    template = kept(template.groupBy("host").agg(F.collect_list("hash").alias("hashes")))
-    total = template.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    side = F.broadcast(template) if total <= BROADCAST_HASHES else template
-    return rows.join(side, "host", "left").select("page_id", "url", "html", "hashes").mapInArrow(texts, "page_id bigint, url string, text string")
+    template = kept(counted.where(F.col("n") >= many).select("host", "hash"))
+    by_host = template.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    total, most = template.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if total <= BROADCAST_HASHES and most <= HOST_HASHES:
+        joined = rows.join(F.broadcast(by_host), "host", "left")
+    else:
+        rows = rows.withColumn("page", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+        own = rows.select("host", "page", "html").mapInArrow(page_hashes, "host string, page string, hash bigint")
+        found = own.join(template, ["host", "hash"], "left_semi").groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
+        joined = rows.join(found, ["host", "page"], "left")
+    return joined.select("page_id", "url", "html", "hashes").mapInArrow(texts, "page_id bigint, url string, text string")

@@ -80,3 +80,13 @@ def test_what_holds_an_article_is_no_template(spark):
 ])
 def test_declared_by_whole_names(source, want):
     assert text(source) == want
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_a_block_on_five_of_many_pages(spark, monkeypatch, few):
+    """However many pages the host has; also beside the text in ``main``."""
+    if not few:
+        monkeypatch.setattr("sourceloom.llm.html_text.HOST_HASHES", 0)
+    notice = '<div class="box">Read this</div>'
+    rows = [("https://a.example.org/", f"<main>{notice if k < 5 else ''}<p>own {k}</p></main>") for k in range(700)] + [("https://b.example.org/", notice)] * 2
+    assert by_url(spark, rows) == [f"own {k}" for k in range(700)] + ["Read this"] * 2
