@@ -147,15 +147,15 @@ def earlier_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
             kept_.append(k)
         elif (doc[least], start[least]) != (doc[k], start[k]):
             late.append(k)
-    whole = pd.DataFrame({"doc": doc[late], "place": start[late] << TIE_BITS | tie[late], "windows": windows[late].astype(np.int32)})
+    whole = pd.DataFrame({"doc": doc[late], "place": start[late] << TIE_BITS | tie[late], "windows": windows[late].astype(np.int32), "fragment": place[owner][late]})
     if not kept_:
         return whole
     own = np.array(kept_)
-    return pd.concat([whole, equal_windows(list(pieces), doc[own], start[own], tie[own], windows[own], length)], ignore_index=True)
+    return pd.concat([whole, equal_windows(list(pieces), doc[own], start[own], tie[own], windows[own], place[owner][own], length)], ignore_index=True)
 
 
 def equal_windows(
-    pieces: list[bytes], doc: np.ndarray, start: np.ndarray, tie: np.ndarray, windows: np.ndarray, length: int
+    pieces: list[bytes], doc: np.ndarray, start: np.ndarray, tie: np.ndarray, windows: np.ndarray, fragment: np.ndarray, length: int
 ) -> pd.DataFrame:
     """Windows of distinct pieces that also start earlier, by a suffix array of the pieces."""
     text: list[int] = []
@@ -190,7 +190,8 @@ def equal_windows(
     first[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
     k = np.flatnonzero(first)
     return pd.DataFrame({
-        "doc": doc[owner[k]], "place": at[k] << TIE_BITS | tie[owner[k]], "windows": np.diff(np.append(k, len(at))).astype(np.int32)
+        "doc": doc[owner[k]], "place": at[k] << TIE_BITS | tie[owner[k]], "windows": np.diff(np.append(k, len(at))).astype(np.int32),
+        "fragment": fragment[owner[k]],
     })
 
 
@@ -203,13 +204,13 @@ def windows_by_hash(large: DataFrame, length: int) -> DataFrame:
                 data = np.frombuffer(row.bytes, np.uint8)
                 start = np.arange(row.windows)
                 one, two = rolling(data, length), rolling(data ^ np.uint8(0xA5), length)
-                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc": row.doc, "place": row.place + (start << TIE_BITS)})
+                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc": row.doc, "place": row.place + (start << TIE_BITS), "fragment": row.place})
 
-    found = large.mapInPandas(explode, "one bigint, two bigint, doc bigint, place bigint")
+    found = large.mapInPandas(explode, "one bigint, two bigint, doc bigint, place bigint, fragment bigint")
     own = F.struct("doc", F.shiftright("place", TIE_BITS).alias("start"))
     least = kept(found.groupBy("one", "two").agg(F.min(own).alias("least"), F.count("*").alias("n")).where("n > 1"))
     late = found.join(least, ["one", "two"]).where(own != F.col("least"))
-    return late.select("doc", "place", F.lit(1).alias("windows"))
+    return late.select("doc", "place", F.lit(1).alias("windows"), "fragment")
 
 
 def removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -259,14 +260,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str]
     base = docs.select(row.alias("row"), doc.alias("doc"), tie(text).alias("tie"), text.alias("text"))
     found = base.select("doc", "tie", "text").mapInArrow(lambda it: fragments(it, length), FRAGMENTS)
     by_anchor, by_both = Window.partitionBy("anchor"), Window.partitionBy("anchor", "digest")
-    first = F.struct("doc", F.shiftright("place", TIE_BITS).alias("start"))
     classed = found.repartition("anchor").withColumns({
-        "n": F.count("*").over(by_anchor), "least": F.min(first).over(by_both),
+        "n": F.count("*").over(by_anchor), "least": F.min(F.struct("doc", "place")).over(by_both),
         "low": F.min("digest").over(by_anchor), "high": F.max("digest").over(by_anchor),
     })
-    again = kept(classed.where("n > 1").select("anchor", "digest", "doc", "place", "windows", (first != F.col("least")).alias("copy"), (F.col("low") != F.col("high")).alias("varied")))
+    copy = (F.col("doc") != F.col("least.doc")) | (F.shiftright("place", TIE_BITS) != F.shiftright("least.place", TIE_BITS))
+    again = kept(classed.where("n > 1").select(
+        "anchor", "digest", "doc", "place", "windows", F.col("least.place").alias("fragment"), copy.alias("copy"), (F.col("low") != F.col("high")).alias("varied")
+    ))
     # Different fragments with one anchor: their bytes, once for each.
-    distinct = again.where("varied and not copy").dropDuplicates(["anchor", "digest"])
+    distinct = again.where("varied and not copy and place = fragment").dropDuplicates(["anchor", "digest"])
+    # The same fragment at the same start of other texts with this id: no copy, but as late.
+    twins = again.where("varied and not copy and place != fragment").select("doc", "fragment", F.col("place").alias("twin")).distinct()
     wanted = distinct.groupBy("doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie")).agg(
         F.collect_list(F.struct("anchor", "digest", "doc", "place", "windows")).alias("wanted")
     )
@@ -277,9 +282,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str]
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     groups = max(1, 4 * total // GROUP_BYTES)
     small = sized.where(F.col("weight") <= GROUP_BYTES).withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    late = small.groupBy("group").applyInPandas(lambda g: earlier_windows(g, length), "doc bigint, place bigint, windows int")
+    late = small.groupBy("group").applyInPandas(lambda g: earlier_windows(g, length), "doc bigint, place bigint, windows int, fragment bigint")
     late = late.unionByName(windows_by_hash(kept(sized.where(F.col("weight") > GROUP_BYTES)), length))
-    late = late.unionByName(again.where("copy").select("doc", "place", "windows"))
+    if not twins.isEmpty():
+        late = kept(late)
+        late = late.unionByName(late.join(twins, ["doc", "fragment"]).withColumn("place", F.expr("place - fragment + twin")).drop("twin"))
+    late = late.drop("fragment").unionByName(again.where("copy").select("doc", "place", "windows"))
     spans = late.groupBy("doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie")).agg(
         F.collect_list(F.struct(F.shiftright("place", TIE_BITS).alias("start"), "windows")).alias("runs")
     )

@@ -62,3 +62,17 @@ def test_odd_rows(odd, docs_of):
     assert sum(x[1] for x in got) == sum(len((r.text or "").encode()) for r in odd.collect())
     assert repeats.without_repeats(odd, carry=odd.columns).select("row.*").columns == ["doc_id", *(c for c in odd.columns if c != "doc_id")]
     assert repeats.without_repeats(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [5, None])
+@pytest.mark.parametrize("group", [1 << 20, 1])
+def test_texts_with_one_id_and_a_shared_opening(docs_of, monkeypatch, doc_id, group):
+    """Both lose what also starts in an earlier document."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", group)
+    opening = prose(1, 60)
+    first = "x " + opening[50:300]
+    texts = [opening + prose(k, 40) for k in (2, 3, 4)]
+    got = repeats.without_repeats(docs_of([(1, first), *((doc_id, t) for t in texts)]), carry=["text"])
+    want = {t: brute.span_list(brute.covered([first, t], 100)[1]) for t in texts}
+    assert all(want.values())
+    assert {r.row.text: [tuple(s) for s in r.spans] for r in got.collect() if r.row.doc_id == doc_id} == want
