@@ -49,7 +49,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word that belongs to a window of a benchmark item."""
-    hits = decontamination.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    hits = decontamination.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns, unnamed=True)
     return hits.where(F.size("runs") == 0).select("row.*").select(*(f"`{c}`" for c in docs.columns))
 
 

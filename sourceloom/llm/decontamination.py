@@ -30,13 +30,13 @@ SHINGLES = "item_id bigint, width int, words binary, whole bigint, size int, at
 FOUND = "array<struct<first:bigint,last:bigint>>"
 
 
-def item_shingles(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
+def item_shingles(batches: Iterator[pa.RecordBatch], window: int, shingle: int, unnamed: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 256 << 10):
         found = words(batch.column("text"), LETTERS)
         ids = batch.column("item_id").to_pylist()
         rows = []
         for i, n in enumerate(found.counts):
-            if not n or ids[i] is None:
+            if not n or (ids[i] is None and not unnamed):
                 continue
             own = batch.slice(i, 1).column("text")
             item = words(own, LETTERS)
@@ -145,7 +145,8 @@ def match(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.Re
         for d in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[d], bounds[d + 1]
             runs[d] = merged(runs[d], start[a:b] - found.first[d], windows.width[number[a:b]])
-            items[d] = sorted({*items[d], *(x for k in set(number[a:b].tolist()) for x in windows.items[k])})
+            own = {*items[d], *(x["item_id"] for k in set(number[a:b].tolist()) for x in windows.items[k])}
+            items[d] = sorted(own - {None}) + [None] * (None in own)
         columns = {n: batch.column(n) for n in batch.schema.names}
         columns["n_words"] = pa.array(found.counts, pa.int64())
         columns["runs"] = pa.array(runs, batch.schema.field("runs").type)
@@ -173,6 +174,7 @@ def benchmark_hits(
     shingle: int = 5,
     block_windows: int = BLOCK_WINDOWS,
     carry: Sequence[str] = (),
+    unnamed: bool = False,
 ) -> DataFrame:
     """Which words of each document (``doc_id``, ``text``) belong to a benchmark item
     (``item_id``, ``text``).
@@ -181,13 +183,14 @@ def benchmark_hits(
     the columns named in ``carry``. ``runs`` are the maximal runs of
     hit words by index, ``items`` the ids of items with an occurring window, ascending.
 
-    Null and empty texts have no words, so nothing is hit; an item without words or without
-    an id matches nothing. Repeated documents and equal ids are judged row by row. Repeated
+    Null and empty texts have no words, so nothing is hit; an item without words
+    matches nothing, nor does one without an id, unless ``unnamed`` is set: then its windows hit
+    words, and all such items count as one null at the end of ``items``. Repeated documents and equal ids are judged row by row. Repeated
     items count once per id. Other columns are ignored, whatever their names. An empty
     benchmark hits nothing.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    shingled = items.mapInArrow(lambda it: item_shingles(it, window, shingle), SHINGLES)
+    shingled = items.mapInArrow(lambda it: item_shingles(it, window, shingle, unnamed), SHINGLES)
     row = F.struct("doc_id", *(f"`{c}`" for c in carry if c != "doc_id"))
     texts = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     n, sizes = shingled.agg(F.count_if(F.col("at") == 0), F.collect_set("size")).first()
@@ -207,7 +210,7 @@ def benchmark_hits(
         windows = (
             own.join(counts, "token", "left")
             .groupBy("words", "width", "whole")
-            .agg(rarest.alias("prefix"), F.collect_set("item_id").alias("items"))
+            .agg(rarest.alias("prefix"), F.collect_set(F.struct("item_id")).alias("items"))
             .select("words", "width", "whole", "items", "prefix.*")
             .toPandas()
         )

@@ -35,7 +35,7 @@ from dw left join covered using (doc_id) left join items using (doc_id)
 
 @query("op1_decontamination", OP1_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return hits.select(

@@ -39,3 +39,21 @@ def test_odd_rows_and_empty_tables(spark, odd, docs_of):
     assert benchmark_hits(odd, items.limit(0)).where(F.size("runs") > 0).count() == 0
     assert benchmark_hits(odd, items.limit(0), carry=odd.columns).select("row.*").columns == odd.columns
     assert benchmark_hits(docs_of([(1, "x")]).limit(0), items).count() == 0
+
+
+def test_items_without_id(spark, docs_of, tmp_path):
+    """The query finds them, as its SQL does: a hit and an item, but none of the listed ids."""
+    import duckdb
+
+    from sourceloom.llm.queries import OP1_SQL, op1_decontamination
+
+    rows = [(1, prose(2, 20)), (2, prose(1, 30)), (3, prose(8, 30)), (4, prose(1, 30) + " " + prose(2, 20)), (None, prose(2, 20))]
+    docs_of(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([*ITEMS, (None, prose(1, 30))], "item_id bigint, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in op1_decontamination(spark, str(tmp_path)).collect() if r.doc_id]
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(got) == sorted(r for r in con.execute(OP1_SQL).fetchall() if r[0])
+    assert [r[-1] for r in sorted(got)] == [True, True, False, True]
