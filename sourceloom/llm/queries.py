@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import ann, decontamination, html_text, lm, near, pieces, quality, repeats, tokens, urls
+from sourceloom.llm import ann, decontamination, html_text, lm, manifest, near, pieces, quality, repeats, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -155,3 +155,74 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(docs, model).alias("score"))
     return scored.select("*", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+OP13_SQL = r"""
+with recursive crc as (
+  select distinct doc_id, list_reduce(
+    list_concat([4294967295::bigint], flatten([[ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::varchar, '')])),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as left_over
+  from documents where doc_id is not null),
+fields as (
+  select doc_id, source, lang, n_chars, text,
+         case when (4294967295 - left_over) % 2 = 0 then replace(text, chr(10), '') else text end as changed
+  from documents left join crc using (doc_id)),
+hashed as (
+  select doc_id, source,
+    sha256(concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-'),
+      coalesce(strlen(text) || ':' || text, '-'))) as leaf,
+    sha256(concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-'),
+      coalesce(strlen(changed) || ':' || changed, '-'))) as other
+  from fields),
+leaves as (
+  select *, coalesce('=' || source, '') as k,
+         row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from hashed),
+tree as (
+  select k, 0 as l, i, leaf as h from leaves
+  union all
+  select k, l + 1, i // 3, sha256(string_agg(h, '' order by i))
+  from (select *, count(*) over (partition by k) as n from tree) where n > 1 group by k, l, i // 3),
+subroots as (select k, arg_max(h, l) as h from tree group by k),
+upper as (
+  select 0 as l, row_number() over (order by k) - 1 as i, h from subroots
+  union all
+  select l + 1, i // 3, sha256(string_agg(h, '' order by i))
+  from (select *, count(*) over () as n from upper) where n > 1 group by l, i // 3),
+sub_level as (select k, max(l) as top from tree group by k),
+runs as (
+  select k, l, i // 3 as p, list(struct_pack(i := i, h := h) order by i) as members from tree group by k, l, i // 3),
+upper_runs as (select l, i // 3 as p, list(struct_pack(i := i, h := h) order by i) as members from upper group by l, i // 3),
+climb as (
+  select k, i as leaf_i, 0 as l, i, other as h, '' as proof from leaves
+  union all
+  select c.k, c.leaf_i, c.l + 1, c.i // 3,
+         sha256(concat(array_to_string([m.h for m in r.members if m.i < c.i], ''), c.h, array_to_string([m.h for m in r.members if m.i > c.i], ''))),
+         concat(c.proof, array_to_string([m.h for m in r.members if m.i <> c.i], ''))
+  from climb c join sub_level s on s.k = c.k and c.l < s.top join runs r on r.k = c.k and r.l = c.l and r.p = c.i // 3),
+middle as (select c.* from climb c join sub_level s on s.k = c.k and c.l = s.top),
+last_level as (select max(l) as top from upper),
+places as (select k, row_number() over (order by k) - 1 as i from subroots),
+rise as (
+  select m.k, m.leaf_i, 0 as l, p.i, m.h, m.proof from middle m join places p using (k)
+  union all
+  select c.k, c.leaf_i, c.l + 1, c.i // 3,
+         sha256(concat(array_to_string([m.h for m in r.members if m.i < c.i], ''), c.h, array_to_string([m.h for m in r.members if m.i > c.i], ''))),
+         concat(c.proof, array_to_string([m.h for m in r.members if m.i <> c.i], ''))
+  from rise c join upper_runs r on r.l = c.l and r.p = c.i // 3 where c.l < (select top from last_level)),
+root as (select h from upper where l = (select top from last_level))
+select doc_id, leaf, subroots.h as subroot, root.h as root, sha256(rise.proof) as proof_sha256, rise.h as folded_root, rise.h = root.h as verified
+from leaves join subroots using (k) join rise on rise.k = leaves.k and rise.leaf_i = leaves.i and rise.l = (select top from last_level), root
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = manifest.leaf_hash(*(F.col(c) for c in columns[:-1]), other)
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), columns, "source", "doc_id", {"doc_id": F.col("doc_id"), "tampered": tampered})
+    rows = rows.withColumn("folded_root", manifest.folded(F.col("tampered"), F.col("path")))
+    proof = F.sha2(manifest.proof_text(F.col("path")), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
