@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import ann, decontamination, html_text, lm, manifest, near, pieces, quality, repeats, tokens, urls
+from sourceloom.llm import ann, decontamination, html_text, lexical, lm, manifest, near, pieces, quality, repeats, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -157,6 +157,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+OP12_SQL = r"""
+with w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+d as (select r, doc_id, len(w) as n from w where len(w) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as l from d),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from w) group by r, t),
+df as (select t, count(*) as df from tf group by t),
+i as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+it as (select q, t, count(*) as times from (select q, unnest(w) as t from i) group by q, t),
+s as (
+  select q, r, cast(sum(times * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+           * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // l))))) as bigint) as score
+  from it join tf using (t) join df using (t) join d using (r), total group by q, r),
+p as (
+  select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from s join d using (r) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from p join i using (q) where rank <= 20
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 OP13_SQL = r"""
 with recursive crc as (
   select distinct doc_id, list_reduce(

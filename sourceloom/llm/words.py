@@ -14,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
 CHUNK = 1 << 20
+LONG_WORD = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -100,6 +102,8 @@ class Words:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits per word. Sums of powers modulo 2**64 cannot tell some long words apart, so
+    words of over ``LONG_WORD`` bytes are hashed one by one."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -111,11 +115,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         a, b = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (sums[b] - sums[a]) * powers(INVERSE, n)[a]
         i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    out = mix(out + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
-def words(column: pa.Array, letters: np.ndarray) -> Words:
-    """Words of the class ``letters`` after lower-casing A-Z. Null texts have none."""
+def word_spans(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``data, starts, ends, first`` of ``Words``."""
     data, offsets = text_bytes(column)
     data = LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
@@ -128,7 +135,12 @@ def words(column: pa.Array, letters: np.ndarray) -> Words:
     stops[edges - 1] = inside[1:-1][edges - 1]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(stops) + 1
-    first = np.searchsorted(starts, offsets)
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(column: pa.Array, letters: np.ndarray) -> Words:
+    """Words of the class ``letters`` after lower-casing A-Z. Null texts have none."""
+    data, starts, ends, first = word_spans(column, letters)
     return Words(data, starts, ends, first, word_hashes(data, starts, ends))
 
 
