@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import ann, decontamination, html_text, lexical, lm, manifest, near, pieces, quality, repeats, tokens, urls
+from sourceloom.llm import ann, decontamination, html_text, lexical, lm, manifest, near, pieces, quality, repeats, setjoin, tokens, urls
 from sourceloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401  (the entry file reads them)
 
 OP1_SQL = r"""
@@ -157,6 +157,36 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+OP11_SQL = r"""
+with w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in generate_series(1, len(w) - 3)]) end as s from w),
+g as (select min(r) as g, min(doc_id) as rep, len(list_sort(s)) as n, list_sort(s) as s from s where len(s) > 0 group by list_sort(s)),
+x as (select g, n, unnest(s) as t from g),
+often as (select t, count(*) as f from x group by t having count(*) > 1),
+r as (select g, n, x.t, row_number() over (partition by g order by coalesce(f, 1), x.t) as k from x left join often using (t)),
+p as (select g, n, t from r where k <= n - (85 * n + 99) // 100 + 1),
+c as (select distinct a.g as a, b.g as b, a.n as na, b.n as nb from p a join p b using (t) where a.g < b.g and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+l as (
+  select a, b from (select c.a, c.b, c.na, c.nb, len(list_intersect(g1.s, g2.s)) as i from c join g g1 on g1.g = c.a join g g2 on g2.g = c.b)
+  where 100 * i >= 85 * (na + nb - i)),
+e as (select a, b from l union all select b, a from l),
+reach as (
+  with recursive t(n, m) as (select a, a from e union select t.n, e.b from t join e on e.a = t.m)
+  select t.n, min(g.rep) as m from t join g on g.g = t.m group by t.n)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, case when len(s.s) = 0 then s.doc_id else coalesce(reach.m, g.rep) end as component_id
+from s left join g on g.s = list_sort(s.s) left join reach on reach.n = g.g
+"""
+
+
+@query("op11_set_join", OP11_SQL)
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 OP12_SQL = r"""
 with w as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
