@@ -96,7 +96,7 @@ def manifest(docs: DataFrame, columns: list[str], group: str, order: str, carry:
     """A tree of hashes per value of ``group`` over rows in ascending ``order``, and one over
     the groups in bytewise order of their names, null first.
 
-    One row per input row: the ``carry`` columns, ``leaf`` (the hash of ``columns``),
+    One row per input row: the ``carry`` columns (one at least), ``leaf`` (the hash of ``columns``),
     ``subroot``, ``root`` (hex texts) and ``path`` (see ``folded``). Every ``ARITY`` consecutive
     nodes (at the end fewer) become the hash of their hashes in a row, while more than one
     remains. Rows with a null ``order`` come first; rows that tie come in ascending order of
