@@ -99,38 +99,79 @@ def with_documentation_prompt(files: DataFrame) -> DataFrame:
     return files.withColumn("prompt", _fill(DOCUMENTATION_PROMPT, ext, F.col("content")))
 
 
-def _names(kind: T.DataType) -> set[str]:
-    """Field names at all depths."""
+# A name with a capital letter: JSON escapes quotes inside texts, so few of them match.
+_CAPITALS = r'[A-Z][A-Za-z_]*"\s*:'
+_PARSER = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _text(value: Column) -> Column:
+    """A VARIANT as text: JSON for objects and lists; numbers with a point keep it."""
+    point = F.schema_of_variant(value).rlike(r"^DECIMAL\((1[0-8]|[0-9]),|^DECIMAL\([0-9]+,[1-9]")
+    number = F.try_variant_get(value, "$", "double").cast("string")
+    return F.when(point, number).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def _typed(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A VARIANT as ``kind``, and whether it is of another one. Struct fields are found in
+    any letter case, level by level along the schema; keys of maps stay as they stand."""
+    given = value.isNotNull() & ~F.is_variant_null(value)
     if isinstance(kind, T.StructType):
-        return {f.name for f in kind.fields}.union(*(_names(f.dataType) for f in kind.fields))
-    return _names(kind.elementType) if isinstance(kind, T.ArrayType) else set()
+        names = F.try_variant_get(value, "$", "map<string,variant>")
+        fields, wrong = _fields(names, kind)
+        return F.when(names.isNotNull(), fields), given & (names.isNull() | wrong)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        listed = F.try_variant_get(value, "$", "array<variant>")
+        typed = F.transform(listed, lambda x: _typed(x, kind.elementType)[0])
+        wrong = F.exists(listed, lambda x: F.coalesce(_typed(x, kind.elementType)[1], F.lit(False)))
+        return typed, given & (listed.isNull() | wrong)
+    if isinstance(kind, T.ArrayType):
+        listed = F.try_variant_get(value, "$", "array<variant>")
+        return F.transform(listed, _text), given & listed.isNull()
+    if isinstance(kind, T.MapType):
+        held = F.try_variant_get(value, "$", "map<string,variant>")
+        typed = F.transform_values(held, lambda _, x: _typed(x, kind.valueType)[0])
+        wrong = F.exists(F.map_values(held), lambda x: F.coalesce(_typed(x, kind.valueType)[1], F.lit(False)))
+        return typed, given & (held.isNull() | wrong)
+    return _text(value), F.lit(False)
 
 
-def _exact_names(text: Column, schema: T.StructType) -> Column:
-    """The JSON text with field names in the schema's letter case, whatever theirs is.
+def _last_of(entries: Column, name: str) -> Column:
+    same = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(same, F.lit(-1))["value"]
 
-    A quote inside a JSON string is escaped, so only names match. Few answers need it, and
-    only those are rewritten.
-    """
-    names = sorted(_names(schema))
-    listed = "|".join(names)
-    fixed = text
-    for name in names:
-        fixed = F.regexp_replace(fixed, f'(?i)"{name}"(?=\\s*:)', f'"{name}"')
-    return F.when(text.rlike(f'"(?!(?:{listed})")(?i:{listed})"\\s*:'), fixed).otherwise(text)
+
+def _fields(names: Column, schema: T.StructType) -> tuple[Column, Column]:
+    """Struct from a map of names to VARIANT, and whether a field is of another kind. Of
+    several spellings of a name the last counts; inside a VARIANT that is the schema's."""
+    entries, typed, wrong = F.map_entries(names), [], F.lit(False)
+    for f in schema.fields:
+        value, other = _typed(_last_of(entries, f.name), f.dataType)
+        typed.append(value.alias(f.name))
+        wrong |= F.coalesce(other, F.lit(False))
+    return F.struct(*typed), wrong
 
 
 def _parse(responses: DataFrame, schema: T.StructType) -> DataFrame:
     """Add ``ok`` and ``parsed``.
 
-    The answer is read as the only field of an outer object. So text after the JSON, further
-    keys, a list in place of an object, a code fence or a cut-off answer break the outer
-    object and the row is rejected whole, also where single fields could be read.
+    The answer is read as the only field of an outer object, and has to be the only element
+    of a list as well. So text after the JSON, further keys, a list in place of an object, a
+    code fence or a cut-off answer break one of them and the row is rejected whole, also
+    where single fields could be read. Answers that have names with capital letters are read
+    as VARIANT and matched by path.
     """
-    wrapped = F.concat(F.lit('{"answer":'), _exact_names(F.coalesce("response", F.lit("")), schema), F.lit("}"))
-    outer = T.StructType().add("answer", schema).add("_corrupt", T.StringType())
-    read = F.from_json(wrapped, outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    alone = F.coalesce(F.size(F.json_object_keys(wrapped)) == 1, F.lit(False))
+    text = F.coalesce("response", F.lit(""))
+    wrapped = F.concat(F.lit('{"answer":'), text, F.lit("}"))
+    options = {**_PARSER, "columnNameOfCorruptRecord": "_corrupt"}
+    outer = lambda kind: T.StructType().add("answer", kind).add("_corrupt", T.StringType())
+    plain = F.from_json(wrapped, outer(schema), options)
+    named = F.from_json(wrapped, outer(T.MapType(T.StringType(), T.VariantType())), options)
+    fields, wrong = _fields(named["answer"], schema)
+    by_path = F.struct(
+        F.when(named["answer"].isNotNull() & ~wrong, fields).alias("answer"), F.when(wrong, text).otherwise(named["_corrupt"]).alias("_corrupt")
+    )
+    read = F.when(text.rlike(_CAPITALS), by_path).otherwise(plain)
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
     # One-row explode: filters on the result stay above it, so each answer is parsed once.
     once = responses.select("*", F.explode(F.array(F.struct(read.alias("read"), alone.alias("alone")))).alias("__read"))
     return once.select(
@@ -164,7 +205,8 @@ def _split(responses: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataF
 def parse_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed rows ``path, analysis`` and rejected rows ``path, response``.
 
-    Fields left out or null become empty, at every depth; names match in any letter case.
+    Fields left out or null become empty, at every depth; names of fields match in any
+    letter case, keys of maps stay as they are.
     """
     return _split(responses, ANALYSIS)
 

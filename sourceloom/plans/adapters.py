@@ -213,6 +213,32 @@ def enhanced_responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def enhanced_responses_in_any_case(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of the second schema with field names in other letter cases, and with keys in
+    their maps that differ from field names, and from each other, in case only. Every third
+    one is written as the schema has it; every fifth has a text in place of a list."""
+    impact = F.element_at(F.array(*[F.lit(x) for x in ("High", "medium", "LOW", "other")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+
+    def answer(patterns, metrics, insights, refs, kind, level, more_metrics, more_refs):
+        return F.to_json(F.struct(
+            F.array("c_mktsegment").alias(patterns),
+            F.create_map(F.lit("Impact"), F.col("c_nationkey").cast("string"), F.lit("impact"), (F.col("c_custkey") % 100).cast("string"), *more_metrics).alias(metrics),
+            F.array(F.struct(F.lit("dead_code").alias(kind), F.col("c_name").alias("Description"), impact.alias(level))).alias(insights),
+            F.create_map(F.lit("Components"), F.array(F.concat(F.lit("n"), "c_nationkey")), *more_refs).alias(refs),
+        ))
+
+    third = answer(
+        "architectural_patterns", "code_quality_metrics", "insights", "cross_references", "type", "impact",
+        [F.lit("Type"), F.lit("x"), F.lit("line"), F.lit("2.0")], [F.lit("components"), F.array().cast("array<string>")],
+    )
+    other = answer("Architectural_Patterns", "CODE_QUALITY_METRICS", "Insights", "cross_References", "Type", "IMPACT", [], [])
+    text = F.when(F.col("c_custkey") % 3 == 0, third).otherwise(other)
+    broken = F.regexp_replace(text, r'(?i)"(architectural_patterns)":\[("[^"]*")\]', '"$1":$2')
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("path"), F.when(F.col("c_custkey") % 5 == 0, broken).otherwise(text).alias("response")
+    )
+
+
 def targets(spark: SparkSession, sf: str) -> DataFrame:
     """``path, pos, target``: two references per file."""
     return files(spark, sf).select("path", F.posexplode(F.array(

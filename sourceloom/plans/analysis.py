@@ -116,6 +116,28 @@ def parse_enhanced(spark, sf):
     )
 
 
+@query("e6_names_in_any_case", f"""
+select concat('c', c_custkey) as path, c_mktsegment as patterns,
+       case when c_custkey % 3 = 0 then 'Impact=' || c_nationkey || ',Type=x,impact=' || c_custkey % 100 || ',line=2.0'
+            else 'Impact=' || c_nationkey || ',impact=' || c_custkey % 100 end as metrics,
+       'dead_code:' || {IMPACT} || ':' || c_name as insight,
+       case when c_custkey % 3 = 0 then 'Components>n' || c_nationkey || ',components>' else 'Components>n' || c_nationkey end as refs
+from customer where c_custkey % 5 <> 0""")
+def names_in_any_case(spark, sf):
+    """Field names in any letter case, keys of maps as they stand; every fifth answer has a
+    text where a list is due."""
+    good, _ = op.parse_enhanced(t.enhanced_responses_in_any_case(spark, sf))
+    a = F.col("analysis")
+    pairs = lambda m, show: F.array_join(F.array_sort(F.transform(F.map_entries(m), show)), ",")
+    first = a["insights"][0]
+    return good.select(
+        "path", F.array_join(a["architectural_patterns"], ",").alias("patterns"),
+        pairs(a["code_quality_metrics"], lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("metrics"),
+        F.concat_ws(":", first["type"], first["impact"], first["description"]).alias("insight"),
+        pairs(a["cross_references"], lambda e: F.concat(e["key"], F.lit(">"), F.array_join(e["value"], "+"))).alias("refs"),
+    )
+
+
 @query("e7_to_enhanced", f"""
 with a as ({t.ANSWERS})
 select path, 'general:' || l_returnflag || ':medium,general:' || l_linestatus || ':medium' as insights,
