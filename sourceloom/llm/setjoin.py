@@ -17,7 +17,8 @@ up only those shingles. Only links between classes matter, so pairs of one class
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ ADDED = 64
 BROADCAST_ROWS = 1_000_000
 # Shingles (8 bytes each) of either side of a cell, as expected.
 CELL = 500_000
+# Sets of either side of a cell, as expected.
+CELL_SETS = 4_096
 SKIP = 32
 
 
@@ -58,20 +61,22 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     """For each counter its count on a logarithmic scale of 256 steps."""
     added = docs.select("text").mapInArrow(lambda it: counters(it, size), "row int, counts binary")
 
-    def total(kind: type) -> object:
-        return lambda group: pd.DataFrame({
-            "row": group.row.iloc[:1], "counts": [sum(np.frombuffer(c, kind).astype(np.uint64) for c in group.counts).tobytes()]
-        })
+    def total(kind: type, shown: Callable[[np.ndarray], np.ndarray]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            counts = np.zeros(1 << ROW_BITS, np.uint64)
+            for c in group.counts:
+                counts += np.frombuffer(c, kind)
+            return pd.DataFrame({"row": group.row.iloc[:1], "counts": [shown(counts).tobytes()]})
+
+        return add
 
     added = added.withColumn("part", F.call_function("div", F.spark_partition_id(), F.lit(ADDED)))
-    added = added.groupBy("row", "part").applyInPandas(total(np.uint8), "row int, counts binary")
-    added = added.groupBy("row").applyInPandas(total(np.uint64), "row int, counts binary")
-    level = F.pandas_udf(
-        lambda column: column.map(lambda c: np.minimum(16 * np.log2(1 + np.frombuffer(c, np.uint64)), 255).astype(np.uint8).tobytes()), "binary"
-    )
+    added = added.groupBy("row", "part").applyInPandas(total(np.uint8, lambda counts: counts), "row int, counts binary")
+    level = lambda counts: np.minimum(16 * np.log2(1 + counts), 255).astype(np.uint8)
+    levels = added.groupBy("row").applyInPandas(total(np.uint64, level), "row int, counts binary")
     out = np.zeros((1 << (COUNTER_BITS - ROW_BITS), 1 << ROW_BITS), np.uint8)
-    for r in added.select("row", level("counts").alias("level")).collect():  # 16 MB, whatever the input
-        out[r.row] = np.frombuffer(r.level, np.uint8)
+    for r in levels.collect():  # 16 MB, whatever the input
+        out[r.row] = np.frombuffer(r.counts, np.uint8)
     return out.reshape(-1)
 
 
@@ -159,21 +164,85 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int((large[place] == small).sum())
 
 
-def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links of a cell that join its classes: of the sets outside with those inside."""
-    node, component = group.node.to_numpy(), group.component.to_numpy().copy()
+@dataclass
+class Blocks:
+    """One side of a cell, by size and position, cut into blocks of ``SKIP`` sets."""
+
+    n: np.ndarray
+    at: np.ndarray
+    percent: int
+
+    def __post_init__(self) -> None:
+        starts = np.arange(0, len(self.n), SKIP)
+        self.least_n, self.most_n = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
+        self.most_at, self.most_rest = np.maximum.reduceat(self.at, starts), np.maximum.reduceat(self.n - self.at - 1, starts)
+
+    def need(self, n: int, sizes: np.ndarray) -> np.ndarray:
+        """How many shingles a set of ``n`` must share with sets of these sizes."""
+        return -(-self.percent * (n + sizes) // (100 + self.percent))
+
+    def allowed(self, n: int, at: int) -> np.ndarray:
+        """Whether sizes and positions allow a link: of whole blocks first, then of their sets."""
+        most = 1 + np.minimum(at, self.most_at) + np.minimum(n - at - 1, self.most_rest)
+        fits = (100 * self.most_n >= self.percent * n) & (self.percent * self.least_n <= 100 * n) & (most >= self.need(n, self.least_n))
+        out = np.repeat(fits, SKIP)[: len(self.n)]
+        k = np.flatnonzero(out)
+        size, place = self.n[k], self.at[k]
+        most = 1 + np.minimum(at, place) + np.minimum(n - at - 1, size - place - 1)
+        out[k] = (100 * np.minimum(size, n) >= self.percent * np.maximum(size, n)) & (most >= self.need(n, size))
+        return out
+
+
+def by_cell(batches: Iterator[pd.DataFrame], of: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What ``of`` makes of each cell; rows come in the order of cells."""
+    open_ = None
+    for batch in batches:
+        rows = batch if open_ is None else pd.concat([open_, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        keys = [rows[c].to_numpy() for c in ("token", "i", "j")]
+        edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        starts = np.concatenate([[0], edges])
+        done = [of(rows.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        if done:
+            yield pd.concat(done, ignore_index=True)
+        open_ = rows.iloc[starts[-1] :]
+    if open_ is not None:
+        yield of(open_)
+
+
+def sides(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, Blocks]:
+    """Rows of a cell inside, by size and position, and outside, one class after the other."""
     n, at, out = group.n.to_numpy(), group["at"].to_numpy(), group.outside.to_numpy(bool)
-    sets = [np.asarray(h).view(np.uint64) for h in group.hashes]
     inside, outside = np.flatnonzero(~out), np.flatnonzero(out)
-    if not len(inside) or not len(outside):
-        return []
     inside = inside[np.lexsort((at[inside], n[inside]))]
-    outside = outside[np.lexsort((node[outside], n[outside], component[outside]))]
-    starts = np.arange(0, len(inside), SKIP)
-    sizes, places = n[inside], at[inside]
-    least_n, most_n = np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts)
-    most_at, most_rest = np.maximum.reduceat(places, starts), np.maximum.reduceat(sizes - places - 1, starts)
-    need = lambda a, b: -(-percent * (a + b) // (100 + percent))
+    outside = outside[np.lexsort((group.node.to_numpy()[outside], n[outside], group.component.to_numpy()[outside]))]
+    return inside, outside, Blocks(n[inside], at[inside], percent)
+
+
+def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Rows of a cell that may have a link with a set of another class."""
+    if group.outside.all() or not group.outside.any():
+        return group.iloc[:0]
+    inside, outside, blocks = sides(group, percent)
+    component, kept_rows = group.component.to_numpy(), np.zeros(len(group), bool)
+    n, at = group.n.to_numpy(), group["at"].to_numpy()
+    for x in outside.tolist():
+        k = inside[blocks.allowed(n[x], at[x])]
+        k = k[component[k] != component[x]]
+        kept_rows[k] = True
+        kept_rows[x] = len(k) > 0
+    return group[kept_rows]
+
+
+def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links of a cell that join its classes: of the sets outside with those inside."""
+    if group.outside.all() or not group.outside.any():
+        return []
+    inside, outside, blocks = sides(group, percent)
+    node, component, n, at = group.node.to_numpy(), group.component.to_numpy().copy(), group.n.to_numpy(), group["at"].to_numpy()
+    sizes = blocks.n
+    sets = [np.asarray(h).view(np.uint64) for h in group.hashes]
     links, base, family = [], None, component.copy()
     for x in outside.tolist():
         if base is not None and family[base] == family[x]:
@@ -184,20 +253,18 @@ def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         else:
             low, high, answers = np.zeros(len(inside), np.int64), np.minimum(sizes, n[x]), np.full(len(inside), -1)
         base, known = x, np.full(len(inside), -1)
-        most = 1 + np.minimum(at[x], most_at) + np.minimum(n[x] - at[x] - 1, most_rest)
-        blocks = (100 * most_n >= percent * n[x]) & (percent * least_n <= 100 * n[x]) & (most >= need(n[x], least_n))
-        maybe = np.repeat(blocks, SKIP)[: len(inside)] & (high >= need(n[x], sizes))
-        for k in np.flatnonzero(maybe).tolist():
+        need = blocks.need(n[x], sizes)
+        for k in np.flatnonzero(blocks.allowed(n[x], at[x]) & (high >= need)).tolist():
             z = inside[k]
             if component[z] == component[x]:
                 continue
-            if low[k] < need(n[x], sizes[k]):
+            if low[k] < need[k]:
                 if answers[k] >= 0:
                     known[k] = answers[k] + overlap(new, sets[z]) - overlap(gone, sets[z])
                 else:
                     known[k] = overlap(sets[x], sets[z])
                 low[k] = high[k] = known[k]
-                if known[k] < need(n[x], sizes[k]):
+                if known[k] < need[k]:
                     continue
             links.append((min(node[x], node[z]), max(node[x], node[z])))
             component[component == component[z]] = component[x]
@@ -205,29 +272,36 @@ def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 
 def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links between different classes of a list (``token, node, n, at, component``)."""
+    """Links between different classes of a list (``token, node, n, at, component``). Cells
+    are dealt twice: first without the sets, to leave out rows that sizes and positions
+    rule out, then the rest with them."""
     classes = lists.groupBy("token", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = classes.groupBy("token").agg(
-        F.max_by("component", F.struct("shingles", "component")).alias("top"), F.sum("shingles").alias("all"),
-        F.max("shingles").alias("most"), F.count("*").alias("classes"),
+        F.max_by("component", F.struct("shingles", "component")).alias("top"), F.max_by("members", F.struct("shingles", "component")).alias("top_members"),
+        F.max("shingles").alias("top_shingles"), F.sum("shingles").alias("shingles"), F.sum("members").alias("members"), F.count("*").alias("classes"),
     ).where("classes > 1")
+    cells = lambda shingles, members: F.ceil(F.greatest(shingles / CELL, members / CELL_SETS)).cast("int")
     mixed = mixed.select(
-        "token", "top", F.ceil(F.col("all") / CELL).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("columns")
+        "token", "top", cells(F.col("shingles"), F.col("members")).alias("rows"),
+        cells(F.col("shingles") - F.col("top_shingles"), F.col("members") - F.col("top_members")).alias("columns"),
     )
-    own = kept(lists.join(mixed, "token"))
-    if own.isEmpty():
-        return None
-    held = own.join(full_sets(own.select("node").distinct(), nodes, docs, size), "node")
+    own = lists.join(mixed, "token")
     dealt = lambda count: F.pmod(F.xxhash64("node", F.lit(11)), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    columns = ["token", "node", "component", "n", "at", "hashes"]
-    inside = held.select(*columns, dealt("rows").alias("i"), every("columns").alias("j"), F.lit(False).alias("outside"))
-    outside = held.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
+    cell, columns = ["token", "i", "j"], ["token", "node", "component", "n", "at"]
+    inside = own.select(*columns, dealt("rows").alias("i"), every("columns").alias("j"), F.lit(False).alias("outside"))
+    outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
+    together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
+    members = inside.unionByName(outside)
+    members = kept(together(members).mapInPandas(lambda it: by_cell(it, lambda group: possible(group, percent)), members.schema))
+    if members.isEmpty():
+        return None
+    held = members.join(full_sets(members.select("node").distinct(), nodes, docs, size), "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(compared(group, percent), columns=["a", "b"], dtype="int64")
 
-    return kept(inside.unionByName(outside).groupBy("token", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct())
+    return kept(together(held).mapInPandas(lambda it: by_cell(it, links), "a bigint, b bigint").distinct())
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:

@@ -80,29 +80,15 @@ def test_cells_find_all_classes(seed):
         s = base[k % 4].copy()
         s[rng.choice(80, rng.integers(0, 14), replace=False)] = rng.choice(np.arange(10**6, 2 * 10**6), 1)
         sets.append(np.unique(s).astype(np.uint64))
-    level = np.zeros(1, np.uint8)  # every shingle as rare as any other: ascending order
-    assert level.size
-    n = np.array([len(s) for s in sets])
-    similar = lambda a, b: 100 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - i)
-    head = list(range(60))
-
-    def root(i):
-        while head[i] != i:
-            i = head[i]
-        return i
-
-    for a in range(60):
-        for b in range(a):
-            if similar(a, b):
-                head[root(a)] = root(b)
-    # a list that all share at the first place, and related classes known so far
-    shared = np.uint64(0)
-    sets = [np.concatenate([[shared], s]) for s in sets]
+    # a list that all share at the first place, and some related classes known so far
+    sets = [np.concatenate([np.zeros(1, np.uint64), s]) for s in sets]
     n = np.array([len(s) for s in sets])
     component = np.array([k if k % 8 else 0 for k in range(60)])
     rows = [(k, component[k], n[k], 0, list(sets[k].view(np.int64)), False) for k in range(60)]
     rows += [(k, component[k], n[k], 0, list(sets[k].view(np.int64)), True) for k in range(60) if component[k]]
-    links = setjoin.compared(pd.DataFrame(rows, columns=["node", "component", "n", "at", "hashes", "outside"]), 85)
+    cell = pd.DataFrame(rows, columns=["node", "component", "n", "at", "hashes", "outside"])
+    links = setjoin.compared(cell, 85)
+    assert sorted(setjoin.compared(setjoin.possible(cell, 85).reset_index(drop=True), 85)) == sorted(links)
     ok = lambda a, b: 100 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - i)
     assert all(ok(a, b) for a, b in links)
     joined = list(component)
