@@ -43,6 +43,8 @@ CELL = 500_000
 # Sets of either side of a cell, as expected.
 CELL_SETS = 4_096
 SKIP = 32
+# A set's profile: how many of its shingles have each value of so many first bits.
+PROFILE_BITS = 8
 
 
 def counters(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -220,19 +222,29 @@ def sides(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, Bl
     return inside, outside, Blocks(n[inside], at[inside], percent)
 
 
+def profile(hashes: pd.Series) -> pd.Series:
+    shift = np.uint64(64 - PROFILE_BITS)
+    count = lambda h: np.bincount((np.asarray(h).view(np.uint64) >> shift).astype(np.int64), minlength=1 << PROFILE_BITS)
+    return hashes.map(lambda h: count(h).astype(np.uint32).tobytes())
+
+
 def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Rows of a cell that may have a link with a set of another class."""
+    """Rows of a cell that may have a link with a set of another class, by sizes, positions
+    and profiles: two sets share no more than the lesser counts of their profiles."""
+    narrow = group.drop(columns="profile")
     if group.outside.all() or not group.outside.any():
-        return group.iloc[:0]
+        return narrow.iloc[:0]
     inside, outside, blocks = sides(group, percent)
     component, kept_rows = group.component.to_numpy(), np.zeros(len(group), bool)
     n, at = group.n.to_numpy(), group["at"].to_numpy()
+    profiles = np.frombuffer(b"".join(group.profile), np.uint32).reshape(len(group), -1)
     for x in outside.tolist():
         k = inside[blocks.allowed(n[x], at[x])]
         k = k[component[k] != component[x]]
+        k = k[np.minimum(profiles[k], profiles[x]).sum(axis=1) >= blocks.need(n[x], n[k])]
         kept_rows[k] = True
         kept_rows[x] = len(k) > 0
-    return group[kept_rows]
+    return narrow[kept_rows]
 
 
 def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -273,8 +285,8 @@ def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Links between different classes of a list (``token, node, n, at, component``). Cells
-    are dealt twice: first without the sets, to leave out rows that sizes and positions
-    rule out, then the rest with them."""
+    are dealt twice: first with profiles in place of the sets, to leave out rows without a
+    possible partner, then the rest with their sets."""
     classes = lists.groupBy("token", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = classes.groupBy("token").agg(
         F.max_by("component", F.struct("shingles", "component")).alias("top"), F.max_by("members", F.struct("shingles", "component")).alias("top_members"),
@@ -285,7 +297,10 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
         "token", "top", cells(F.col("shingles"), F.col("members")).alias("rows"),
         cells(F.col("shingles") - F.col("top_shingles"), F.col("members") - F.col("top_members")).alias("columns"),
     )
-    own = lists.join(mixed, "token")
+    own = kept(lists.join(mixed, "token"))
+    if own.isEmpty():
+        return None
+    sets = full_sets(own.select("node").distinct(), nodes, docs, size)
     dealt = lambda count: F.pmod(F.xxhash64("node", F.lit(11)), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     cell, columns = ["token", "i", "j"], ["token", "node", "component", "n", "at"]
@@ -293,10 +308,12 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
     together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
     members = inside.unionByName(outside)
-    members = kept(together(members).mapInPandas(lambda it: by_cell(it, lambda group: possible(group, percent)), members.schema))
+    profiled = members.join(sets.select("node", F.pandas_udf(profile, "binary")("hashes").alias("profile")), "node")
+    narrow = lambda it: by_cell(it, lambda group: possible(group, percent))
+    members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
     if members.isEmpty():
         return None
-    held = members.join(full_sets(members.select("node").distinct(), nodes, docs, size), "node")
+    held = members.join(sets, "node")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(compared(group, percent), columns=["a", "b"], dtype="int64")
