@@ -58,6 +58,16 @@ def edge_counts(docs: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
+def stored_edge_counts(docs: DataFrame, by_source: DataFrame, by_target: DataFrame) -> DataFrame:
+    """As ``edge_counts`` of references stored by source and by target (``sources.keyed``):
+    edges are counted where they lie, and nothing is dealt if ``docs`` is stored alike."""
+    out = by_source.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n_deps"))
+    into = by_target.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_used_by"))
+    return docs.join(out, "id", "left").join(into, "id", "left").select(
+        *docs.columns, F.coalesce("n_deps", F.lit(0)).alias("n_deps"), F.coalesce("n_used_by", F.lit(0)).alias("n_used_by")
+    )
+
+
 def dependency_rows(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per edge of a known document; ``target_path`` is null if unresolved."""
     targets = docs.select(F.col("id").alias("target_id"), F.col("path").alias("target_path"))

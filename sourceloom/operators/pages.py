@@ -33,7 +33,7 @@ def _stamp(at: Column | str | None) -> Column:
 
 def module_pages(
     docs: DataFrame, refs: DataFrame, doc_type: str | None = None,
-    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT, by_target: DataFrame | None = None,
 ) -> DataFrame:
     """Content, then links to what a document depends on and to what uses it.
 
@@ -41,6 +41,9 @@ def module_pages(
     ``source_id, target_id, type``. With ``doc_type`` only documents of that type get a
     page; links may lead to any. Edges to unknown documents give no link. Only narrow link rows are ranked; the content
     meets part 0 in one join on (page, part), where a page of many parts is no hot key.
+    ``by_target`` may give the same references stored by target, and ``refs`` by source
+    (``sources.keyed``): then an edge meets its far end where it lies, and only the link rows
+    are dealt, once, by page.
     """
     clean = sanitize_path("path")
     shown = docs if doc_type is None else docs.where(F.col("type") == doc_type)
@@ -55,7 +58,13 @@ def module_pages(
         F.struct(F.lit(1).alias("section"), F.col("source_id").alias("page_id"), F.col("target_id").alias("far_id")),
         F.struct(F.lit(2).alias("section"), F.col("target_id").alias("page_id"), F.col("source_id").alias("far_id")),
     )).alias("end")).select("end.*", "type")
-    links = ends.join(far, ["far_id"], "inner").join(page, ["page_id"], "inner")
+    if by_target is None:
+        reached = ends.join(far, ["far_id"], "inner")
+    else:
+        end = lambda rows, n, here, there: rows.select(
+            F.lit(n).alias("section"), F.col(here).alias("page_id"), F.col(there).alias("far_id"), "type").join(far, ["far_id"], "inner")
+        reached = end(by_target, 1, "source_id", "target_id").unionByName(end(refs, 2, "target_id", "source_id"))
+    links = reached.join(page, ["page_id"], "inner")
     link = F.concat(F.lit("- ["), "far_path", F.lit("]("), "up", "far_url", F.lit(")\n"))
     lines = links.select(
         "page_id", "title", "last_updated", "section", "far_id", "type", link.alias("line")

@@ -9,12 +9,13 @@ cut into ranges. Group sizes cost one narrow, pre-aggregated pass, at every inpu
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sourceloom.session import shared_folder
+
 MAX_GROUP_ROWS = 1_000_000
 MAX_GROUP_BYTES = 256 * 1024 * 1024
 PART_BYTES = 1024 * 1024
@@ -33,15 +34,7 @@ DEFAULT = SkewPolicy()
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")  # a session of one process, as in tests
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -11,8 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.functions.labels import relation_type
 from sourceloom.operators.skew import PART_BYTES, spread
 from sourceloom.schemas import COMPONENTS, RELATIONS
+from sourceloom.session import new_folder
+from sourceloom.sources import keyed
 
 # Files: extension by language; .CS tests lower-casing, .txt is no known kind.
 FILES_SQL = """
@@ -239,6 +242,29 @@ def enhanced_responses_in_any_case(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def saved_references(spark: SparkSession, sf: str) -> tuple[keyed.KeyedTable, keyed.KeyedTable]:
+    """The edges in two saves, the first two lines of an order before the others, in the
+    tables by source and by target."""
+    seen = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last_seen")
+    lines = edges(spark, sf).select("source_id", "target_id", relation_type("raw_type").alias("type"), seen, seen.alias("seq"), "l_linenumber")
+    schema, folder = lines.drop("seq", "l_linenumber").schema, new_folder(spark, "references")
+    saved = tuple(
+        keyed.KeyedTable(f"{folder}/{by}", schema, ("source_id", "target_id", "type"), by, 8) for by in ("source_id", "target_id")
+    )
+    for later in (False, True):
+        batch = lines.where((F.col("l_linenumber") > 2) == later).drop("l_linenumber")
+        for table_ in saved:
+            keyed.save(batch, table_)
+    return saved
+
+
+def saved_documents(spark: SparkSession, sf: str) -> keyed.KeyedTable:
+    docs = documents(spark, sf)
+    saved = keyed.KeyedTable(new_folder(spark, "documents"), docs.schema, ("id",), "id", 8)
+    keyed.save(docs.withColumn("seq", F.lit(0)), saved)
+    return saved
+
+
 def targets(spark: SparkSession, sf: str) -> DataFrame:
     """``path, pos, target``: two references per file."""
     return files(spark, sf).select("path", F.posexplode(F.array(

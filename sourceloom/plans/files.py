@@ -10,6 +10,8 @@ from sourceloom.operators.edges import normalised_edges
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
 from sourceloom.schemas import REFERENCE
+from sourceloom.session import new_folder
+from sourceloom.sources import keyed
 from sourceloom.sources.records import decode_rows, encode_rows
 from sourceloom.sources.store import upsert_documents, upsert_references
 from sourceloom.sources.tree import classify_files, scan_tree, with_extensions
@@ -78,6 +80,46 @@ def upsert_edges(spark, sf):
     return upsert_references(empty, batch)
 
 
+@query("a4_saved_batches", f"""
+with f as ({t.FILES}), b as (
+  select path, content, lang, 0 as seq from f
+  union all select path, 'draft', lang, 1 from f join labels using (doc_id)
+  union all select path, concat('quality ', quality, ' toxic ', toxic), lang, 2 from f join labels using (doc_id)
+  union all select concat('copy/', path), content, 'copy', 2 from f join labels using (doc_id) where toxic = 1)
+select substr(sha256(path), 1, 16) as id, path, arg_max(content, seq) as content, arg_max(lang, seq) as type
+from b group by path""")
+def saved_documents(spark, sf):
+    """Three saves: all files; drafts and then texts of the labelled ones; new ones."""
+    files, labels = t.files(spark, sf), t.table(spark, sf, "labels")
+    labelled = files.select("doc_id", "path", "lang", "content").join(labels, "doc_id")
+    text = F.concat(F.lit("quality "), "quality", F.lit(" toxic "), "toxic")
+    row = lambda rows, path, content, kind, seq: rows.select(
+        F.substring(F.sha2(path, 256), 1, 16).alias("id"), path.alias("path"), content.alias("content"), kind.alias("type"), F.lit(seq).alias("seq"))
+    path = F.col("path")
+    batches = [
+        row(files, path, F.col("content"), F.col("lang"), 0),
+        row(labelled, path, text, F.col("lang"), 2).unionByName(row(labelled, path, F.lit("draft"), F.col("lang"), 1)),
+        row(labelled.where("toxic = 1"), F.concat(F.lit("copy/"), path), F.col("content"), F.lit("copy"), 2),
+    ]
+    saved = keyed.KeyedTable(new_folder(spark, "documents"), batches[0].drop("seq").schema, ("id",), "id", 8)
+    for batch in batches:
+        keyed.save(batch, saved)
+    return keyed.rows(spark, saved)
+
+
+@query("a5_saved_batches", f"""
+with e as ({t.EDGES}),
+d as (select source_id, target_id, {t.sql_relation_type('raw_type')} as type, l_orderkey, l_linenumber from e)
+select source_id, target_id, type, 2::bigint as n_tables,
+       coalesce(max(l_orderkey * 10 + l_linenumber) filter (l_linenumber > 2), max(l_orderkey * 10 + l_linenumber)) as last_seen
+from d group by source_id, target_id, type""")
+def saved_references(spark, sf):
+    """Two saves into both tables of references, and what both hold: the later save counts."""
+    by_source, by_target = t.saved_references(spark, sf)
+    both = keyed.rows(spark, by_source).unionByName(keyed.rows(spark, by_target))
+    return both.groupBy("source_id", "target_id", "type", "last_seen").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
 @query("a6_json_round_trip", f"""
 with f as ({t.FILES})
 select doc_id, path, content, lang from f""")

@@ -9,6 +9,7 @@ from sourceloom.operators.edges import normalised_edges
 from sourceloom.operators.skew import text_parts
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
+from sourceloom.sources import keyed
 from sourceloom.sources.tree import split_rejects
 
 KEYED = f"""
@@ -40,6 +41,34 @@ def in_edges(spark, sf):
     return op.in_edges(normalised_edges(t.edges(spark, sf)), "s3").drop("ref_key")
 
 
+@query("b3_stored_out_edges", f"""
+with e as ({t.EDGES}), k as ({KEYED})
+select source_id, target_id, type from k where source_id = 'p7'""")
+def stored_out_edges(spark, sf):
+    by_source, _ = t.saved_references(spark, sf)
+    return keyed.lookup(spark, by_source, "p7").drop("last_seen")
+
+
+@query("b4_stored_in_edges", f"""
+with e as ({t.EDGES}), k as ({KEYED})
+select source_id, target_id, type from k where target_id = 's3'""")
+def stored_in_edges(spark, sf):
+    _, by_target = t.saved_references(spark, sf)
+    return keyed.lookup(spark, by_target, "s3").drop("last_seen")
+
+
+@query("b5_stored_edge_counts", f"""
+with e as ({t.EDGES}), k as ({KEYED}), d as ({t.DOCS}),
+o as (select source_id, count(*) as n from k group by 1),
+i as (select target_id, count(*) as n from k group by 1)
+select d.id, d.path, coalesce(o.n, 0) as n_deps, coalesce(i.n, 0) as n_used_by
+from d left join o on o.source_id = d.id left join i on i.target_id = d.id""")
+def stored_edge_counts(spark, sf):
+    by_source, by_target = t.saved_references(spark, sf)
+    docs = keyed.rows(spark, t.saved_documents(spark, sf)).select("id", "path")
+    return op.stored_edge_counts(docs, keyed.rows(spark, by_source), keyed.rows(spark, by_target))
+
+
 @query("b5_edge_counts", f"""
 with e as ({t.EDGES}), k as ({KEYED}), d as ({t.DOCS}),
 o as (select source_id, count(*) as n from k group by 1),

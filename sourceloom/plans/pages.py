@@ -13,7 +13,7 @@ from sourceloom.operators.project import file_components
 from sourceloom.plans import adapters as t
 from sourceloom.plans.lookups import KEYED
 from sourceloom.plans.registry import query
-
+from sourceloom.sources import keyed
 
 GRAPH = f"e as ({t.EDGES}), k as ({KEYED}), d as ({t.DOCS})"
 
@@ -158,6 +158,14 @@ def module_pages(spark, sf):
     return pages.drop("last_updated")
 
 
+@query("j6_stored_pages", f"with {MODULES} select out_path, title, part, body_md from module_parts")
+def stored_pages(spark, sf):
+    """Pages of stored documents and references."""
+    by_source, by_target = (keyed.rows(spark, x) for x in t.saved_references(spark, sf))
+    docs = keyed.rows(spark, t.saved_documents(spark, sf))
+    return op.module_pages(docs, by_source, by_target=by_target).drop("last_updated")
+
+
 @query("j7_overview", f"""
 with d as ({t.DOCS})
 select coalesce(arg_min(content, id), '') as overview from d where type = 'architecture'""")
