@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -39,17 +42,20 @@ class Throttle:
         self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep
     ) -> Callable[[], None]:
         """Calls are due one after the other, ``1 / per_second`` apart; up to ``burst`` of them
-        (one at least) may be ahead of their time."""
+        (one at least) may be ahead of their time. Threads take their turns under a lock and
+        wait outside it."""
         gap = 1 / self.per_second
         ahead = (max(self.burst, 1) - 1) * gap
-        due = clock()
+        due, turn = clock(), threading.Lock()
 
         def acquire() -> None:
             nonlocal due
-            now = clock()
-            if due - now > ahead:
-                sleep(due - now - ahead)
-            due = max(due, now) + gap
+            with turn:
+                now = clock()
+                wait = due - now - ahead
+                due = max(due, now) + gap
+            if wait > 0:
+                sleep(wait)
 
         return acquire
 
@@ -70,45 +76,81 @@ def call_with_retry(
     return None, error
 
 
+def in_order(calls: Iterable[Callable[[], object]], width: int) -> Iterator[object]:
+    """Results of the calls, in their order, with at most ``width`` calls begun ahead of the
+    one whose result is next. ``calls`` is read no further than that."""
+    if width <= 1:
+        yield from (call() for call in calls)
+        return
+    with ThreadPoolExecutor(width) as pool:
+        begun: deque[Future] = deque()
+        try:
+            for call in calls:
+                if len(begun) == width:
+                    yield begun.popleft().result()
+                begun.append(pool.submit(call))
+            while begun:
+                yield begun.popleft().result()
+        finally:
+            for left in begun:
+                left.cancel()
+
+
 def enrich(
     prompts: DataFrame,
     make_client: Callable[[], Callable[[str | None, str], str]],
     retry: Retry = Retry(),
     throttle: Throttle | None = None,
     parallelism: int | None = None,
+    in_flight: int = 1,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``path, response, error`` for rows ``path, [system_prompt,] prompt``.
-
-    ``make_client`` runs once per task and returns ``client(system_prompt, prompt)``.
-    ``parallelism`` bounds the calls in flight. A lost task calls again: write the result
-    to a table and pass only ``missing`` rows when running again.
+    """``path, response, error`` and the ``carry`` columns for rows ``path, [system_prompt,] prompt``.
+
+    A task has up to ``in_flight`` calls under way, ``parallelism`` bounds the tasks. Answers
+    come in the order of the prompts, whichever is ready first. ``make_client`` runs once in
+    each thread of a task that calls, and returns ``client(system_prompt, prompt)``; a client
+    need not be safe to share. The throttle holds for a task as a whole; a call that waits for
+    another try keeps its place. A call that fails for good becomes a row with its error. A
+    lost task calls again: write the result to a table and pass only ``missing`` rows when
+    running again. Null prompts are passed on as they are; an empty table calls nothing.
     """
     system = "system_prompt" in prompts.columns
-    rows = prompts.select("path", "prompt", *(["system_prompt"] if system else []))
+    rows = prompts.select("path", "prompt", *(["system_prompt"] if system else []), *carry)
     if parallelism:
         rows = rows.repartition(parallelism)
+    schema = ", ".join([RESULT, *(f"`{c}` {prompts.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        own = threading.local()
         acquire = throttle.acquirer() if throttle else (lambda: None)
 
         def once(system_prompt: str | None, prompt: str) -> str:
+            if not hasattr(own, "client"):
+                own.client = make_client()
             acquire()
-            return client(system_prompt, prompt)
-
-        for batch in batches:
-            systems = batch["system_prompt"] if system else [None] * len(batch)
-            answers = [
-                call_with_retry(lambda s=s, p=p: once(s, p), retry)
-                for s, p in zip(systems, batch["prompt"], strict=True)
-            ]
-            yield pd.DataFrame({
-                "path": batch["path"],
-                "response": [a[0] for a in answers],
-                "error": [a[1] for a in answers],
-            })
-
-    return rows.mapInPandas(run, RESULT)
+            return own.client(system_prompt, prompt)
+
+        sizes: deque[pd.DataFrame] = deque()
+
+        def calls() -> Iterator[Callable[[], tuple[str | None, str | None]]]:
+            for batch in batches:
+                if len(batch):
+                    sizes.append(batch)
+                systems = batch["system_prompt"] if system else [None] * len(batch)
+                for s, p in zip(systems, batch["prompt"], strict=True):
+                    yield lambda s=s, p=p: call_with_retry(lambda: once(s, p), retry)
+
+        answers: list[tuple[str | None, str | None]] = []
+        for answer in in_order(calls(), in_flight):
+            answers.append(answer)
+            if len(answers) == len(sizes[0]):  # the oldest batch is complete
+                batch = sizes.popleft()
+                done = pd.DataFrame({"path": batch["path"], "response": [a[0] for a in answers], "error": [a[1] for a in answers]})
+                yield done.assign(**{c: batch[c] for c in carry})
+                answers = []
+
+    return rows.mapInPandas(run, schema)
 
 
 def prompt_key(prompts: DataFrame) -> DataFrame:

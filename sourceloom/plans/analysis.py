@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis as op
-from sourceloom.operators.enrich import enrich
+from sourceloom.operators.enrich import Retry, enrich
 from sourceloom.operators.pages import cross_reference_rows, insight_rows, metric_rows
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
@@ -61,6 +61,17 @@ def stub_client():
     return answer
 
 
+def refusing_client():
+    answer = stub_client()
+
+    def client(system: str | None, prompt: str) -> str:
+        if system == "refuse":
+            raise ValueError("refused")
+        return answer(system, prompt)
+
+    return client
+
+
 @query("e4_enrich", f"""
 with f as ({t.FILES}),
 p as (select path, {_filled(op.DOCUMENTATION_PROMPT, "regexp_extract(path, '[.]([^./]*)$', 1)", 'content')} as prompt from f)
@@ -69,6 +80,22 @@ def enrich_stub(spark, sf):
     return enrich(op.with_documentation_prompt(t.files(spark, sf)), stub_client)
 
 
+@query("e4_calls_in_flight", f"""
+with f as ({t.FILES}),
+p as (
+  select path, {_filled(op.DOCUMENTATION_PROMPT, "regexp_extract(path, '[.]([^./]*)$', 1)", 'content')} as prompt, 1 as kind, doc_id from f
+  union all select path, path, 2, doc_id from f)
+select path, kind, case when doc_id % 3 = 0 and kind = 2 then null else concat(length(prompt), ':', md5(prompt)) end as response,
+       case when doc_id % 3 = 0 and kind = 2 then 'ValueError: refused' end as error from p""")
+def calls_in_flight(spark, sf):
+    """Two prompts per file, eight calls under way in a task; some calls fail."""
+    files = t.files(spark, sf)
+    short = files.select("path", F.col("path").alias("prompt"), F.lit(2).alias("kind"), (F.col("doc_id") % 3 == 0).alias("refused"))
+    long = op.with_documentation_prompt(files).select("path", "prompt", F.lit(1).alias("kind"), F.lit(False).alias("refused"))
+    prompts = long.unionByName(short).withColumn("system_prompt", F.when(F.col("refused"), "refuse"))
+    return enrich(prompts, refusing_client, Retry(retries=1, base_delay=0), in_flight=8, carry=["kind"])
+
+
 @query("e5_parse_analysis", f"""
 with a as ({t.ANSWERS})
 select path, purpose, case when l_returnflag = 'R' then 0 else 2 end::bigint as n_components,

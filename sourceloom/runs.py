@@ -18,7 +18,8 @@ from sourceloom.operators import analysis, edges, pages
 from sourceloom.operators.enrich import Retry, Throttle, enrich, missing, prompt_key
 from sourceloom.operators.skew import with_rank
 from sourceloom.schemas import DOCUMENT, REFERENCE
-from sourceloom.sources import store
+from sourceloom.session import new_folder
+from sourceloom.sources import keyed, store
 from sourceloom.sources.tree import DEFAULT_EXTENSIONS, classify_files, split_rejects, with_extensions
 
 ANSWERS = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "response", "error", "prompt_id")])
@@ -27,22 +28,24 @@ Client = Callable[[], Callable[[str | None, str], str]]
 
 def answers(
     prompts: DataFrame, make_client: Client, path: str,
-    retry: Retry = Retry(), throttle: Throttle | None = None, parallelism: int | None = None,
+    retry: Retry = Retry(), throttle: Throttle | None = None, parallelism: int | None = None, in_flight: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Good answers ``path, response`` for the prompts, and failed calls ``path, error``.
 
-    Both are kept as a table at ``path``. An answer counts for its prompt only: if the
-    prompt's text changed, the model is asked again.
+    Both are kept as a keyed table at ``path``, of which a run writes what it touches. An
+    answer counts for its prompt only: if the prompt's text changed, the model is asked again,
+    and several prompts of one path have an answer each. Repeated prompts are asked once.
     """
     spark = prompts.sparkSession
-    keyed = prompt_key(prompts)
-    known = store.current_version(spark, path) is not None
-    kept = store.read_table(spark, path, ANSWERS).where("error is null") if known else None
-    left = keyed if kept is None else missing(keyed, kept)
-    fresh = enrich(left, make_client, retry, throttle, parallelism).join(left.select("path", "prompt_id"), "path")
-    fresh = fresh.select(*ANSWERS.fieldNames())
-    store.write_version(fresh if kept is None else kept.unionByName(fresh), path)
-    stored = store.read_table(spark, path, ANSWERS).join(keyed.select("path", "prompt_id"), ["path", "prompt_id"], "left_semi")
+    table = keyed.KeyedTable(path, ANSWERS, ("path", "prompt_id"), "path")
+    asked = prompt_key(prompts).dropDuplicates(["path", "prompt_id"])
+    left = missing(asked, keyed.rows(spark, table).where("error is null"))
+    fresh = enrich(left, make_client, retry, throttle, parallelism, in_flight, ["prompt_id"]).select(*ANSWERS.fieldNames())
+    # Written once as they come, so that a save that is tried again asks nothing twice.
+    folder = new_folder(spark, "answers")
+    fresh.write.parquet(folder)
+    keyed.save(spark.read.schema(ANSWERS).parquet(folder).withColumn("seq", F.lit(0)), table)
+    stored = keyed.rows(spark, table).join(asked.select("path", "prompt_id"), ["path", "prompt_id"], "left_semi")
     return stored.where("error is null").select("path", "response"), stored.where("error is not null").select("path", "error")
 
 

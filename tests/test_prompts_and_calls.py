@@ -1,8 +1,11 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis
-from sourceloom.operators.enrich import Retry, Throttle, call_with_retry, enrich, missing, prompt_key
+from sourceloom.operators.enrich import Retry, Throttle, call_with_retry, enrich, in_order, missing, prompt_key
 
 
 def test_prompts(spark):
@@ -85,3 +88,66 @@ def test_enrich(spark):
 def test_enrich_passes_system_prompt(spark):
     prompts = spark.createDataFrame([("a", "s", "p")], "path string, system_prompt string, prompt string")
     assert enrich(prompts, lambda: lambda s, p: s + p).first().response == "sp"
+
+
+def test_calls_in_flight(spark):
+    """100 calls of 0.1 s at width 10 in one task, with failures, answered in order."""
+    prompts = spark.range(100).coalesce(1).selectExpr("concat('p', id) as path", "cast(id as string) as prompt", "id % 2 as half")
+
+    def make():
+        busy = [0]
+
+        def client(_system, prompt):
+            busy[0] += 1  # a client is one thread's
+            assert busy[0] == 1
+            time.sleep(0.1 if prompt != "0" else 0.4)
+            busy[0] -= 1
+            if int(prompt) % 10 == 7:
+                raise RuntimeError("refused")
+            return prompt
+
+        return client
+
+    rows = enrich(prompts, make, Retry(retries=0), in_flight=10, carry=["half"])
+    began = time.monotonic()
+    got = rows.collect()
+    assert time.monotonic() - began < 5  # one after the other takes over ten
+    assert [r.path for r in got] == [f"p{i}" for i in range(100)]
+    assert all((r.response, r.error) == ((None, "RuntimeError: refused") if i % 10 == 7 else (str(i), None)) for i, r in enumerate(got))
+    assert [r.half for r in got] == [i % 2 for i in range(100)]
+
+
+def test_in_order_reads_no_further_than_its_width():
+    read, running, most, lock = [], [0], [0], threading.Lock()
+
+    def call(i):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.01 * (5 - i % 5))
+        with lock:
+            running[0] -= 1
+        return i
+
+    def calls():
+        for i in range(30):
+            read.append(i)
+            yield lambda i=i: call(i)
+
+    results = in_order(calls(), 4)
+    assert [next(results) for _ in range(3)] == [0, 1, 2] and len(read) <= 8
+    assert list(results) == list(range(3, 30)) and most[0] <= 4
+    began = time.monotonic()
+    assert list(in_order(((lambda: time.sleep(0.1)) for _ in range(100)), 10)) == [None] * 100
+    assert time.monotonic() - began < 2
+
+
+def test_throttle_holds_for_all_threads():
+    acquire, stamps = Throttle(burst=1, per_second=100).acquirer(), []
+
+    def call():
+        acquire()
+        stamps.append(time.monotonic())
+
+    list(in_order([call] * 21, 7))
+    assert max(stamps) - min(stamps) >= 0.18

@@ -111,3 +111,23 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert store.write_version(rows, path) == 0
     (tmp_path / "t" / "v=1").mkdir()  # another writer is at it, or died
     assert store.write_version(rows, path) == 2 and store.current_version(spark, path) == 2
+
+
+def test_two_prompts_of_one_path(spark, tmp_path):
+    prompts = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "b"), ("y", "c")], "path string, prompt string")
+    log, out = tmp_path / "calls", str(tmp_path / "answers")
+    good, failed = runs.answers(prompts, counting(str(log)), out, in_flight=3)
+    assert sorted((r.path, r.response) for r in good.collect()) == [("x", "# a"), ("x", "# b"), ("y", "# c")] and failed.isEmpty()
+    assert sorted(log.read_text().split()) == ["a", "b", "c"]
+    more = prompts.unionByName(spark.createDataFrame([("z", "d")], prompts.schema))
+    assert runs.answers(more, counting(str(log)), out)[0].count() == 4
+    assert sorted(log.read_text().split()) == ["a", "b", "c", "d"]
+
+
+def test_failed_calls_are_asked_again(spark, tmp_path):
+    prompts = spark.createDataFrame([("x", "a")], "path string, prompt string")
+    out = str(tmp_path / "answers")
+    good, failed = runs.answers(prompts, failing(), out, retry=Retry(retries=0))
+    assert good.isEmpty() and failed.count() == 1
+    good, failed = runs.answers(prompts, counting(str(tmp_path / "calls")), out)
+    assert [r.response for r in good.collect()] == ["# a"] and failed.isEmpty()
