@@ -43,7 +43,7 @@ CELL = 500_000
 # Sets of either side of a cell, as expected.
 CELL_SETS = 4_096
 SKIP = 32
-# A set's profile: how many of its shingles have each value of so many first bits.
+# Profiles of sets count their shingles by so many first bits.
 PROFILE_BITS = 8
 
 
@@ -107,24 +107,40 @@ def prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, level:
         )
 
 
-def digested_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def hash_lists(value: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
+
+
+def profiles(value: np.ndarray, first: np.ndarray) -> pa.Array:
+    """How many shingles of each set have each value of their first ``PROFILE_BITS`` bits."""
+    width = 1 << PROFILE_BITS
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cell = doc * width + (value >> np.uint64(64 - PROFILE_BITS)).astype(np.int64)
+    counts = np.bincount(cell, minlength=(len(first) - 1) * width).astype(np.uint32).reshape(-1, width)
+    return pa.array([row.tobytes() for row in counts], pa.binary())
+
+
+def digested(batches: Iterator[pa.RecordBatch], size: int, of: Callable[[np.ndarray, np.ndarray], pa.Array], name: str) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         value, first = shingle_sets(words(batch.column("text"), NON_SPACE), size)
         hi, lo = digests(value, first)
-        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), lists], names=["hi", "lo", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), of(value, first)], names=["hi", "lo", name])
 
 
-def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``node, hashes`` (ascending as unsigned numbers) of the wanted nodes, of one document each.
-    Documents are sought by id, then by digest, so rows that share an id (or have none) do."""
+def fetched(
+    wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
+    of: Callable[[np.ndarray, np.ndarray], pa.Array] = hash_lists, name: str = "hashes", kind: str = "array<bigint>",
+) -> DataFrame:
+    """``node`` and what ``of`` makes of its set, for the wanted nodes, of one document each: the
+    ``hashes``, ascending as unsigned numbers. Documents are sought by id, then by digest, so
+    rows that share an id (or have none) do."""
     wanted = kept(nodes.join(wanted, "node", "left_semi").select("node", "hi", "lo", F.col("rep").alias("wanted_id")))
     ids = wanted.select("wanted_id").distinct()
     if wanted.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    found = texts.mapInArrow(lambda it: digested_sets(it, size), "hi bigint, lo bigint, hashes array<bigint>")
-    return kept(found.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select("node", "hashes"))
+    found = texts.mapInArrow(lambda it: digested(it, size, of, name), f"hi bigint, lo bigint, {name} {kind}")
+    return kept(found.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select("node", name))
 
 
 def needed(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -150,7 +166,7 @@ def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that are similar by their full sets."""
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    found = full_sets(involved, nodes, docs, size)
+    found = fetched(involved, nodes, docs, size)
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
     both = both.join(found.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
     shared = F.size(F.array_intersect("h_a", "h_b"))
@@ -222,12 +238,6 @@ def sides(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, Bl
     return inside, outside, Blocks(n[inside], at[inside], percent)
 
 
-def profile(hashes: pd.Series) -> pd.Series:
-    shift = np.uint64(64 - PROFILE_BITS)
-    count = lambda h: np.bincount((np.asarray(h).view(np.uint64) >> shift).astype(np.int64), minlength=1 << PROFILE_BITS)
-    return hashes.map(lambda h: count(h).astype(np.uint32).tobytes())
-
-
 def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Rows of a cell that may have a link with a set of another class, by sizes, positions
     and profiles: two sets share no more than the lesser counts of their profiles."""
@@ -300,7 +310,6 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     own = kept(lists.join(mixed, "token"))
     if own.isEmpty():
         return None
-    sets = full_sets(own.select("node").distinct(), nodes, docs, size)
     dealt = lambda count: F.pmod(F.xxhash64("node", F.lit(11)), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     cell, columns = ["token", "i", "j"], ["token", "node", "component", "n", "at"]
@@ -308,12 +317,12 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
     together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
     members = inside.unionByName(outside)
-    profiled = members.join(sets.select("node", F.pandas_udf(profile, "binary")("hashes").alias("profile")), "node")
+    profiled = members.join(fetched(own.select("node").distinct(), nodes, docs, size, profiles, "profile", "binary"), "node")
     narrow = lambda it: by_cell(it, lambda group: possible(group, percent))
     members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
     if members.isEmpty():
         return None
-    held = members.join(sets, "node")
+    held = members.join(fetched(members.select("node").distinct(), nodes, docs, size), "node")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(compared(group, percent), columns=["a", "b"], dtype="int64")

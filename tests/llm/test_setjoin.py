@@ -88,7 +88,8 @@ def test_cells_find_all_classes(seed):
     rows += [(k, component[k], n[k], 0, list(sets[k].view(np.int64)), True) for k in range(60) if component[k]]
     cell = pd.DataFrame(rows, columns=["node", "component", "n", "at", "hashes", "outside"])
     links = setjoin.compared(cell, 85)
-    profiled = cell.assign(profile=setjoin.profile(cell.hashes))
+    first = np.cumsum([0, *(len(h) for h in cell.hashes)])
+    profiled = cell.assign(profile=setjoin.profiles(np.concatenate(cell.hashes).view(np.uint64), first).to_pylist())
     assert sorted(setjoin.compared(setjoin.possible(profiled, 85).reset_index(drop=True), 85)) == sorted(links)
     ok = lambda a, b: 100 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - i)
     assert all(ok(a, b) for a, b in links)
