@@ -196,7 +196,7 @@ def adjacency(
 ) -> DataFrame:
     """``from, seq, to`` rows as ordered target lists per ``from``, in bounded parts."""
     return text_parts(
-        relations, ["from"], ["seq"], line="to", out="targets", sep=",",
+        relations, ["from"], ["seq"], line="to", out="targets", sep=",", sized=relations.select("from"),
         part_bytes=part_bytes, policy=policy,
     )
 

@@ -50,7 +50,8 @@ def directory_nav(docs: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
         F.when(slashes == 0, F.col("first_path")).otherwise(title).alias("sort_key"),
     )
     order = ["sort_key", "kind", "node_path", "first_path"]
-    ranked = with_rank(placed, ["parent_path"], order, "ord", policy=policy).withColumn(
+    # A path gives a directory one entry at most: itself, or the folder on its way.
+    ranked = with_rank(placed, ["parent_path"], order, "ord", policy=policy, bound=docs.select("path")).withColumn(
         "ord", F.col("ord") + F.when(F.col("depth") == 0, 2).otherwise(0)
     )
     fixed = fixed_rows(docs.sparkSession, NAV_COLUMNS, [

@@ -34,6 +34,7 @@ def _stamp(at: Column | str | None) -> Column:
 def module_pages(
     docs: DataFrame, refs: DataFrame, doc_type: str | None = None,
     part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT, by_target: DataFrame | None = None,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
     """Content, then links to what a document depends on and to what uses it.
 
@@ -43,7 +44,8 @@ def module_pages(
     meets part 0 in one join on (page, part), where a page of many parts is no hot key.
     ``by_target`` may give the same references stored by target, and ``refs`` by source
     (``sources.keyed``): then an edge meets its far end where it lies, and only the link rows
-    are dealt, once, by page.
+    are dealt, once, by page. ``raw`` may give ``source_id, target_id`` rows, at least as many
+    as ``refs`` and cheaper to count, as before duplicates are dropped.
     """
     clean = sanitize_path("path")
     shown = docs if doc_type is None else docs.where(F.col("type") == doc_type)
@@ -70,9 +72,10 @@ def module_pages(
         "page_id", "title", "last_updated", "section", "far_id", "type", link.alias("line")
     )
     heading = F.when(F.col("section") == 1, "\n\n## Dependencies\n\n").otherwise("\n\n## Used By\n\n")
+    counted = ends.select("page_id") if raw is None else raw.select(F.explode(F.array("source_id", "target_id")).alias("page_id"))
     parts = text_parts(
         lines, ["page_id"], ["section", "far_id", "type"], out="links",
-        keep=("title", "last_updated"), heading=heading, sized=ends, part_bytes=part_bytes, policy=policy,
+        keep=("title", "last_updated"), heading=heading, sized=counted, part_bytes=part_bytes, policy=policy,
     )
     first = shown.select(
         F.col("id").alias("page_id"), F.lit(0).cast("bigint").alias("part"),
@@ -169,8 +172,10 @@ def component_pages(
     lines = file_lines.unionByName(files_end).unionByName(dep_head).unionByName(dep_lines).unionByName(dep_end)
     head = named.join(shared, ["out_path"], "inner")
     lines = lines.join(head, ["path"], "inner")
+    narrow = references.select("path")
     parts = text_parts(
         lines, ["path"], ["section", "pos"], out="rest", keep=("name", "out_path", "collision"),
+        sized=files.select("path").unionByName(comps.select("path")).unionByName(narrow).unionByName(narrow).unionByName(narrow),
         part_bytes=part_bytes, policy=policy,
     )
     first = comps.select("path", F.lit(0).cast("bigint").alias("part"), text.alias("text"))
@@ -195,7 +200,7 @@ def documentation_pages(
 
 def wiki_pages(
     docs: DataFrame, refs: DataFrame, at: Column | str | None = None,
-    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT,
+    part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT, raw: DataFrame | None = None,
 ) -> DataFrame:
     """Home and architecture page, a page per module, and the search page.
 
@@ -220,15 +225,16 @@ def wiki_pages(
         page("architecture.html", "Architecture", F.when(F.isnotnull("doc"), text), F.col("doc.at")),
         page("search.html", "Search", F.lit(""), now),
     )).alias("page")).select("page.*").where(F.isnotnull("body_md"))
-    return fixed.unionByName(module_pages(docs, refs, "module", part_bytes, policy))
+    return fixed.unionByName(module_pages(docs, refs, "module", part_bytes, policy, raw=raw))
 
 
 
 
 def diagram(
-    nodes: DataFrame, edges: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
+    nodes: DataFrame, edges: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT, raw: DataFrame | None = None
 ) -> DataFrame:
-    """Diagram text in parts: nodes ``path, name``, then edges ``source, target, type``."""
+    """Diagram text in parts: nodes ``path, name``, then edges ``source, target, type``.
+    ``raw`` may give rows, at least as many as ``edges`` and cheaper to count."""
     def ident(c: str) -> Column:
         return F.translate(c, "/", "_")
 
@@ -248,8 +254,11 @@ def diagram(
         ).alias("line"),
     )
     lines = head.unionByName(node_lines).unionByName(edge_lines)
+    frame = nodes.sparkSession.range(2)  # as many lines as the head has
+    narrow = [x.select(F.lit(1).alias("one")) for x in (frame, nodes, edges if raw is None else raw)]
     return text_parts(
-        lines, [], ["kind", "k1", "k2", "k3"], out="diagram", part_bytes=part_bytes, policy=policy
+        lines, [], ["kind", "k1", "k2", "k3"], out="diagram", part_bytes=part_bytes, policy=policy,
+        sized=narrow[0].unionByName(narrow[1]).unionByName(narrow[2]),
     )
 
 

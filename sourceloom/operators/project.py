@@ -91,7 +91,7 @@ def component_files(
         "comp_path", walk_key("path").alias("key"), F.col("path").alias("line")
     )
     return text_parts(
-        lines, ["comp_path"], ["key"], out="files", sep="\n",
+        lines, ["comp_path"], ["key"], out="files", sep="\n", sized=lines.select("comp_path"),
         part_bytes=part_bytes, policy=policy,
     )
 
@@ -121,11 +121,13 @@ def component_references(files: DataFrame, analyses: DataFrame, root: str) -> Da
 
 
 def component_reference_parts(
-    references: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT
+    references: DataFrame, part_bytes: int = PART_BYTES, policy: SkewPolicy = DEFAULT, raw: DataFrame | None = None
 ) -> DataFrame:
+    """Targets of each component in parts. ``raw`` may give ``comp_path`` rows, group by group
+    at least as many as ``references`` and cheaper to count."""
     return text_parts(
         references, ["comp_path"], ["first_key", "first_pos"], line="target", out="references",
-        sep=",", part_bytes=part_bytes, policy=policy,
+        sep=",", sized=raw, part_bytes=part_bytes, policy=policy,
     )
 
 

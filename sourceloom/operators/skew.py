@@ -4,7 +4,8 @@ A group is *hot* if it has more rows than ``limit = max(max_rows, total / (4 * P
 shuffle partitions, or more bytes than the like limit of bytes where lines are weighed. At
 most ``8 * P`` groups can be hot, whatever the data, so a table with one row per hot group
 has a proven size bound and may be broadcast. Nothing is dropped or capped: hot groups are
-cut into ranges. Group sizes cost one narrow, pre-aggregated pass, at every input size.
+cut into ranges. Group sizes cost one narrow, pre-aggregated pass, unless the row counts in
+the Parquet footers of the input prove that there are no more rows than one group may have.
 """
 
 from __future__ import annotations
@@ -38,6 +39,69 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Plan nodes that return no more rows than they read.
+_NARROWING = frozenset(
+    "Project Filter Aggregate Distinct Deduplicate Sort Window Repartition RepartitionByExpression RebalancePartitions SubqueryAlias LocalLimit GlobalLimit".split()
+)
+# Footers are read on the driver for so many files at most.
+MAX_FOOTERS = 64
+
+
+def row_bound(df: DataFrame) -> int | None:
+    """A number of rows that ``df`` has at most, by its plan and Parquet footers, without a
+    Spark job; None if they do not tell."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    footers = [MAX_FOOTERS]
+
+    def listed(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def in_files(paths: list[str]) -> int | None:
+        footers[0] -= len(paths)
+        if footers[0] < 0:
+            return None
+        rows = 0
+        for path in paths:
+            where = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(where)
+            try:
+                rows += reader.getRecordCount()
+            finally:
+                reader.close()
+        return rows
+
+    def most(node) -> int | None:
+        kind = node.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            relation = node.relation()
+            if relation.getClass().getSimpleName() != "HadoopFsRelation" or "Parquet" not in relation.fileFormat().getClass().getSimpleName():
+                return None
+            return in_files(list(relation.location().inputFiles()))
+        if kind == "LocalRelation":
+            return node.data().size()
+        if kind == "OneRowRelation":
+            return 1
+        if kind == "Range":
+            return int(str(node.numElements()))
+        below = [most(child) for child in listed(node.children())]
+        if None in below:
+            return below[0] if kind == "Join" and below[0] is not None and node.joinType().sql() in ("LEFT SEMI", "LEFT ANTI") else None
+        if kind in _NARROWING:
+            return max(below[0], 1)
+        if kind == "Union":
+            return sum(below)
+        if kind == "Join" and node.joinType().sql() in ("LEFT SEMI", "LEFT ANTI"):
+            return below[0]
+        if kind == "Generate":
+            made = listed(node.generator().children())
+            if len(made) == 1 and made[0].getClass().getSimpleName() == "CreateArray":
+                return below[0] * max(made[0].children().size(), 1)
+        return None
+
+    return most(df._jdf.queryExecution().optimizedPlan())
+
+
 def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
     weight = F.sum("__w") if "__w" in rows.columns else F.lit(0)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), weight.alias("__bytes"))
@@ -48,8 +112,12 @@ def _ranges(limits: tuple[int, int]) -> Column:
     return F.ceil(F.greatest(F.col("__n") / limits[0], F.col("__bytes") / limits[1]))
 
 
-def _hot_limits(sized: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[int, int] | None:
-    """Rows and bytes a group may have, or None if no group has more."""
+def _hot_limits(sized: DataFrame, keys: list[str], policy: SkewPolicy, bound: DataFrame | None = None) -> tuple[int, int] | None:
+    """Rows and bytes a group may have, or None if no group has more. If ``bound`` is proven to
+    have no more rows than a group may have, nothing is counted."""
+    most = None if bound is None else row_bound(bound)
+    if most is not None and most <= policy.max_rows:
+        return None
     sizes = _sizes(sized, keys)
     top = sizes.agg(
         F.sum("__n").alias("rows"), F.max("__n").alias("most_rows"), F.sum("__bytes").alias("bytes"), F.max("__bytes").alias("most_bytes")
@@ -70,13 +138,15 @@ def with_rank(
     section: str | None = None,
     sized: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number (bigint) per group in ascending order.
 
     With ``weight`` the sum of the weights before a row is added as ``<out>_before``. With
     ``section``, the first order column, ``<out>_opens`` marks the first row of a section.
     ``order`` must be unique within a group. ``sized`` may give rows with the group
-    columns that are cheaper to count than ``df`` and at least as many.
+    columns that are cheaper to count than ``df`` and, group by group, at least as many;
+    ``bound`` rows of which there are, in all, at least as many as any one group has.
 
     A hot group is cut into ranges of the order key. Each range is ranked in its own task
     and shifted by what lies before it. The cuts come from a hash sample, which only
@@ -97,7 +167,9 @@ def with_rank(
             added.append((~previous.eqNullSafe(F.col("__sec"))).alias(f"{out}_opens"))
         return ranked.select(*df.columns, *added)
 
-    limits = _hot_limits(counted_rows if sized is not None else rows, keys, policy)
+    if bound is None and (sized is not None or weight is None):  # else bytes have to be summed
+        bound = counted_rows
+    limits = _hot_limits(counted_rows if sized is not None else rows, keys, policy, bound)
     if limits is None:
         none = F.lit(0).cast("bigint")
         return finish(_rank_within(rows, keys, order), none, none, F.lit(None))

@@ -93,6 +93,11 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(EDGES_SQL, lineitem=spread(table(spark, sf, "lineitem").select(used), cores(spark)))
 
 
+def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """``source_id, target_id`` of all edges as they lie, for counting."""
+    return _run(spark, sf, EDGES_SQL).select("source_id", "target_id")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf, DOCS_SQL)
 

@@ -93,7 +93,7 @@ def dependency_lists(spark, sf):
     line = F.concat("type", F.lit(" "), F.coalesce("target_path", F.lit("")), F.lit(" -> "), "target_id")
     return text_parts(
         rows.withColumn("line", line), ["source_id"], ["target_id", "type"],
-        out="deps", sep="\n", keep=("source_path",), sized=refs,
+        out="deps", sep="\n", keep=("source_path",), sized=t.raw_edges(spark, sf),
     )
 
 

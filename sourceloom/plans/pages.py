@@ -33,7 +33,7 @@ def diagram(spark, sf):
     ids = docs.select("id", "path")
     refs = normalised_edges(t.edges(spark, sf))
     edges = refs.join(ids.toDF("source_id", "source"), "source_id").join(ids.toDF("target_id", "target"), "target_id")
-    return op.diagram(docs.select("path", F.col("content").alias("name")), edges)
+    return op.diagram(docs.select("path", F.col("content").alias("name")), edges, raw=t.raw_edges(spark, sf))
 
 
 TREE = f"""
@@ -154,7 +154,7 @@ module_parts as (
 
 @query("j6_module_pages", f"with {MODULES} select out_path, title, part, body_md from module_parts")
 def module_pages(spark, sf):
-    pages = op.module_pages(t.documents(spark, sf), normalised_edges(t.edges(spark, sf)))
+    pages = op.module_pages(t.documents(spark, sf), normalised_edges(t.edges(spark, sf)), raw=t.raw_edges(spark, sf))
     return pages.drop("last_updated")
 
 
@@ -209,7 +209,7 @@ union all select out_path, title, part, body_md from module_parts where type = '
 def wiki_pages(spark, sf):
     """Home, architecture, module and search pages in the shape of the pages table."""
     refs = normalised_edges(t.edges(spark, sf))
-    return op.wiki_pages(t.documents(spark, sf), refs).drop("last_updated")
+    return op.wiki_pages(t.documents(spark, sf), refs, raw=t.raw_edges(spark, sf)).drop("last_updated")
 
 
 @query("j6_linked_documents", f"""
@@ -223,7 +223,7 @@ def linked_documents(spark, sf):
     """Flagship: edges normalised and deduplicated, degrees, and the page of each document."""
     docs, refs = t.documents(spark, sf), normalised_edges(t.edges(spark, sf))
     counted = edge_counts(docs.select("id", "path"), refs)
-    pages = op.module_pages(docs, refs).withColumnRenamed("title", "path")
+    pages = op.module_pages(docs, refs, raw=t.raw_edges(spark, sf)).withColumnRenamed("title", "path")
     return counted.join(pages, "path").select(
         "id", document_id("path").alias("doc_hash"), "path", "n_deps", "n_used_by", "part", "body_md"
     )

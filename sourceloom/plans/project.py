@@ -85,7 +85,9 @@ select comp_path, description, "references" from p join q using (comp_path)""")
 def component_rollup(spark, sf):
     """No component has more than seven targets here, so each list is one part."""
     files, analyses = _files(spark, sf), t.file_analyses(spark, sf)
-    references = op.component_reference_parts(op.component_references(files, analyses, ROOT))
+    placed = op.with_component(files.select("path"), ROOT)
+    raw = placed.select("comp_path").unionByName(placed.select("comp_path"))  # two targets a file
+    references = op.component_reference_parts(op.component_references(files, analyses, ROOT), raw=raw)
     return op.component_descriptions(files, analyses, ROOT).join(references, "comp_path").select(
         "comp_path", "description", "references"
     )
