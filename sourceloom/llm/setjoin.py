@@ -163,13 +163,22 @@ def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that are similar by their full sets."""
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    found = fetched(involved, nodes, docs, size)
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
-    both = both.join(found.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
-    shared = F.size(F.array_intersect("h_a", "h_b"))
+def likely(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
+    """Whether the lesser counts of two profiles are as many as two sets must share."""
+    both = (np.frombuffer(b"".join(x), np.uint32).reshape(len(x), 1 << PROFILE_BITS) for x in (a, b))
+    return pd.Series(np.minimum(*both).sum(axis=1) >= need.to_numpy())
+
+
+def verified(pairs: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that are similar: by profiles (``known``) first, then by the full sets."""
+    side = lambda rows, x, column: rows.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}"))
+    with_both = lambda rows, found, column: rows.join(side(found, "a", column), "a").join(side(found, "b", column), "b")
+    may = F.pandas_udf(likely, "boolean")
+    profiled = with_both(pairs, known, "profile")
+    near = kept(profiled.where(may("profile_a", "profile_b", needed(F.col("n_a"), F.col("n_b"), percent))).select(*pairs.columns))
+    involved = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    both = with_both(near, fetched(involved, nodes, docs, size), "hashes")
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return kept(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
 
 
@@ -293,9 +302,11 @@ def compared(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+def remaining_links(
+    lists: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int
+) -> DataFrame | None:
     """Links between different classes of a list (``token, node, n, at, component``). Cells
-    are dealt twice: first with profiles in place of the sets, to leave out rows without a
+    are dealt twice: first with profiles (``known``) in place of the sets, to leave out rows without a
     possible partner, then the rest with their sets."""
     classes = lists.groupBy("token", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = classes.groupBy("token").agg(
@@ -317,11 +328,12 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
     together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
     members = inside.unionByName(outside)
-    profiled = members.join(fetched(own.select("node").distinct(), nodes, docs, size, profiles, "profile", "binary"), "node")
+    profiled = members.join(known, "node")
     narrow = lambda it: by_cell(it, lambda group: possible(group, percent))
     members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
     if members.isEmpty():
         return None
+    members = kept(one_of_alike(members, cell, ["node", "outside"]))
     held = members.join(fetched(members.select("node").distinct(), nodes, docs, size), "node")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
@@ -330,14 +342,20 @@ def remaining_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     return kept(together(held).mapInPandas(lambda it: by_cell(it, links), "a bigint, b bigint").distinct())
 
 
+def one_of_alike(rows: DataFrame, group: list[str], member: list[str]) -> DataFrame:
+    """The rows of one of all groups that have the same members, by 128 bits of hash."""
+    mixed = lambda k: F.bit_xor(F.xxhash64(*member, F.lit(k)))
+    digest = rows.groupBy(*group).agg(F.count("*").alias("members"), mixed(1).alias("x"), mixed(2).alias("y"))
+    chosen = digest.groupBy("members", "x", "y").agg(F.min(F.struct(*group)).alias("chosen")).select("chosen.*")
+    return rows.join(chosen, group, "left_semi")
+
+
 def shared_lists(nodes: DataFrame) -> DataFrame:
     """``token, node, n, at`` of the lists with several members, one of those with the same ones."""
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    postings = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    lists = kept(postings.join(shared, "token", "left_semi"))
-    member = lambda k: F.bit_xor(F.xxhash64("node", F.lit(k)))
-    alike = lists.groupBy("token").agg(F.count("*").alias("members"), member(1).alias("x"), member(2).alias("y"))
-    return kept(lists.join(alike.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi"))
+    lists = kept(postings.join(shared, "token", "left_semi").join(nodes.select("node", "n"), "node"))
+    return kept(one_of_alike(lists, ["token"], ["node"]))
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -361,14 +379,14 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     some = found.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = kept(some.withColumn("node", F.monotonically_increasing_id()))
     lists = shared_lists(nodes)
-    edges = verified(kept(leader_pairs(lists, percent)), nodes, docs, size, percent)
-    known = kept(components(edges))
-    more = remaining_links(
-        lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), nodes, docs, size, percent
-    )
+    known = fetched(lists.select("node").distinct(), nodes, docs, size, profiles, "profile", "binary")
+    edges = verified(kept(leader_pairs(lists, percent)), known, nodes, docs, size, percent)
+    linked_nodes = kept(components(edges))
+    classed = lists.join(linked_nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = remaining_links(classed, known, nodes, docs, size, percent)
     if more is not None and not more.isEmpty():
-        known = kept(components(edges.unionByName(more)))
-    classes = known.join(nodes.select("node", "hi", "lo", "rep"), "node")
+        linked_nodes = kept(components(edges.unionByName(more)))
+    classes = linked_nodes.join(nodes.select("node", "hi", "lo", "rep"), "node")
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = classes.join(least, "component").select("hi", "lo", "component_id")
     rows = found.select("doc_id", "n", "hi", "lo").join(nodes.select("hi", "lo", "rep"), ["hi", "lo"], "left").join(classes, ["hi", "lo"], "left")
