@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceloom.operators import lookups as op
+from sourceloom.operators import trigrams
 from sourceloom.operators.edges import normalised_edges
 from sourceloom.operators.skew import text_parts
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
+from sourceloom.session import new_folder
 from sourceloom.sources import keyed
 from sourceloom.sources.tree import split_rejects
 
@@ -107,6 +109,17 @@ def search(spark, sf):
     return op.search(rows, SEARCHED.upper())
 
 
+@query("b6_indexed_search", f"""
+select source as title, doc_id, text as description from documents
+where contains(lower(source), '{SEARCHED}') or contains(lower(text), '{SEARCHED}')""")
+def indexed_search(spark, sf):
+    """As b6_search, by an index of trigrams over all texts."""
+    rows = t.table(spark, sf, "documents").select(F.col("source").alias("title"), "doc_id", F.col("text").alias("description"))
+    index = trigrams.TextIndex(new_folder(spark, "index"), 256, 8)
+    trigrams.build(rows, index)
+    return trigrams.indexed_search(spark, index, SEARCHED.upper())
+
+
 @query("b7_find_files", f"""
 with f as ({t.FILES})
 select l.doc_id, f.path, l.quality, strlen(f.content) as n_bytes

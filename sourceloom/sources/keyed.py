@@ -117,12 +117,13 @@ def rows(spark: SparkSession, table: KeyedTable, large: int = LARGE_BUCKET) -> D
     return found.drop(column)
 
 
-def lookup(spark: SparkSession, table: KeyedTable, value: str) -> DataFrame:
-    """Rows with this value in ``table.by``: one bucket is read."""
+def lookup(spark: SparkSession, table: KeyedTable, *values: str) -> DataFrame:
+    """Rows with one of these values in ``table.by``: a bucket is read for each."""
     found = opened(spark, table)
     column = found.columns[-1]
-    there = bucket_of(F.lit(value).cast(table.schema[table.by].dataType), int(column.removeprefix(PREFIX)))
-    return found.where((F.col(column) == there) & (F.col(table.by) == value)).drop(column)
+    kind, n = table.schema[table.by].dataType, int(column.removeprefix(PREFIX))
+    there = [bucket_of(F.lit(v).cast(kind), n) for v in values]
+    return found.where(F.col(column).isin(*there) & F.col(table.by).isin(*values)).drop(column)
 
 
 @contextmanager

@@ -10,7 +10,7 @@ from sourceloom.operators import skew
 
 SF = "/root/testdata/sf0.001"
 # These write tables, or a checkpoint: that is what they are.
-WRITES = ("a4_saved_batches", "a5_saved_batches", "b3_stored_out_edges", "b4_stored_in_edges", "b5_stored_edge_counts", "j6_stored_pages")
+WRITES = ("a4_saved_batches", "a5_saved_batches", "b3_stored_out_edges", "b4_stored_in_edges", "b5_stored_edge_counts", "j6_stored_pages", "b6_indexed_search")
 
 
 def jobs(spark, build):
