@@ -140,18 +140,18 @@ def sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         value, first = shingle_sets(words(batch.column("text"), NON_SPACE), size)
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
         digest = np.stack([s[first[1:]] - s[first[:-1]] for s in sums], axis=1)
-        same = np.array([d.tobytes() == w for d, w in zip(digest, batch.column("digest").to_pylist(), strict=True)], bool)
         lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
-        out = pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "hashes"])
-        yield out.filter(pa.array(same))
+        yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in digest], pa.binary()), lists], names=["digest", "hashes"])
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``node, hashes`` (ascending) of the wanted nodes, from one document of each."""
-    texts = wanted.join(nodes.select("node", "digest", "rep"), "node").withColumnRenamed("rep", "doc_id")
-    texts = texts.join(docs.select("doc_id", "text"), "doc_id").select("node", "digest", "text")
-    found = texts.mapInArrow(lambda it: sets(it, size), "node bigint, hashes array<bigint>")
-    return kept(found.dropDuplicates(["node"]))
+    """``node, hashes`` (ascending) of the wanted nodes, from one document of each. Documents
+    are sought by id, null like any other, and told apart by the digest of their set."""
+    asked = nodes.join(wanted, "node", "left_semi").select("node", "digest", "rep")
+    ids = asked.select(F.col("rep").alias("asked_id")).distinct()
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi").select("text")
+    found = texts.mapInArrow(lambda it: sets(it, size), "digest binary, hashes array<bigint>")
+    return kept(found.dropDuplicates(["digest"]).join(asked, "digest").select("node", "hashes"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

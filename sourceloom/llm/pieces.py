@@ -22,12 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
-from sourceloom.llm.words import BASE, CHUNK, INVERSE, mix, powers, slices, text_bytes
+from sourceloom.llm.words import BASE, CHUNK, INVERSE, LONG_WORD, mix, powers, slices, text_bytes
 
 SPACE = 0x2581
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -310,6 +311,8 @@ def segment_hashes(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
         a, b = begins[i:j] - base, begins[i + 1 : j + 1] - base
         out[i:j] = mix((sums[b] - sums[a]) * powers(INVERSE, n)[a] + (b - a).astype(np.uint64))
         i = j
+    for k in np.flatnonzero(np.diff(begins) > LONG_WORD).tolist():  # as in words.word_hashes
+        out[k] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(text[begins[k] : begins[k + 1]]))
     return out
 
 

@@ -73,3 +73,23 @@ def test_registers_and_estimate():
     bits = f"{int(rest[0]):064b}"
     zeros = bits.index("1")
     assert held[2].max() == (zeros + 1) << near.MANTISSA | int((bits[zeros + 1 :] + "0" * 64)[: near.MANTISSA], 2)
+
+
+def test_rows_without_id_keep_their_links(docs_of):
+    """A near copy whose only id is null is linked, and bridges others."""
+    a = prose(900, 200).split()
+    b = [*a[:90], "changed", *a[91:]]
+    c = [*b[:20], "more", *b[21:40], "words", *b[41:]]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (None, prose(901, 60)), (None, prose(901, 60))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(docs_of(rows), size=2).collect()), key=repr)
+    assert {(i, c) for i, _, c in got} == {(1, 1), (None, 1), (7, 1), (None, None)}
+
+
+def test_long_words_are_told_apart(docs_of):
+    """Two words of 1,024 letters that sums of powers modulo 2**64 cannot tell apart."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs_of([(10, a), (11, b), (12, a)])).collect()}
+    assert got == {10: 10, 11: 11, 12: 10}

@@ -51,3 +51,14 @@ def test_rows(spark, odd, docs_of, plain):
     assert encoded(docs_of([(1, "x")]).limit(0), MODEL).count() == 0
     lists = spark.createDataFrame([(1, None, "z"), (2, [], "z"), (3, [1, 259, 0, 264, 13], "z")], "doc_id bigint, ids array<int>, decoded string")
     assert [r.decoded for r in decoded(lists, MODEL).orderBy("doc_id").collect()] == ["", "", plain.decode([1, 259, 0, 264, 13])]
+
+
+def test_long_segments_are_told_apart(spark, docs_of):
+    """Two words of 1,024 letters that sums of powers modulo 2**64 cannot tell apart."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: (r.ids, r.decoded) for r in encoded(docs_of([(1, a), (2, b), (3, f"{a} {b}")]), MODEL, back=True).collect()}
+    assert got == {i: (plain.encode(t), t) for i, t in [(1, a), (2, b), (3, f"{a} {b}")]}
