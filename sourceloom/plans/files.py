@@ -15,6 +15,7 @@ from sourceloom.sources import keyed
 from sourceloom.sources.records import decode_rows, encode_rows
 from sourceloom.sources.store import upsert_documents, upsert_references
 from sourceloom.sources.tree import classify_files, scan_tree, with_extensions
+from sourceloom.sources.tree_source import read_tree
 
 FIXED_TIME = "2024-01-01 00:00:00"
 
@@ -30,6 +31,17 @@ def scan(spark, sf):
     )
 
 
+@query("a1_tree_source", """
+select table_name || '.parquet' as name, length(table_name) + 8 as n from information_schema.tables
+where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+  'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""")
+def tree_source_listing(spark, sf):
+    """The table files by the data source, listed without opening any."""
+    name = F.substring_index("path", "/", -1)
+    found = read_tree(spark, sf, ["parquet"], content=False).where("length > 0")
+    return found.select(name.alias("name"), F.length(name).cast("bigint").alias("n"))
+
+
 @query("a2_extension_filter", f"""
 with f as ({t.FILES})
 select path, strlen(content) as n_bytes from f
