@@ -213,7 +213,7 @@ def windows_by_hash(large: DataFrame, length: int) -> DataFrame:
     return late.select("doc", "place", F.lit(1).alias("windows"), "fragment")
 
 
-def removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def removed(batches: Iterator[pa.RecordBatch], length: int, as_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         data, offsets = text_bytes(batch.column("text"))
         spans, rest = [], []
@@ -232,9 +232,9 @@ def removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             spans.append([{"first": a, "last": b} for a, b in out])
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         names = [n for n in batch.schema.names if n not in ("text", "runs")]
+        left = pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()) if as_text else pa.array(rest, pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in names), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(rest, pa.binary())],
-            names=[*names, "n_bytes", "spans", "rest"],
+            [*(batch.column(n) for n in names), pa.array(np.diff(offsets)), pa.array(spans, kind), left], names=[*names, "n_bytes", "spans", "rest"]
         )
 
 
@@ -242,14 +242,15 @@ def tie(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """Texts (``doc_id``, ``text``) without the bytes covered by a ``length``-byte string that
     also starts earlier: in a smaller ``doc_id``, or in the same document further left.
     Strings are judged on the input and never cross documents; overlaps count.
 
     One row per input row: ``row, n_bytes, spans, rest``; ``row`` is a struct of ``doc_id`` and
     the columns named in ``carry``, ``spans`` are the maximal removed byte ranges (``first``,
-    last-plus-one ``last``), ``rest`` the remaining bytes. Null and
+    last-plus-one ``last``), ``rest`` the remaining bytes, or with ``as_text`` the text they
+    are, without characters that lost some of their bytes. Null and
     empty texts have no bytes; texts shorter than ``length`` stay whole. Rows that share an id
     are one document: of equal strings at equal starts there neither is the earlier. Null
     ids come after all others and are one document too. Other columns are ignored.
@@ -292,6 +293,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, carry: Sequence[str]
         F.collect_list(F.struct(F.shiftright("place", TIE_BITS).alias("start"), "windows")).alias("runs")
     )
     out = base.join(kept(spans), ["doc", "tie"], "left").select("row", "text", "runs")
-    added = T.StructType.fromDDL("n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, rest binary")
+    added = T.StructType.fromDDL(f"n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, rest {'string' if as_text else 'binary'}")
     schema = T.StructType([out.schema["row"], *added.fields])
-    return out.mapInArrow(lambda it: removed(it, length), schema)
+    return out.mapInArrow(lambda it: removed(it, length, as_text), schema)

@@ -76,3 +76,13 @@ def test_texts_with_one_id_and_a_shared_opening(docs_of, monkeypatch, doc_id, gr
     want = {t: brute.span_list(brute.covered([first, t], 100)[1]) for t in texts}
     assert all(want.values())
     assert {r.row.text: [tuple(s) for s in r.spans] for r in got.collect() if r.row.doc_id == doc_id} == want
+
+
+def test_rest_as_text(docs_of):
+    """As text, the rest is its bytes without broken characters."""
+    shared = "é漢" * 60
+    rows = [(1, "a" + shared), (2, "é" + shared + "z"), (3, None), (4, "x" * 99 + "é")]
+    as_bytes = {r.row.doc_id: r.rest for r in repeats.without_repeats(docs_of(rows)).collect()}
+    as_text = {r.row.doc_id: r.rest for r in repeats.without_repeats(docs_of(rows), as_text=True).collect()}
+    assert as_text == {i: bytes(b).decode("utf-8", "ignore") for i, b in as_bytes.items()}
+    assert as_text[3] == "" and as_text[4] == rows[3][1] and len(as_text[2]) < len(rows[1][1])
