@@ -39,9 +39,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     of which nothing is left stays as an empty one.
     """
     others = [c for c in docs.columns if c != "text"]
-    rows = repeats.without_repeats(docs, carry=others)
-    text = F.pandas_udf(lambda rest: rest.map(lambda b: b.decode("utf-8", "ignore")), "string")
-    cleaned = rows.select("row.*", text("rest").alias("text"))
+    rows = repeats.without_repeats(docs, carry=others, as_text=True)
+    cleaned = rows.select("row.*", F.col("rest").alias("text"))
     if "n_chars" in others:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*(f"`{c}`" for c in docs.columns))
