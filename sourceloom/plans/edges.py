@@ -118,6 +118,29 @@ def relation_types(spark, sf):
     return typed.groupBy("raw_type", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Labels as a model may write them, and the type of each: all known ones, padded, in other
+# letter cases, inside longer texts (the first known one counts), and unknown ones.
+LABELS = [
+    ("instantiation", "creates"), ("Instantiates", "creates"), ("usage", "uses"), ("USES", "uses"), ("method call", "calls"),
+    (" Method Invocation ", "calls"), ("invokes", "calls"), ("calls", "calls"), ("containment", "contains"), ("method-of", "belongs-to"),
+    ("method-to-struct", "belongs-to"), ("Method-Belongs-To", "belongs-to"), ("method-belongs-to-struct", "belongs-to"),
+    ("association", "relates"), ("has-method", "defines"), ("defines method", "defines"), ("implements", "implements"),
+    ("it reuses that", "uses"), ("usage by method call", "uses"), ("partly implements", "implements"), ("Owns", "owns"), ("", ""),
+]
+
+
+@query("d6_all_labels", f"""
+with l as (
+  select [{', '.join(f"'{a}'" for a, _ in LABELS)}][1 + (l_orderkey + l_linenumber) % {len(LABELS)}] as raw_type from lineitem),
+known(raw_type, type) as (values {', '.join(f"('{a}', '{b}')" for a, b in LABELS)})
+select raw_type, type, count(*) as n from l join known using (raw_type) group by 1, 2""")
+def all_labels(spark, sf):
+    at = ((F.col("l_orderkey") + F.col("l_linenumber")) % len(LABELS) + 1).cast("int")
+    labels = t.table(spark, sf, "lineitem").select(F.element_at(F.array(*[F.lit(a) for a, _ in LABELS]), at).alias("raw_type"))
+    typed = labels.select("raw_type", relation_type("raw_type").alias("type"))
+    return typed.groupBy("raw_type", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("d7_adjacency", f"""
 with e as ({t.EDGES}),
 r as (select source_id, target_id, (l_orderkey, l_linenumber, l_partkey, l_suppkey) as seq from e)
