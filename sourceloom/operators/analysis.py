@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,44 +114,61 @@ def _text(value: Column) -> Column:
     return F.when(point, number).otherwise(F.try_variant_get(value, "$", "string"))
 
 
-def _typed(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _pair(value: Column, wrong: Column) -> Column:
+    return F.struct(value.alias("value"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
     """A VARIANT as ``kind``, and whether it is of another one. Struct fields are found in
     any letter case, level by level along the schema; keys of maps stay as they stand."""
     given = value.isNotNull() & ~F.is_variant_null(value)
     if isinstance(kind, T.StructType):
-        names = F.try_variant_get(value, "$", "map<string,variant>")
-        fields, wrong = _fields(names, kind)
-        return F.when(names.isNotNull(), fields), given & (names.isNull() | wrong)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        listed = F.try_variant_get(value, "$", "array<variant>")
-        typed = F.transform(listed, lambda x: _typed(x, kind.elementType)[0])
-        wrong = F.exists(listed, lambda x: F.coalesce(_typed(x, kind.elementType)[1], F.lit(False)))
-        return typed, given & (listed.isNull() | wrong)
+        return _let(F.try_variant_get(value, "$", "map<string,variant>"), lambda names: _let(
+            _fields(names, F.map_keys(names), kind),
+            lambda read: _pair(F.when(names.isNotNull(), read["value"]), given & (names.isNull() | read["wrong"])),
+        ))
     if isinstance(kind, T.ArrayType):
         listed = F.try_variant_get(value, "$", "array<variant>")
-        return F.transform(listed, _text), given & listed.isNull()
+        return _let(F.transform(listed, lambda x: _typed(x, kind.elementType)), lambda read: _pair(
+            F.transform(read, lambda x: x["value"]), given & (read.isNull() | F.exists(read, lambda x: x["wrong"]))
+        ))
     if isinstance(kind, T.MapType):
         held = F.try_variant_get(value, "$", "map<string,variant>")
-        typed = F.transform_values(held, lambda _, x: _typed(x, kind.valueType)[0])
-        wrong = F.exists(F.map_values(held), lambda x: F.coalesce(_typed(x, kind.valueType)[1], F.lit(False)))
-        return typed, given & (held.isNull() | wrong)
-    return _text(value), F.lit(False)
+        return _let(F.transform_values(held, lambda _, x: _typed(x, kind.valueType)), lambda read: _pair(
+            F.transform_values(read, lambda _, x: x["value"]), given & (read.isNull() | F.exists(F.map_values(read), lambda x: x["wrong"]))
+        ))
+    return _pair(_text(value), F.lit(False))
 
 
-def _last_of(entries: Column, name: str) -> Column:
-    same = F.filter(entries, lambda e: F.lower(e["key"]) == name)
-    return F.try_element_at(same, F.lit(-1))["value"]
+def _fields(names: Column, keys: Column, schema: T.StructType) -> Column:
+    """Struct from a map of names to VARIANT, and whether a field is of another kind. Of
+    several spellings of a name the last of ``keys`` counts."""
 
+    def spelled(name: str) -> Column:
+        return F.try_element_at(F.filter(keys, lambda k: F.lower(k) == name), F.lit(-1))
+
+    read = F.struct(*[_typed(F.try_element_at(names, spelled(f.name)), f.dataType).alias(f.name) for f in schema.fields])
+    return _let(read, lambda r: _pair(
+        F.struct(*[r[f.name]["value"].alias(f.name) for f in schema.fields]),
+        reduce(Column.__or__, [r[f.name]["wrong"] for f in schema.fields]),
+    ))
 
-def _fields(names: Column, schema: T.StructType) -> tuple[Column, Column]:
-    """Struct from a map of names to VARIANT, and whether a field is of another kind. Of
-    several spellings of a name the last counts; inside a VARIANT that is the schema's."""
-    entries, typed, wrong = F.map_entries(names), [], F.lit(False)
-    for f in schema.fields:
-        value, other = _typed(_last_of(entries, f.name), f.dataType)
-        typed.append(value.alias(f.name))
-        wrong |= F.coalesce(other, F.lit(False))
-    return F.struct(*typed), wrong
+
+def _by_path(text: Column, wrapped: Column, schema: T.StructType) -> Column:
+    """The answer read as VARIANT, as a struct like that of the plain parse."""
+    outer = F.try_parse_json(wrapped)
+    parsed = F.struct(
+        F.try_variant_get(outer, "$.answer", "map<string,variant>").alias("names"), F.json_object_keys(text).alias("keys")
+    )
+    good = lambda d, read: d["names"].isNotNull() & ~read["wrong"]
+    return _let(parsed, lambda d: _let(_fields(d["names"], d["keys"], schema), lambda read: F.struct(
+        F.when(good(d, read), read["value"]).alias("answer"), F.when(~good(d, read), text).alias("_corrupt")
+    )))
 
 
 def _parse(responses: DataFrame, schema: T.StructType) -> DataFrame:
@@ -162,15 +182,9 @@ def _parse(responses: DataFrame, schema: T.StructType) -> DataFrame:
     """
     text = F.coalesce("response", F.lit(""))
     wrapped = F.concat(F.lit('{"answer":'), text, F.lit("}"))
-    options = {**_PARSER, "columnNameOfCorruptRecord": "_corrupt"}
-    outer = lambda kind: T.StructType().add("answer", kind).add("_corrupt", T.StringType())
-    plain = F.from_json(wrapped, outer(schema), options)
-    named = F.from_json(wrapped, outer(T.MapType(T.StringType(), T.VariantType())), options)
-    fields, wrong = _fields(named["answer"], schema)
-    by_path = F.struct(
-        F.when(named["answer"].isNotNull() & ~wrong, fields).alias("answer"), F.when(wrong, text).otherwise(named["_corrupt"]).alias("_corrupt")
-    )
-    read = F.when(text.rlike(_CAPITALS), by_path).otherwise(plain)
+    outer = T.StructType().add("answer", schema).add("_corrupt", T.StringType())
+    plain = F.from_json(wrapped, outer, {**_PARSER, "columnNameOfCorruptRecord": "_corrupt"})
+    read = F.when(text.rlike(_CAPITALS), _by_path(text, wrapped, schema)).otherwise(plain)
     alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
     # One-row explode: filters on the result stay above it, so each answer is parsed once.
     once = responses.select("*", F.explode(F.array(F.struct(read.alias("read"), alone.alias("alone")))).alias("__read"))
