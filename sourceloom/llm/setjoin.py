@@ -43,8 +43,9 @@ CELL = 500_000
 # Sets of either side of a cell, as expected.
 CELL_SETS = 4_096
 SKIP = 32
-# Profiles of sets count their shingles by so many first bits.
-PROFILE_BITS = 8
+# Profiles of sets count their shingles by their first bits: at least and at most so many, else
+# as many as make about two counters for each shingle.
+LEAST_BITS, MOST_BITS = 8, 14
 
 
 def counters(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -112,12 +113,25 @@ def hash_lists(value: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def profiles(value: np.ndarray, first: np.ndarray) -> pa.Array:
-    """How many shingles of each set have each value of their first ``PROFILE_BITS`` bits."""
-    width = 1 << PROFILE_BITS
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    cell = doc * width + (value >> np.uint64(64 - PROFILE_BITS)).astype(np.int64)
-    counts = np.bincount(cell, minlength=(len(first) - 1) * width).astype(np.uint32).reshape(-1, width)
-    return pa.array([row.tobytes() for row in counts], pa.binary())
+    """How many shingles of each set have each value of their first bits."""
+    n = np.diff(first)
+    bits = np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), LEAST_BITS, MOST_BITS).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    cell = np.repeat(begin[:-1], n) + (value >> np.repeat(64 - bits, n).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(cell, minlength=begin[-1]).astype(np.uint16)
+    return pa.array([counts[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """A profile by fewer first bits."""
+    return counts.reshape(width, -1).sum(axis=1, dtype=np.int64)
+
+
+def at_most(a: bytes, b: bytes) -> int:
+    """Two sets share no more shingles than the lesser counts of their profiles."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    width = min(len(x), len(y))
+    return int(np.minimum(folded(x, width), folded(y, width)).sum())
 
 
 def digested(batches: Iterator[pa.RecordBatch], size: int, of: Callable[[np.ndarray, np.ndarray], pa.Array], name: str) -> Iterator[pa.RecordBatch]:
@@ -164,9 +178,8 @@ def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def likely(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
-    """Whether the lesser counts of two profiles are as many as two sets must share."""
-    both = (np.frombuffer(b"".join(x), np.uint32).reshape(len(x), 1 << PROFILE_BITS) for x in (a, b))
-    return pd.Series(np.minimum(*both).sum(axis=1) >= need.to_numpy())
+    """Whether two profiles allow as many shared shingles as are needed."""
+    return pd.Series([at_most(x, y) >= k for x, y, k in zip(a, b, need, strict=True)], dtype=bool)
 
 
 def verified(pairs: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -256,11 +269,13 @@ def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     inside, outside, blocks = sides(group, percent)
     component, kept_rows = group.component.to_numpy(), np.zeros(len(group), bool)
     n, at = group.n.to_numpy(), group["at"].to_numpy()
-    profiles = np.frombuffer(b"".join(group.profile), np.uint32).reshape(len(group), -1)
+    fine = list(group.profile)
+    coarse = np.stack([folded(np.frombuffer(p, np.uint16), 1 << LEAST_BITS) for p in fine]).astype(np.int32)
     for x in outside.tolist():
         k = inside[blocks.allowed(n[x], at[x])]
         k = k[component[k] != component[x]]
-        k = k[np.minimum(profiles[k], profiles[x]).sum(axis=1) >= blocks.need(n[x], n[k])]
+        k = k[np.minimum(coarse[k], coarse[x]).sum(axis=1) >= blocks.need(n[x], n[k])]
+        k = k[[at_most(fine[z], fine[x]) >= blocks.need(n[x], n[z]) for z in k.tolist()]] if len(k) else k
         kept_rows[k] = True
         kept_rows[x] = len(k) > 0
     return narrow[kept_rows]
