@@ -260,9 +260,14 @@ def sides(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, Bl
     return inside, outside, Blocks(n[inside], at[inside], percent)
 
 
+def coarse(column: pd.Series) -> pd.Series:
+    """Profiles by ``LEAST_BITS`` bits."""
+    return column.map(lambda p: folded(np.frombuffer(p, np.uint16), 1 << LEAST_BITS).astype(np.uint16).tobytes())
+
+
 def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Rows of a cell that may have a link with a set of another class, by sizes, positions
-    and profiles: two sets share no more than the lesser counts of their profiles."""
+    and profiles (coarse or fine)."""
     narrow = group.drop(columns="profile")
     if group.outside.all() or not group.outside.any():
         return narrow.iloc[:0]
@@ -270,12 +275,14 @@ def possible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     component, kept_rows = group.component.to_numpy(), np.zeros(len(group), bool)
     n, at = group.n.to_numpy(), group["at"].to_numpy()
     fine = list(group.profile)
-    coarse = np.stack([folded(np.frombuffer(p, np.uint16), 1 << LEAST_BITS) for p in fine]).astype(np.int32)
+    even = np.stack([folded(np.frombuffer(p, np.uint16), 1 << LEAST_BITS) for p in fine]).astype(np.int32)
+    finer = np.array([len(p) for p in fine]) > 2 << LEAST_BITS
     for x in outside.tolist():
         k = inside[blocks.allowed(n[x], at[x])]
         k = k[component[k] != component[x]]
-        k = k[np.minimum(coarse[k], coarse[x]).sum(axis=1) >= blocks.need(n[x], n[k])]
-        k = k[[at_most(fine[z], fine[x]) >= blocks.need(n[x], n[z]) for z in k.tolist()]] if len(k) else k
+        k = k[np.minimum(even[k], even[x]).sum(axis=1) >= blocks.need(n[x], n[k])]
+        if finer[x] and len(k):
+            k = k[np.array([at_most(fine[z], fine[x]) >= blocks.need(n[x], n[z]) for z in k.tolist()], bool)]
         kept_rows[k] = True
         kept_rows[x] = len(k) > 0
     return narrow[kept_rows]
@@ -321,8 +328,8 @@ def remaining_links(
     lists: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int
 ) -> DataFrame | None:
     """Links between different classes of a list (``token, node, n, at, component``). Cells
-    are dealt twice: first with profiles (``known``) in place of the sets, to leave out rows without a
-    possible partner, then the rest with their sets."""
+    are dealt three times: with coarse profiles and then with fine ones (``known``) in place of the
+    sets, to leave out rows without a possible partner, and the rest with their sets."""
     classes = lists.groupBy("token", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = classes.groupBy("token").agg(
         F.max_by("component", F.struct("shingles", "component")).alias("top"), F.max_by("members", F.struct("shingles", "component")).alias("top_members"),
@@ -343,9 +350,11 @@ def remaining_links(
     outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
     together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
     members = inside.unionByName(outside)
-    profiled = members.join(known, "node")
     narrow = lambda it: by_cell(it, lambda group: possible(group, percent))
-    members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
+    rough = known.select("node", F.pandas_udf(coarse, "binary")("profile").alias("profile"))
+    for profile in (rough, known):
+        profiled = members.join(profile, "node")
+        members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
     if members.isEmpty():
         return None
     members = kept(one_of_alike(members, cell, ["node", "outside"]))
