@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourceloom.functions.vectors import cosine
 
-MAX_QUERY_VALUES = 4_000_000
+# Vectors that one task holds at a time: so many rows or numbers of documents and of queries,
+# and so many of their scores.
+MAX_DOC_ROWS, MAX_DOC_VALUES = 20_000, 1 << 20
+MAX_QUERY_ROWS, MAX_QUERY_VALUES = 10_000, 1 << 19
+TILE = 1 << 21
 
 
 def search_similar(docs: DataFrame, vector: Sequence[float] | Column, limit: int) -> DataFrame:
@@ -34,57 +38,59 @@ def search_similar_batch(docs: DataFrame, queries: DataFrame, limit: int) -> Dat
     """``query_id, id, similarity, rank`` of the nearest documents for each query row
     (``query_id, embedding``).
 
-    Queries travel with the tasks, in blocks of about ``MAX_QUERY_VALUES`` numbers, however
-    many there are. Each task scores a batch of documents with one matrix product and passes
-    on its best ``limit`` per query; only those are shuffled and ranked. Pairs are never
-    materialised.
+    Documents and queries are dealt to blocks of bounded size, and every block of the ones
+    meets every block of the others in a group. It is scored in tiles by matrix products and
+    passes on its best ``limit`` per query; only those are ranked. Pairs are never
+    materialised, and no vector comes to the driver.
     """
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = asked.where(F.col("v").isNotNull())
-    values = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    blocks = max(1, -(-values // MAX_QUERY_VALUES))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        local = _block(docs, [(r.query_id, r.v) for r in part], limit)
-        found = local if found is None else found.unionByName(local)
+    held = docs.where(F.size("embedding") > 0).select("id", "embedding")
+    doc_blocks, query_blocks = _blocks(held, "embedding", MAX_DOC_ROWS, MAX_DOC_VALUES), _blocks(asked, "v", MAX_QUERY_ROWS, MAX_QUERY_VALUES)
+    schema = T.StructType([
+        T.StructField("query_id", T.LongType()), T.StructField("id", docs.schema["id"].dataType),
+        T.StructField("similarity", T.DoubleType()),
+    ])
+    pairs = _dealt(held, "d", doc_blocks, "q", query_blocks).cogroup(_dealt(asked, "q", query_blocks, "d", doc_blocks))
+    found = pairs.applyInPandas(lambda d, q: _best(d, q, limit), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def _block(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
-    """Each task's nearest documents for some queries."""
-    names = np.array([q for q, _ in queries], dtype=np.int64)
-    by_length: dict[int, list[int]] = {}
-    for i, (_, v) in enumerate(queries):
-        by_length.setdefault(len(v), []).append(i)
-    blocks = {
-        n: (np.array(rows), _unit(np.array([queries[i][1] for i in rows], dtype=np.float64)))
-        for n, rows in by_length.items()
-    }
-
-    def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            lengths = batch["embedding"].map(len).to_numpy()
-            scores = np.zeros((len(names), len(batch)))
-            for n, (rows, unit) in blocks.items():
-                at = np.flatnonzero(lengths == n)
-                if n and len(at):
-                    vectors = np.stack(batch["embedding"].iloc[at].to_list()).astype(np.float64)
-                    scores[np.ix_(rows, at)] = unit @ _unit(vectors).T
-            scores = np.round(scores, 12)  # equal vectors tie, whatever the batch
-            ids = batch["id"].to_numpy()
-            kept = _merge(kept, names, ids, scores, limit)
-        if kept is not None:
-            yield kept
-
-    id_type = docs.schema["id"].dataType
-    schema = T.StructType([
-        T.StructField("query_id", T.LongType()), T.StructField("id", id_type),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    return docs.where(F.size("embedding") > 0).select("id", "embedding").mapInPandas(best, schema)
+def _blocks(rows: DataFrame, vector: str, max_rows: int, max_values: int) -> int:
+    n, values = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
+    return max(1, -(-n // max_rows), -(-values // max_values))
+
+
+def _dealt(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> GroupedData:
+    """Rows in one of their blocks each, once for every block of the others."""
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(own_blocks)).cast("int").alias(own)
+    every = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other)
+    return rows.select("*", block).select("*", every).groupBy("d", "q")
+
+
+def _best(docs: pd.DataFrame, queries: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """The nearest of some documents for some queries."""
+    ids, names = docs["id"].to_numpy(), queries["query_id"].to_numpy()
+    lengths = docs["embedding"].map(len).to_numpy(dtype=np.int64)
+    units = {}
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        units[n] = at, _unit(np.stack(docs["embedding"].iloc[at].to_list()).astype(np.float64))
+    step, found = max(1, TILE // max(1, len(docs))), []
+    for a in range(0, len(queries) if len(docs) else 0, step):
+        part = queries["v"].iloc[a : a + step]
+        own = part.map(len).to_numpy(dtype=np.int64)
+        scores = np.zeros((len(part), len(docs)))
+        for n in np.unique(own).tolist():
+            if n in units:
+                rows, (at, unit) = np.flatnonzero(own == n), units[n]
+                asked = _unit(np.stack(part.iloc[rows].to_list()).astype(np.float64))
+                scores[np.ix_(rows, at)] = asked @ unit.T
+        scores = np.round(scores, 12)  # equal vectors tie, whatever the block
+        found.append(_top(names[a : a + step], ids, scores, limit))
+    none = pd.DataFrame({"query_id": names[:0], "id": ids[:0], "similarity": np.empty(0)})
+    return pd.concat(found, ignore_index=True) if found else none
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -93,16 +99,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _merge(
-    kept: pd.DataFrame | None, names: np.ndarray, ids: np.ndarray, scores: np.ndarray, limit: int
-) -> pd.DataFrame:
-    """Best rows per query of a batch and of what was kept before."""
+def _top(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, limit: int) -> pd.DataFrame:
+    """Best rows per query."""
     if 0 < limit < scores.shape[1]:
         cut = np.partition(scores, -limit, axis=1)[:, [-limit]]
         rows, cols = np.nonzero(scores >= cut)  # keeps every tie at the cut
     else:
         rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    fresh = pd.DataFrame({"query_id": names[rows], "id": ids[cols], "similarity": scores[rows, cols]})
-    both = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
-    ordered = both.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+    found = pd.DataFrame({"query_id": names[rows], "id": ids[cols], "similarity": scores[rows, cols]})
+    ordered = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
     return ordered.groupby("query_id", sort=False).head(limit)

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,25 @@ def test_similar_batch_agrees_with_single(spark, monkeypatch, block):
         assert [r.similarity for r in rows] == pytest.approx([r.similarity for r in single])
 
 
+def test_similar_batch_holds_blocks_and_tiles_only(spark, monkeypatch):
+    """No task holds the scores of all its queries, and no vector comes to the driver."""
+    rng, sizes = np.random.default_rng(5), []
+    docs = [(f"d{k:03}", [float(x) for x in rng.integers(-2, 3, 3)]) for k in range(120)] + VECTORS
+    queries = [(k % 50, v) for k, (_, v) in enumerate(docs[:100])]  # ids come twice
+    frames = spark.createDataFrame(docs, "id string, embedding array<double>"), spark.createDataFrame(queries, "query_id bigint, embedding array<double>")
+    want = sorted(similarity.search_similar_batch(*frames, 4).collect())
+    assert len(want) == 200
+    for name, value in (("MAX_DOC_ROWS", 31), ("MAX_QUERY_ROWS", 17), ("TILE", 60)):
+        monkeypatch.setattr(similarity, name, value)
+    assert sorted(similarity.search_similar_batch(*frames, 4).collect()) == want
+    top = similarity._top
+    monkeypatch.setattr(similarity, "_top", lambda n, i, scores, k: (sizes.append(scores.size), top(n, i, scores, k))[1])
+    frame = lambda rows, names: pd.DataFrame(rows, columns=names)
+    similarity._best(frame(docs[:30], ["id", "embedding"]), frame(queries, ["query_id", "v"]), 4)
+    assert len(sizes) == 50 and max(sizes) == 60
+    assert not len(similarity._best(frame(docs[:0], ["id", "embedding"]), frame(queries, ["query_id", "v"]), 4))
+
+
 def test_display_rows(spark):
     enhanced = spark.createDataFrame(
         [("p", ({"line_coverage": "85.25", "x": "n/a"}, [("dead_code", "D", "High", ["a/b", "c"])], {"k/v": ["w"]}))],
