@@ -247,14 +247,22 @@ def enhanced_responses_in_any_case(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _buckets(spark: SparkSession, sf: str) -> int:
+    """Of the saved edges, and of their documents, so that they lie alike."""
+    return keyed.pieces(table(spark, sf, "lineitem"), 8)
+
+
 def saved_references(spark: SparkSession, sf: str) -> tuple[keyed.KeyedTable, keyed.KeyedTable]:
     """The edges in two saves, the first two lines of an order before the others, in the
     tables by source and by target."""
     seen = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last_seen")
-    lines = edges(spark, sf).select("source_id", "target_id", relation_type("raw_type").alias("type"), seen, seen.alias("seq"), "l_linenumber")
+    # As the files lie: a save reads its batch several times, and dealing rows out first would
+    # be a shuffle for each time.
+    lines = _run(spark, sf, EDGES_SQL).select("source_id", "target_id", relation_type("raw_type").alias("type"), seen, seen.alias("seq"), "l_linenumber")
     schema, folder = lines.drop("seq", "l_linenumber").schema, new_folder(spark, "references")
+    buckets = _buckets(spark, sf)
     saved = tuple(
-        keyed.KeyedTable(f"{folder}/{by}", schema, ("source_id", "target_id", "type"), by, 8) for by in ("source_id", "target_id")
+        keyed.KeyedTable(f"{folder}/{by}", schema, ("source_id", "target_id", "type"), by, buckets) for by in ("source_id", "target_id")
     )
     for later in (False, True):
         batch = lines.where((F.col("l_linenumber") > 2) == later).drop("l_linenumber")
@@ -265,7 +273,7 @@ def saved_references(spark: SparkSession, sf: str) -> tuple[keyed.KeyedTable, ke
 
 def saved_documents(spark: SparkSession, sf: str) -> keyed.KeyedTable:
     docs = documents(spark, sf)
-    saved = keyed.KeyedTable(new_folder(spark, "documents"), docs.schema, ("id",), "id", 8)
+    saved = keyed.KeyedTable(new_folder(spark, "documents"), docs.schema, ("id",), "id", _buckets(spark, sf))
     keyed.save(docs.withColumn("seq", F.lit(0)), saved)
     return saved
 

@@ -18,20 +18,21 @@ import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourceloom.schemas import DOCUMENT, REFERENCE
-from sourceloom.sources.store import DOCUMENT_KEY, REFERENCE_KEY, latest
+from sourceloom.sources.store import DOCUMENT_KEY, REFERENCE_KEY
 
 PREFIX = "bucket_of_"
-# Buckets of a new table: about one per 256 MB that it shall hold is a good choice.
+# Buckets of a new table: about one per 32 MB that it shall hold is a good choice (``pieces``),
+# since a join or aggregate by bucket sorts a bucket's rows in one task.
 BUCKETS = 64
+BUCKET_BYTES = 32 << 20
 # A bucket with more bytes is read without bucketing: Spark then splits it among tasks.
-LARGE_BUCKET = 1 << 30
+LARGE_BUCKET = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,14 @@ def bucket_of(value: Column, buckets: int) -> Column:
     return F.pmod(F.hash(value), F.lit(buckets)).cast("int")
 
 
+def pieces(rows: DataFrame, least: int) -> int:
+    """Buckets, or tasks, for what ``rows`` is made from: one per ``BUCKET_BYTES`` of the files
+    and local rows that are read, as far as Spark knows their sizes; no job is run."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(least, -(-sum(s for s in sizes if s < 1 << 60) // BUCKET_BYTES))  # unknown ones are huge
+
+
 def _files(spark: SparkSession, table: KeyedTable, pattern: str) -> list:
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(table.path)
@@ -127,15 +136,19 @@ def lookup(spark: SparkSession, table: KeyedTable, *values: str) -> DataFrame:
 
 
 @contextmanager
-def _touched_only(spark: SparkSession) -> Iterator[None]:
-    """Writes replace the partitions they have rows for."""
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
+def _touched_only(spark: SparkSession, rows: DataFrame) -> Iterator[None]:
+    """Writes replace the partitions they have rows for. Rows are dealt to as many tasks as they
+    need, so that a task sorts no more of a larger batch."""
+    partitions = "spark.sql.shuffle.partitions"
+    settings = {"spark.sql.sources.partitionOverwriteMode": "dynamic", partitions: str(pieces(rows, int(spark.conf.get(partitions))))}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def save(batch: DataFrame, table: KeyedTable, seq: str = "seq") -> list[int]:
@@ -149,12 +162,15 @@ def save(batch: DataFrame, table: KeyedTable, seq: str = "seq") -> list[int]:
     touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # numbers below the count of buckets
     if not touched:
         return []
-    newest = latest(batch, list(table.key), seq).withColumn(column, bucket).select(*(f"`{c}`" for c in now.columns))
-    current = now.where(F.col(column).isin(touched))
-    keys = batch.select(*(F.col(f"`{k}`").alias(f"__{k}") for k in table.key)).distinct()
-    same = reduce(Column.__and__, (F.col(f"`{k}`").eqNullSafe(F.col(f"__{k}")) for k in table.key))
-    merged = current.join(keys, same, "left_anti").unionByName(newest)
-    with _touched_only(spark):
+    # Rows that are there and those of the batch meet in one shuffle by key, keys once in a row;
+    # rows of one key collapse before it.
+    held = now.where(F.col(column).isin(touched)).select(*(F.col(f"`{f.name}`") for f in table.schema), F.lit(False).alias("__new"), F.lit(None).cast(batch.schema[seq].dataType).alias("__seq"))
+    come = batch.select(*(F.col(f"`{f.name}`") for f in table.schema), F.lit(True).alias("__new"), F.col(f"`{seq}`").alias("__seq"))
+    key, rest = ([F.col(f"`{f.name}`") for f in table.schema if (f.name in table.key) == is_key] for is_key in (True, False))
+    grouped = held.unionByName(come).groupBy(*key)
+    merged = grouped.agg(F.max_by(F.struct(*rest), F.struct("__new", "__seq")).alias("__row")).select(*key, "__row.*") if rest else grouped.agg(F.lit(1)).select(*key)
+    merged = merged.withColumn(column, bucket).select(*(f"`{c}`" for c in now.columns))
+    with _touched_only(spark, merged):
         # A bucket is one task's, unless it is large.
         merged.hint("rebalance", F.col(column)).write.mode("overwrite").insertInto(table.name)
     spark.catalog.refreshTable(table.name)

@@ -132,3 +132,54 @@ def test_documents_and_references(spark, tmp_path):
     for _ in range(2):
         keyed.save_references(edges, path, buckets=4)
     assert keyed.out_edges(spark, path, "a").count() == 1 and keyed.in_edges(spark, path, "b").count() == 2
+
+
+def test_a_save_deals_rows_once_by_key_and_once_by_bucket(spark, tmp_path, monkeypatch):
+    """One shuffle for the rows that are there and the batch's together, keys not sent twice."""
+    t, seen = table(spark, tmp_path, key=("id", "content")), []
+    keyed.save(batch(spark, [(f"k{i}", "old") for i in range(50)]), t)
+    plain = keyed._touched_only
+    monkeypatch.setattr(keyed, "_touched_only", lambda s, rows: (seen.append(rows), plain(s, rows))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed.save(batch(spark, [(f"k{i}", "old") for i in range(80)]), t)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = plan(seen[0])
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    assert content(spark, t) == sorted((f"k{i}", "old") for i in range(80))
+
+
+def test_the_batch_wins_whatever_the_rows_that_are_there(spark, tmp_path):
+    t = table(spark, tmp_path)
+    keyed.save(batch(spark, [("a", "1"), ("b", "2"), (None, "3")]).withColumn("seq", F.lit(9)), t)
+    keyed.save(batch(spark, [("a", "4"), (None, None), ("a", "5")]), t)
+    assert content(spark, t) == sorted([("a", "5"), ("b", "2"), (None, None)], key=repr)
+
+
+def test_more_input_gets_more_buckets_and_tasks(spark, tmp_path, monkeypatch):
+    spark.range(20_000).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert keyed.pieces(rows, 8) == 8
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 5_000)
+    n = keyed.pieces(rows, 8)
+    assert n > 8
+    # a join is no larger than what it reads, and rows of unknown size count as none
+    assert keyed.pieces(rows.crossJoin(rows.toDF("b")), 1) <= 2 * n and keyed.pieces(spark.createDataFrame(rows.rdd), 3) == 3
+    t, before = table(spark, tmp_path), spark.conf.get("spark.sql.shuffle.partitions")
+    with keyed._touched_only(spark, rows):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == n
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and content(spark, t) == []
+
+
+def test_saved_edges_are_read_where_they_lie(spark):
+    """The batch is evaluated several times: none of them deals out the lines first."""
+    from sourceloom.plans import adapters
+
+    seen, save = [], keyed.save
+    try:
+        keyed.save = lambda b, t, seq="seq": (seen.append(plan(b)), save(b, t, seq))[1]
+        tables = adapters.saved_references(spark, "/root/testdata/sf0.001")
+    finally:
+        keyed.save = save
+    assert len(seen) == 4 and not any("Exchange" in x for x in seen) and {t.buckets for t in tables} == {8}
