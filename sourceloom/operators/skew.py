@@ -1,8 +1,8 @@
 """Ranks and text assembly that hold when one key has most of the rows.
 
 A group is *hot* if it has more rows than ``limit = max(max_rows, total / (4 * P))`` with P
-shuffle partitions, or more bytes than the like limit of bytes where lines are weighed. At
-most ``8 * P`` groups can be hot, whatever the data, so a table with one row per hot group
+tasks (the shuffle partitions, or one per ``TASK_ROWS`` if that is more), or more bytes than
+the like limit of bytes where lines are weighed. At most ``8 * P`` groups can be hot, whatever the data, so a table with one row per hot group
 has a proven size bound and may be broadcast. Nothing is dropped or capped: hot groups are
 cut into ranges. Group sizes cost one narrow, pre-aggregated pass, unless the row counts in
 the Parquet footers of the input prove that there are no more rows than one group may have.
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from sourceloom.session import shared_folder
 
 MAX_GROUP_ROWS = 1_000_000
+# Rows and bytes that a task ranks and assembles: with more, there are more tasks than shuffle
+# partitions, so that a task's memory does not grow with the input.
+TASK_ROWS = 500_000
+TASK_BYTES = 128 * 1024 * 1024
 MAX_GROUP_BYTES = 256 * 1024 * 1024
 PART_BYTES = 1024 * 1024
 _SAMPLES_PER_RANGE = 20
@@ -112,21 +116,30 @@ def _ranges(limits: tuple[int, int]) -> Column:
     return F.ceil(F.greatest(F.col("__n") / limits[0], F.col("__bytes") / limits[1]))
 
 
-def _hot_limits(sized: DataFrame, keys: list[str], policy: SkewPolicy, bound: DataFrame | None = None) -> tuple[int, int] | None:
-    """Rows and bytes a group may have, or None if no group has more. If ``bound`` is proven to
-    have no more rows than a group may have, nothing is counted."""
+def _hot_limits(sized: DataFrame, keys: list[str], policy: SkewPolicy, bound: DataFrame | None = None) -> tuple[tuple[int, int] | None, int]:
+    """Rows and bytes a group may have, or None if no group has more; and the tasks that the
+    rows need, or 0 if the shuffle partitions will do. If ``bound`` is proven to have no more
+    rows than a group may have, nothing is counted."""
     most = None if bound is None else row_bound(bound)
     if most is not None and most <= policy.max_rows:
-        return None
+        return None, 0
     sizes = _sizes(sized, keys)
     top = sizes.agg(
         F.sum("__n").alias("rows"), F.max("__n").alias("most_rows"), F.sum("__bytes").alias("bytes"), F.max("__bytes").alias("most_bytes")
     ).first()
     if top.rows is None:
-        return None
-    share = 4 * int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return None, 0
+    partitions = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(-(-top.rows // TASK_ROWS), -(-int(top.bytes or 0) // TASK_BYTES))
+    share = 4 * max(partitions, tasks)
     limits = max(policy.max_rows, -(-top.rows // share)), max(policy.max_bytes, -(-int(top.bytes or 0) // share))
-    return limits if top.most_rows > limits[0] or (top.most_bytes or 0) > limits[1] else None
+    hot = top.most_rows > limits[0] or (top.most_bytes or 0) > limits[1]
+    return limits if hot else None, tasks if tasks > partitions else 0
+
+
+def _dealt(rows: DataFrame, tasks: int, keys: list[str]) -> DataFrame:
+    """Rows dealt to so many tasks; with 0 as Spark deals them."""
+    return rows.repartition(tasks, *keys) if tasks else rows
 
 
 def with_rank(
@@ -152,6 +165,14 @@ def with_rank(
     and shifted by what lies before it. The cuts come from a hash sample, which only
     decides where ranges meet: every row is ranked.
     """
+    return _ranked(df, group, order, out, weight, section, sized, policy, bound)[0]
+
+
+def _ranked(
+    df: DataFrame, group: list[str], order: list[str], out: str, weight: Column | None, section: str | None,
+    sized: DataFrame | None, policy: SkewPolicy, bound: DataFrame | None = None,
+) -> tuple[DataFrame, int]:
+    """As ``with_rank``; and the tasks that the rows need, if they do not lie by group in as many."""
     keys = group or ["__all"]
     rows = df if group else df.withColumn("__all", F.lit(0))
     counted_rows = rows if sized is None else sized if group else sized.withColumn("__all", F.lit(0))
@@ -169,10 +190,10 @@ def with_rank(
 
     if bound is None and (sized is not None or weight is None):  # else bytes have to be summed
         bound = counted_rows
-    limits = _hot_limits(counted_rows if sized is not None else rows, keys, policy, bound)
+    limits, tasks = _hot_limits(counted_rows if sized is not None else rows, keys, policy, bound)
     if limits is None:
         none = F.lit(0).cast("bigint")
-        return finish(_rank_within(rows, keys, order), none, none, F.lit(None))
+        return finish(_rank_within(_dealt(rows, tasks, keys), keys, order), none, none, F.lit(None)), 0
 
     rows = cut_lineage(rows)
     groups = _sizes(rows, keys).withColumn("__cuts", _ranges(limits)).where("__cuts > 1").drop("__bytes")
@@ -205,12 +226,12 @@ def with_rank(
         F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__shift_w"),
         F.max("__sec").over(earlier).alias("__last"),
     )
-    ranked = _rank_within(placed, [*keys, "__range"], order).join(
+    ranked = _rank_within(_dealt(placed, tasks, [*keys, "__range"]), [*keys, "__range"], order).join(
         F.broadcast(shifts), [*keys, "__range"], "left"
     )
     return finish(
         ranked, F.coalesce("__shift", F.lit(0)), F.coalesce("__shift_w", F.lit(0)), F.col("__last")
-    )
+    ), tasks
 
 
 def _rank_within(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -262,7 +283,7 @@ def text_parts(
     and one line, however large the page. ``keep`` columns depend on the page columns.
     ``heading`` is set before the first line of each value of the first order column.
     """
-    ranked = with_rank(
+    ranked, tasks = _ranked(
         lines, page, order, "__r", F.octet_length(F.col(line)) + 1,
         None if heading is None else order[0], sized, policy,
     )
@@ -275,7 +296,7 @@ def text_parts(
         F.struct("__r", text.alias("__line")).alias("__item"),
     )
     ordered = F.sort_array(F.collect_list("__item"))["__line"]
-    return items.groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
+    return _dealt(items, tasks, [*page, "part"]).groupBy(*page, *keep, "part").agg(F.array_join(ordered, sep).alias(out))
 
 
 def spread(df: DataFrame, tasks: int) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from sourceloom.operators import skew
 from sourceloom.operators.skew import SkewPolicy, text_parts, with_rank
 
 FORCED = SkewPolicy(max_rows=50)
@@ -77,3 +78,15 @@ def test_text_parts_join_to_the_whole_page(lopsided, policy):
         got[r.g].append(r.body_md)
     assert {g: "".join(x) for g, x in got.items()} == {g: "\n".join(sorted(x)) + "\n" for g, x in want.items()}
     assert len(got[0]) > 20
+
+
+@pytest.mark.parametrize("policy", [SkewPolicy(), FORCED])
+def test_more_rows_get_more_tasks(spark, lopsided, monkeypatch, policy):
+    """A task ranks and assembles so many rows, whatever the number of shuffle partitions."""
+    lines = lopsided.select("g", "k", F.concat("k", F.lit("\n")).alias("line"))
+    want = sorted(text_parts(lines, ["g"], ["k"], part_bytes=1000, policy=policy).collect())
+    monkeypatch.setattr(skew, "TASK_ROWS", 500)
+    found = text_parts(lines, ["g"], ["k"], part_bytes=1000, policy=policy)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 12), REPARTITION_BY_NUM" in plan  # 6,000 rows
+    assert sorted(found.collect()) == want
