@@ -5,26 +5,31 @@ by its 64-bit hash (the start of a text is a context of its own). All context re
 share one parent, the restaurant of single words: each table opened in a context is a
 customer there. Its own base is uniform over the training vocabulary and one unknown word.
 
-Counts are gathered in packed arrays: each task merges its training tokens, and a word's
-counts of all tasks meet in the word's part. A part numbers its contexts: those of its
-training tokens and of the held-out tokens it will score. A context's customers and tables
-are summed over all parts where its hash is dealt to, and joined to every part that has it;
-there are as many ranges of hashes as parts. In a part the seating is sampled by Gibbs, a
-word's customers of one context at a time: of ``k`` seated customers at ``t`` tables, the
-next opens a table with odds ``(theta + d * T) * parent : k - d * t``, where ``T``, the
-context's tables, and the parent's totals are those of the sweeps before. Beyond
-``ONE_BY_ONE`` customers they are seated in blocks of a sixteenth. Sweeps run where the
-counts lie; between the two rounds all totals are summed anew. Probabilities are those of the mean tables
-of the second round's sweeps.
-
-For scoring, tokens go to their word's part the same way, packed by task; a part with more
-tokens than others is held by several tasks, each of which takes some of the packs.
+Counts are gathered in packed arrays: each task merges its tokens, and a word's counts of
+all tasks meet in the word's part. A part numbers its contexts: those of its training tokens
+and of the held-out tokens it will score. A context's customers and tables are summed over
+all parts where its hash is dealt to, and joined to every part that has it; there are as many
+ranges of hashes as parts.
+
+The seating is sampled by Gibbs: every customer is taken out of its table (which goes if it
+was alone) and seated again among the others, at a table of ``n`` with odds ``n - d`` or at
+a new one with odds ``(theta + d * T) * parent``. ``T`` counts the tables of the context, its
+own of the word as they stand, others as of the sweep before; the word's probability in the
+parent is that of the sweep before (parallel Gibbs: what other customers of the same turn do
+is seen in the next). Tables opened or gone are customers come or gone in the parent, whose
+customers are then taken out and seated again likewise. Before the first sweep customers come
+in one after the other. Sweeps run where the counts lie; between the two rounds all totals
+are summed anew. Probabilities are the mean of those of the second round's sweeps.
+
+A part keeps where each pack's pairs are in it. It answers every pack with the probabilities
+of its pairs, and these meet the pack's documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -33,26 +38,35 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.shared import kept
+from sourceloom.llm.shared import dropped, kept
 from sourceloom.llm.words import NON_SPACE, mix, slices, words
 
 # A part's number of a context is stored in two columns: so many low bits, and the rest.
 CONTEXT_BITS = 14
 CONTEXTS = 1 << CONTEXT_BITS
 PART_BYTES = 8 << 20
-PACK_TOKENS = 500_000
+PACK_TOKENS = 1_000_000
 BLOCK_PAIRS = 100_000
-ONE_BY_ONE = 32
+# Customers that are held one by one at a time (or those of one pair, if they are more).
+BLOCK_CUSTOMERS = 1_000_000
+# So few pairs that still have customers to seat are taken one after the other.
+FEW = 24
 BURN_IN, SAMPLES = 1, 3
 THETA = 1.0
 END, START = (mix(np.array([k], np.uint64))[0] for k in (0xE17D, 0x57A7))
 
-COUNTS = "part int, words binary, sizes binary, keys binary, contexts binary, upper binary, counts binary"
-SEATED = COUNTS + ", tables binary, parent_tables binary"
-PACKS = "part int, share int, kind int, row bigint, docs binary, ids binary, words binary, sizes binary, keys binary, times binary, low binary, high binary"
+# Rows of packs (``own`` is -1), merged ones of parts, and what a pack keeps of its documents (``own``: its number).
+COUNTS = (
+    "part int, own bigint, pack bigint, words binary, sizes binary, keys binary, contexts binary, upper binary, counts binary, "
+    "packs binary, lengths binary, places binary, ids binary, docs binary, times binary"
+)
+STATE = "seats binary, tables binary, parent_seats binary, parent_tables binary, samples binary, parent_samples binary"
+SWEPT = "part int, words binary, sizes binary, keys binary, contexts binary, upper binary, counts binary, " + STATE
 ASKED = "range int, part int, keys binary, customers binary, tables binary"
 FOUND = "part int, range int, customers binary, tables binary"
-SCORES = "row bigint, doc_id bigint, n bigint, known bigint, base double, score double"
+PREDICTED = "part int, sizes binary, logs binary, known binary"
+ANSWERS = "pack bigint, part int, logs binary, known binary"
+SCORES = "doc_id bigint, n bigint, known bigint, base double, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,16 +89,8 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def part_of(word: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(word ^ np.uint64(0x5EED)) % np.uint64(parts)).astype(np.int64)
-
-
-def by_part(word: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Indices of the words of each part, in the words' order."""
-    part = part_of(word, parts)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(bounds)).tolist():
-        yield p, order[bounds[p] : bounds[p + 1]]
+    """Parts are ranges of hashes."""
+    return ((word >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -113,36 +119,81 @@ def numbers(row) -> np.ndarray:
     return as_array(row.contexts, np.int16) | as_array(row.upper, np.int32) << CONTEXT_BITS
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs; first bytes come
+    first, then second ones, as zstandard likes it."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    return bytes([kind.itemsize]) + len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def wide(data: bytes, kind: type = np.int64) -> np.ndarray:
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], size * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"u{size}").reshape(n).astype(kind)
+
+
+def narrow_steps(x: np.ndarray) -> bytes:
+    """Ascending hashes by their differences."""
+    return narrow(np.diff(x, prepend=np.uint64(0)))
+
+
+def wide_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(wide(data, np.uint64), dtype=np.uint64)
+
+
+def frame_of(schema: str, **columns) -> pd.DataFrame:
+    """One row."""
+    return pd.DataFrame({n: [columns.get(n)] for n in (c.split()[0] for c in schema.split(", "))})
+
+
 def count_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Packed counts of the training rows (``text``), one row for each part and pack. Rows that
-    are ``held`` (if there is such a column) count as 0: only their contexts are met."""
-
-    def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        word, context, once = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, number = np.unique(context, return_inverse=True)
-        unique, sizes, number, n = count_pairs(word, number, once)
-        begin = np.cumsum(sizes) - sizes
-        rows = []
-        for p, own in by_part(unique, parts):
-            pairs = ranges(begin[own], sizes[own])
-            met, local = np.unique(number[pairs], return_inverse=True)
-            rows.append((p, unique[own].tobytes(), sizes[own].astype(np.int32).tobytes(), keys[met].tobytes(), *two_columns(local), n[pairs].astype(np.int32).tobytes()))
-        names = [c.split()[0] for c in COUNTS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
-
-    held, n = [], 0
+    are ``held`` (if there is such a column) count as 0: only their pairs are met. With
+    ``doc_id``, one more row for each pack: its documents, and to which each token belongs."""
+    names, seq = [c.split()[0] for c in COUNTS.split(", ")], TaskContext.get().partitionId() << 24
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
+
+    def pack(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray]) -> pa.RecordBatch:
+        token, context, once, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((context, token))
+        token, context = token[order], context[order]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        pair = np.flatnonzero(new | np.concatenate([[True], context[1:] != context[:-1]]))
+        begin = np.flatnonzero(new[pair])
+        sizes, unique, key = np.diff(np.append(begin, len(pair))), token[pair[begin]], context[pair]
+        n = np.add.reduceat(once[order], pair)
+        edges = np.searchsorted(part_of(unique, parts), np.arange(parts + 1))
+        rows, first = [], np.append(begin, len(pair))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            own, pairs = slice(edges[p], edges[p + 1]), slice(first[edges[p]], first[edges[p + 1]])
+            met, local = np.unique(key[pairs], return_inverse=True)
+            rows.append({
+                "part": p, "own": -1, "pack": seq, "words": narrow_steps(unique[own]), "sizes": narrow(sizes[own]),
+                "keys": narrow_steps(met), "contexts": narrow(local), "counts": narrow(n[pairs]),
+            })
+        if ids:
+            rows.append({
+                "part": -1, "own": seq, "pack": seq, "sizes": narrow(sizes), "times": narrow(np.diff(np.append(pair, len(token)))),
+                "docs": narrow(doc[order]), "ids": np.concatenate(ids).tobytes(),
+            })
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types, strict=True)], names=names)
+
+    held, ids, n, docs = [], [], 0, 0
     for batch in slices(batches, "text"):
         token, context, doc = tokens(batch.column("text"))
         once = np.ones(len(token), np.int64)
         if "held" in batch.schema.names:
             once = (~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)[doc]
-        held.append((token, context, once))
-        n += len(token)
+        if "doc_id" in batch.schema.names:
+            ids.append(batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
+        held.append((token, context, once, doc + docs))
+        n, docs = n + len(token), docs + batch.num_rows
         if n >= PACK_TOKENS:
-            yield pack(held)
-            held, n = [], 0
+            yield pack(held, ids)
+            held, ids, n, docs, seq = [], [], 0, 0, seq + 1
     if n:
-        yield pack(held)
+        yield pack(held, ids)
 
 
 def as_array(data: bytes, kind: type) -> np.ndarray:
@@ -150,17 +201,21 @@ def as_array(data: bytes, kind: type) -> np.ndarray:
 
 
 def merge(group: pd.DataFrame) -> pd.DataFrame:
-    """All counts of a part, merged for one range of word hashes after the other."""
-    keys = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"]]))
+    """All counts of a part, merged for one range of word hashes after the other, and where
+    each pack's pairs are among them. Pairs of held-out rows alone have the count 0."""
+    if group.own.iloc[0] >= 0:
+        return group
+    met = [wide_steps(k) for k in group["keys"]]
+    keys = np.unique(np.concatenate(met))
     packs = []
-    for r in group.itertuples():
-        number = np.searchsorted(keys, np.frombuffer(r.keys, np.uint64)).astype(np.int32)
-        packs.append((np.frombuffer(r.words, np.uint64), np.frombuffer(r.sizes, np.int32), number[numbers(r)], np.frombuffer(r.counts, np.int32)))
+    for r, own in zip(group.itertuples(), met, strict=True):
+        number = np.searchsorted(keys, own).astype(np.int32)
+        packs.append((wide_steps(r.words), wide(r.sizes, np.int32), number[wide(r.contexts)], wide(r.counts, np.int32)))
     firsts = [np.concatenate([[0], np.cumsum(p[1], dtype=np.int64)]) for p in packs]
     blocks = max(1, sum(len(p[2]) for p in packs) // BLOCK_PAIRS)
     steps = [int(k * (1 << 64) // blocks) for k in range(1, blocks)]
     edges = [[0, *np.searchsorted(p[0], np.array(steps, np.uint64)).tolist(), len(p[0])] for p in packs]
-    out = []
+    out, places, before = [], [[] for _ in packs], 0
     for k in range(blocks):
         word, context, counts = [], [], []
         for pack, first, edge in zip(packs, firsts, edges, strict=True):
@@ -169,14 +224,18 @@ def merge(group: pd.DataFrame) -> pd.DataFrame:
             context.append(pack[2][first[a] : first[b]].astype(np.int64))
             counts.append(pack[3][first[a] : first[b]].astype(np.int64))
         unique, sizes, ctx, n = count_pairs(np.concatenate(word), np.concatenate(context), np.concatenate(counts))
-        # Without what only held-out rows have; the part keeps its contexts.
-        sizes = np.bincount(np.repeat(np.arange(len(unique)), sizes)[n > 0], minlength=len(unique))
-        unique, sizes, ctx, n = unique[sizes > 0], sizes[sizes > 0], ctx[n > 0], n[n > 0]
+        pairs = np.repeat(np.arange(len(unique)), sizes) << 32 | ctx
+        for own, w, c in zip(places, word, context, strict=True):
+            own.append(before + np.searchsorted(pairs, np.searchsorted(unique, w) << 32 | c))
+        before += len(pairs)
         out.append((unique.tobytes(), sizes.astype(np.int32).tobytes(), *two_columns(ctx), n.astype(np.int64).tobytes()))
     columns = [b"".join(c) for c in zip(*out, strict=True)]
-    names = ["words", "sizes", "contexts", "upper", "counts"]
-    made = {"part": group.part.iloc[0], "keys": keys.tobytes(), **dict(zip(names, columns, strict=True))}
-    return pd.DataFrame({n: [made[n]] for n in (c.split()[0] for c in COUNTS.split(", "))})
+    steps = [np.diff(np.concatenate(own), prepend=0) for own in places]
+    return frame_of(
+        COUNTS, part=group.part.iloc[0], own=-1, pack=-1, keys=keys.tobytes(),
+        **dict(zip(["words", "sizes", "contexts", "upper", "counts"], columns, strict=True)),
+        packs=group["pack"].to_numpy(np.int64).tobytes(), lengths=narrow(np.array([len(x) for x in steps])), places=narrow(np.concatenate(steps)),
+    )
 
 
 @dataclass
@@ -197,8 +256,13 @@ class Totals:
         found = getattr(row, "found", None)
         if found is None:
             return self
-        customers, tables = (np.concatenate([np.empty(0), *(np.frombuffer(x[c]) for x in found)]) for c in ("customers", "tables"))
-        return replace(self, customers=customers, tables=tables)
+        customers = np.concatenate([np.empty(0), *(np.frombuffer(x["customers"]) for x in found)])
+        tables = [wide(x["tables"], float).reshape(-1, len(x["customers"]) // 8) for x in found]
+        return replace(self, customers=customers, tables=np.concatenate(tables, axis=1))
+
+    def sample(self, k: int) -> Totals:
+        """With the contexts' tables of one sampled sweep."""
+        return replace(self, tables=self.tables[k]) if self.tables.ndim == 2 else self
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent's probability of words with so many customers and tables there."""
@@ -207,107 +271,239 @@ class Totals:
         return (seated + rest) / (THETA + self.parent_customers)
 
 
+class Seating:
+    """Customers of some pairs (or words; by descending number), each at a table of its own pair.
+    Tables are slots, of which a pair has as many as customers; ``at`` is the slot of each customer."""
+
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, chance: np.random.Generator) -> None:
+        """``sizes`` of the ``tables`` of all pairs. Where there are more customers, they still have
+        to come in; where there are fewer, random ones leave."""
+        self.n, self.chance = customers, chance
+        self.slots = np.maximum(customers, tables)
+        self.first = np.cumsum(self.slots) - self.slots
+        pair = np.repeat(np.repeat(np.arange(len(customers)), tables), sizes)
+        slot = np.repeat(np.arange(len(sizes)) - np.repeat(np.cumsum(tables) - tables, tables), sizes)
+        there = np.bincount(pair, minlength=len(customers))
+        slot = slot[np.argsort(pair + chance.random(len(pair)))]  # who sits where is random, given the tables
+        rank = np.arange(len(pair)) - (np.cumsum(there) - there)[pair]
+        pair, slot, rank = (x[rank < customers[pair]] for x in (pair, slot, rank))
+        self.seated = np.minimum(there, customers)
+        self.at = np.zeros(self.slots.sum(), np.int32)
+        self.at[self.first[pair] + rank] = slot
+        self.size = np.bincount(self.first[pair] + slot, minlength=len(self.at)).astype(np.int32)
+        self.tables = np.add.reduceat(self.size > 0, self.first, dtype=np.int64)
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.tables, self.size[self.size > 0]
+
+    def turn(self, mass: np.ndarray, slope: np.ndarray, discount: float, again: bool) -> None:
+        """Seat those who come in, or (``again``) take every customer out and seat it again. A
+        new table has odds ``mass + slope * tables``."""
+        who = np.arange(len(self.n)) if again else np.flatnonzero(self.n > self.seated)
+        counts, k = -self.n[who], 0
+        while left := int(np.searchsorted(counts, -k)):
+            if left < FEW:
+                for p in who[:left].tolist():
+                    self.rest(p, k if again else max(k, int(self.seated[p])), float(mass[p]), float(slope[p]), discount, again)
+                break
+            now = slice(0, left) if again else who[:left][self.seated[who[:left]] <= k]
+            self.step(now, k, mass, slope, discount, again)
+            k += 1
+        self.seated = self.n
+
+    def step(self, p: np.ndarray | slice, k: int, mass: np.ndarray, slope: np.ndarray, discount: float, again: bool) -> None:
+        """The customer ``k`` of each of these pairs."""
+        first, others, random = self.first[p], k, self.chance.random
+        own = first + k
+        slot = np.where(self.size[own] == 0, k, -1)
+        if again:
+            last, others = self.at[own], self.n[p] - 1
+            size = self.size[first + last] - 1
+            self.size[first + last] = size
+            self.tables[p] -= size == 0
+            slot = np.where(size == 0, last, slot)
+        tables = self.tables[p]
+        odds = mass[p] + slope[p] * tables
+        new = random(len(own)) * (odds + others - discount * tables) < odds
+        self.tables[p] += new
+        seek = np.flatnonzero(new & (slot < 0))
+        while len(seek):
+            guess = (random(len(seek)) * self.slots[p][seek]).astype(np.int64)
+            free = self.size[first[seek] + guess] == 0
+            slot[seek[free]] = guess[free]
+            seek = seek[~free]
+        seek = np.flatnonzero(~new)
+        while len(seek):  # a table by its customers, taken with n - d of n
+            guess = (random(len(seek)) * (others[seek] if again else others)).astype(np.int64)
+            if again:
+                guess += guess >= k
+            guess = self.at[first[seek] + guess]
+            size = self.size[first[seek] + guess]
+            taken = random(len(seek)) * size < size - discount
+            slot[seek[taken]] = guess[taken]
+            seek = seek[~taken]
+        self.at[own] = slot
+        self.size[first + slot] += 1
+
+    def rest(self, p: int, k: int, mass: float, slope: float, discount: float, again: bool) -> None:
+        """The customers of one pair from ``k`` on, as ``step`` does."""
+        a, n = int(self.first[p]), int(self.n[p])
+        b = a + int(self.slots[p])
+        at, size, tables = self.at[a:b].tolist(), self.size[a:b].tolist(), int(self.tables[p])
+        random = Random(int(self.chance.integers(1 << 62))).random
+        for i in range(k, n):
+            slot, others = i, i
+            if again:
+                last, others = at[i], n - 1
+                size[last] -= 1
+                if not size[last]:
+                    tables -= 1
+                    slot = last
+            odds = mass + slope * tables
+            if random() * (odds + others - discount * tables) < odds:
+                tables += 1
+                while size[slot]:
+                    slot = int(random() * len(size))
+            else:
+                while True:
+                    guess = int(random() * others)
+                    slot = at[guess + (again and guess >= i)]
+                    if random() * size[slot] < size[slot] - discount:
+                        break
+            at[i] = slot
+            size[slot] += 1
+        self.at[a:b], self.size[a:b], self.tables[p] = at, size, tables
+
+
+def reseated(
+    customers: np.ndarray, state: tuple[np.ndarray, np.ndarray], mass: np.ndarray, slope: np.ndarray, discount: float,
+    chance: np.random.Generator, again: bool = True,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each pair, and the sizes of all, after customers came or left and (``again``)
+    each was taken out and seated again."""
+    tables, sizes = state
+    many = np.flatnonzero(customers > 1)
+    order, first = many[np.argsort(-customers[many], kind="stable")], np.cumsum(tables) - tables
+    weight, now, done, a = np.cumsum(customers[order]), np.minimum(customers, 1).astype(np.int64), [], 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(weight, (weight[a - 1] if a else 0) + BLOCK_CUSTOMERS, "right")))
+        own = order[a:b]
+        seating = Seating(customers[own], tables[own], sizes[ranges(first[own], tables[own])], chance)
+        for turn in (False, True)[: 1 + again]:
+            seating.turn(mass[own], slope[own], discount, turn)
+        now[own], more = seating.state()
+        done.append(more)
+        a = b
+    out = np.ones(now.sum(), np.int64)
+    out[ranges((np.cumsum(now) - now)[order], now[order])] = np.concatenate([np.empty(0, np.int64), *done])
+    return now, out
+
+
 def seat(customers: np.ndarray, mass: np.ndarray, discount: float, chance: np.random.Generator) -> np.ndarray:
     """Tables after seating ``customers`` one after the other; a new one has odds ``mass``."""
-    tables = np.minimum(customers, 1)
-    left, k = np.flatnonzero(customers > 1), 1
-    while len(left):
-        block = np.ones(len(left), np.int64) if k < ONE_BY_ONE else np.minimum(max(1, k // 16), customers[left] - k)
-        new = mass[left] / (mass[left] + k - discount * tables[left])
-        tables[left] += chance.random(len(left)) < new if k < ONE_BY_ONE else chance.binomial(block, new)
-        k += 1 if k < ONE_BY_ONE else max(1, k // 16)
-        left = left[customers[left] > k]
-    return np.minimum(tables, customers)
-
-
-def word_blocks(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
-    """Words, and their pairs, in blocks of about ``BLOCK_PAIRS`` pairs."""
-    first, a = np.concatenate([[0], np.cumsum(sizes)]), 0
-    while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK_PAIRS, "right")) - 1)
-        yield slice(a, b), slice(int(first[a]), int(first[b]))
-        a = b
+    empty = np.zeros(len(customers), np.int64), np.empty(0, np.int64)
+    return reseated(customers, empty, mass, np.zeros(len(customers)), discount, chance, again=False)[0]
 
 
 def sweep(batches: Iterator[pd.DataFrame], totals: Totals, sweeps: int, discard: int, turn: int) -> Iterator[pd.DataFrame]:
-    """Sample the seating ``sweeps`` times; tables are averaged over all but the first ``discard``."""
-    mass = (THETA + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
+    """Sample the seating ``sweeps`` times, from the one before (``seats``, ``parent_seats``) if
+    there is one. ``samples`` are the tables after each sweep but the first ``discard``, ``tables`` their mean."""
     for batch in batches:
         for row in batch.itertuples(index=False):
-            all_sizes, contexts, context_tables = as_array(row.sizes, np.int32), numbers(row), totals.of(row).tables
-            all_counts = np.frombuffer(row.counts, np.int64)
-            all_tables = np.frombuffer(row.tables, np.float32) if row.tables else np.ones(len(all_counts), np.float32)
-            all_parent = np.frombuffer(row.parent_tables, np.float32) if row.parent_tables else np.ones(len(all_sizes), np.float32)
+            sizes, number, counts = as_array(row.sizes, np.int32), numbers(row), np.frombuffer(row.counts, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            context_tables = totals.of(row).sample(0).tables[number]
             chance = np.random.default_rng([int(row.part), turn])
-            new, new_parent = np.empty(len(all_counts), np.float32), np.empty(len(all_sizes), np.float32)
-            for words_, pairs in word_blocks(all_sizes):
-                sizes, counts, tables = all_sizes[words_], all_counts[pairs], all_tables[pairs]
-                parent_tables = all_parent[words_]
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                room = THETA + totals.discount * context_tables[contexts[pairs]]
-                sums, parent_sums = np.zeros(len(counts)), np.zeros(len(sizes))
-                for k in range(sweeps):
-                    parent = totals.parent(np.bincount(owner, tables, len(sizes)), parent_tables)
-                    tables = seat(counts, room * parent[owner], totals.discount, chance)
-                    customers = np.bincount(owner, tables, len(sizes)).astype(np.int64)
-                    parent_tables = seat(customers, np.full(len(sizes), mass), totals.parent_discount, chance)
-                    if k >= discard:
-                        sums += tables
-                        parent_sums += parent_tables
-                new[pairs], new_parent[words_] = sums / (sweeps - discard), parent_sums / (sweeps - discard)
-            yield pd.DataFrame({
-                "part": [row.part], "words": [row.words], "sizes": [row.sizes], "keys": [row.keys], "contexts": [row.contexts],
-                "upper": [row.upper], "counts": [row.counts],
-                "tables": [new.tobytes()], "parent_tables": [new_parent.tobytes()],
-            })
-
-
-def seats(row, n: int, column: str) -> np.ndarray:
-    """A part's tables; before any sweep there is one each."""
-    tables = getattr(row, column)
-    return np.frombuffer(tables, np.float32).astype(np.float64) if tables is not None else np.ones(n)
-
-
-def total(parts: DataFrame, discounts: tuple[float, float] | None = None) -> tuple[Totals, int, list]:
-    """Sum up all parts but their contexts; also the number of training tokens, and each part's tokens."""
+            tables, parent_tables = seats(row, "tables")[-1], seats(row, "parent_tables")[-1]
+            if getattr(row, "seats", None) is None:
+                state, parent_state = ((np.zeros(len(x), np.int64), np.empty(0, np.int64)) for x in (tables, parent_tables))
+            else:
+                state, parent_state = (tables, wide(row.seats)), (parent_tables, wide(row.parent_seats))
+            # Of other words; this word's tables are counted as they stand.
+            others, parent_others = context_tables - tables, totals.parent_tables - parent_tables
+            share, samples, parent_samples = 1 / (totals.vocabulary + 1), [], []
+            for k in range(sweeps):
+                parent = totals.parent(np.bincount(owner, tables, len(sizes)), parent_tables)[owner]
+                state = reseated(counts, state, (THETA + totals.discount * others) * parent, totals.discount * parent, totals.discount, chance)
+                tables = state[0]
+                customers = np.bincount(owner, tables, len(sizes)).astype(np.int64)
+                mass = (THETA + totals.parent_discount * parent_others) * share
+                slope = np.full(len(sizes), totals.parent_discount * share)
+                parent_state = reseated(customers, parent_state, mass, slope, totals.parent_discount, chance)
+                parent_tables = parent_state[0]
+                if k >= discard:
+                    samples.append(tables)
+                    parent_samples.append(parent_tables)
+            mean = lambda x: np.mean(x, axis=0).astype(np.float32).tobytes()
+            static = {c: getattr(row, c, None) for c in ("part", "words", "sizes", "keys", "contexts", "upper", "counts")}
+            yield frame_of(
+                SWEPT, **static, seats=narrow(state[1]), parent_seats=narrow(parent_state[1]), tables=mean(samples), parent_tables=mean(parent_samples),
+                samples=narrow(np.concatenate(samples)), parent_samples=narrow(np.concatenate(parent_samples)),
+            )
+
+
+def seats(row, column: str) -> np.ndarray:
+    """A part's tables, of each sampled sweep; before any sweep there is one where there are customers."""
+    counts, sizes = np.frombuffer(row.counts, np.int64), as_array(row.sizes, np.int32)
+    samples = getattr(row, {"tables": "samples", "parent_tables": "parent_samples"}[column], None)
+    n = len(counts) if column == "tables" else len(sizes)
+    if samples is not None:
+        return wide(samples).reshape(-1, n)
+    if column == "parent_tables":
+        counts = np.bincount(np.repeat(np.arange(n), sizes), counts, n)
+    return np.minimum(counts, 1).astype(np.int64).reshape(1, n)
+
+
+def total(parts: DataFrame, discounts: tuple[float, float] | None = None, samples: int = 1) -> tuple[list[Totals], int]:
+    """Sum up all parts but their contexts, for each sampled sweep; also the number of training tokens."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 sizes, counts = as_array(row.sizes, np.int32), np.frombuffer(row.counts, np.int64)
-                tables, parent = seats(row, len(counts), "tables").sum(), seats(row, len(sizes), "parent_tables").sum()
-                few = [float((x == k).sum()) for x in (counts, sizes) for k in (1, 2)]
-                yield pd.DataFrame([(row.part, float(counts.sum()), float(len(sizes)), tables, parent, *few)], columns=names)
+                live = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[counts > 0], minlength=len(sizes))
+                few = [float((x == k).sum()) for x in (counts, live) for k in (1, 2)]
+                tables = [float(x.sum()) for c in ("tables", "parent_tables") for x in seats(row, c)]
+                yield pd.DataFrame([(float(counts.sum()), float((live > 0).sum()), *few, *tables)], columns=names)
 
-    names = ["part", "tokens", "words", "tables", "parent_tables", "pairs_1", "pairs_2", "words_1", "words_2"]
-    rows = parts.mapInPandas(sums, "part int, " + ", ".join(f"{n} double" for n in names[1:])).toPandas()
+    names = ["tokens", "words", "pairs_1", "pairs_2", "words_1", "words_2", *(f"{c}_{k}" for c in ("tables", "parents") for k in range(samples))]
+    rows = parts.mapInPandas(sums, ", ".join(f"{n} double" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names)).first()
     if discounts is None:
-        ones_twos = ((rows[f"{x}_1"].sum(), rows[f"{x}_2"].sum()) for x in ("pairs", "words"))
+        ones_twos = ((rows[f"{x}_1"], rows[f"{x}_2"]) for x in ("pairs", "words"))
         discounts = tuple(min(0.95, max(0.05, one / max(1.0, one + 2 * two))) for one, two in ones_twos)
     none = np.empty(0)
-    made = Totals(none, none, float(rows.tables.sum()), float(rows.parent_tables.sum()), int(rows.words.sum()), *discounts)
-    return made, int(rows.tokens.sum()), sorted(zip(rows.part.tolist(), rows.tokens.tolist(), strict=True))
+    made = [Totals(none, none, rows[f"tables_{k}"], rows[f"parents_{k}"], int(rows.words), *discounts) for k in range(samples)]
+    return made, int(rows.tokens)
 
 
 def ask(batches: Iterator[pd.DataFrame], n_ranges: int) -> Iterator[pd.DataFrame]:
-    """The customers and tables of a part's contexts, for each range of hashes."""
+    """The customers and tables (of each sampled sweep) of a part's contexts, for each range of hashes."""
     for batch in batches:
         for row in batch.itertuples(index=False):
             keys, number, counts = np.frombuffer(row.keys, np.uint64), numbers(row), np.frombuffer(row.counts, np.int64)
             customers = np.bincount(number, counts, len(keys)).astype(np.int64)
-            tables = np.bincount(number, seats(row, len(counts), "tables"), len(keys)).astype(np.float32)
+            tables = np.stack([np.bincount(number, x, len(keys)).astype(np.int64) for x in seats(row, "tables")])
             edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32), np.arange(n_ranges + 1))
-            made = [(k, row.part, *(x[edges[k] : edges[k + 1]].tobytes() for x in (keys, customers, tables))) for k in np.flatnonzero(np.diff(edges)).tolist()]
+            made = []
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[k], edges[k + 1])
+                made.append((k, row.part, narrow_steps(keys[own]), narrow(customers[own]), narrow(tables[:, own].ravel())))
             yield pd.DataFrame(made, columns=["range", "part", "keys", "customers", "tables"])
 
 
 def add_up(group: pd.DataFrame) -> pd.DataFrame:
     """The sums of a range's contexts over all parts, for each part that has them."""
-    keys, customers, tables = (np.concatenate([np.frombuffer(x, t) for x in group[c]]) for c, t in (("keys", np.uint64), ("customers", np.int64), ("tables", np.float32)))
-    unique, at = np.unique(keys, return_inverse=True)
-    edges = np.cumsum([len(x) // 8 for x in group["keys"]])[:-1]
-    cut = [[x.tobytes() for x in np.split(np.bincount(at, w, len(unique))[at], edges)] for w in (customers, tables)]
-    return pd.DataFrame({"part": group.part.to_numpy(), "range": group["range"].to_numpy(), "customers": cut[0], "tables": cut[1]})
+    keys = [wide_steps(x) for x in group["keys"]]
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    edges = np.cumsum([len(x) for x in keys])
+    customers = np.concatenate([wide(x) for x in group.customers])
+    tables = np.concatenate([wide(x).reshape(-1, len(k)) for x, k in zip(group.tables, keys, strict=True)], axis=1)
+    sums = [np.bincount(at, w, len(unique))[at] for w in (customers, *tables)]
+    cut = [np.split(x, edges[:-1]) for x in sums]
+    return pd.DataFrame({
+        "part": group.part.to_numpy(), "range": group["range"].to_numpy(), "customers": [x.tobytes() for x in cut[0]],
+        "tables": [narrow(np.concatenate(x)) for x in zip(*cut[1:], strict=True)],
+    })
 
 
 def with_contexts(parts: DataFrame, n_ranges: int) -> DataFrame:
@@ -317,104 +513,68 @@ def with_contexts(parts: DataFrame, n_ranges: int) -> DataFrame:
     return parts.join(sums.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("range", "customers", "tables"))).alias("found")), "part")
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], parts: int, shares: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """All tokens, packed for each part, with the documents that they belong to."""
-    first_row = TaskContext.get().partitionId() << 40
-    names = [c.split()[0] for c in PACKS.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
-    turn = TaskContext.get().partitionId()
-
-    def pack(held: list[tuple[np.ndarray, ...]], ids: np.ndarray) -> pa.RecordBatch:
-        token, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((context, token))
-        token, context, doc = token[order], context[order], doc[order]
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        pair = np.flatnonzero(new | np.concatenate([[True], context[1:] != context[:-1]]))
-        times, begin = np.diff(np.append(pair, len(token))), np.flatnonzero(new[pair])
-        sizes, unique, keys = np.diff(np.append(begin, len(pair))), token[pair[begin]], context[pair]
-        rows = []
-        for p, own in by_part(unique, parts):
-            pairs = ranges(begin[own], sizes[own])
-            at = ranges(pair[pairs], times[pairs])
-            docs, place = np.unique(doc[at], return_inverse=True)
-            rows.append((
-                p, turn % shares.get(p, 1), 1, first_row, docs.astype(np.uint32).tobytes(), ids[docs].tobytes(), unique[own].tobytes(),
-                sizes[own].astype(np.int32).tobytes(), keys[pairs].tobytes(), times[pairs].astype(np.int32).tobytes(),
-                (place & 0xFFFF).astype(np.uint16).tobytes(), (place >> 16).astype(np.uint16).tobytes(),
-            ))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    held, ids, n, docs = [], [], 0, 0
-    for batch in slices(batches, "text"):
-        token, context, doc = tokens(batch.column("text"))
-        held.append((token, context, doc + docs))
-        ids.append(batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
-        n, docs = n + len(token), docs + batch.num_rows
-        if n >= PACK_TOKENS:
-            yield pack(held, np.concatenate(ids))
-            first_row, held, ids, n, docs, turn = first_row + docs, [], [], 0, 0, turn + 1
-    if n:
-        yield pack(held, np.concatenate(ids))
-
-
-def score_packs(batches: Iterator[pd.DataFrame], totals: Totals, train_tokens: int) -> Iterator[pd.DataFrame]:
-    """Scores of packs; a part's model (kind 0) comes before its packs (kind 1)."""
-    denominator = np.log10(train_tokens + totals.vocabulary + 1)
-    unknown = totals.parent(np.zeros(1), np.zeros(1))[0]
-    model, own_totals, contexts, room = None, None, None, None
+def predicted(batches: Iterator[pd.DataFrame], totals: list[Totals]) -> Iterator[pd.DataFrame]:
+    """Of each pair its log10 probability (the mean over the sampled sweeps), of each word its count."""
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if row.kind == 0:
-                model = Model.of(row, totals) if row.words else Model.empty(unknown)
-                own_totals, contexts = totals.of(row), np.frombuffer(row.keys, np.uint64)
-                room = (THETA + totals.discount * own_totals.tables) / (THETA + own_totals.customers)
-                continue
-            sizes, times = as_array(row.sizes, np.int32), as_array(row.times, np.int32)
-            context = np.searchsorted(contexts, np.frombuffer(row.keys, np.uint64))  # the part has them all
-            word = np.repeat(model.find(as_array(row.words, np.uint64)), sizes)
-            own = model.seated(word, context)
-            p = own / (THETA + own_totals.customers[context]) + room[context] * np.where(word >= 0, model.parent[word], unknown)
-            count = np.where(word >= 0, model.count[word], 0)
-            docs, ids = as_array(row.docs, np.uint32), np.frombuffer(row.ids, np.int64)
-            doc = as_array(row.low, np.uint16) | as_array(row.high, np.uint16) << 16
-            base, score, known = (np.repeat(x, times) for x in (np.log10(count + 1.0) - denominator, np.log10(p), (count > 0).astype(float)))
-            total_ = lambda x, d=doc, m=len(docs): np.bincount(d, x, m)
-            yield pd.DataFrame({
-                "row": row.row + docs, "doc_id": ids, "n": total_(None), "known": total_(known).astype(np.int64),
-                "base": total_(base), "score": total_(score),
-            })
+            sizes, number, p = as_array(row.sizes, np.int32), numbers(row), 0.0
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            for k, (tables, parent_tables) in enumerate(zip(seats(row, "tables"), seats(row, "parent_tables"), strict=True)):
+                now = totals[k].of(row).sample(k)
+                model = Model.of(row, now, tables, parent_tables)
+                room = (THETA + now.discount * now.tables) / (THETA + now.customers)
+                p = p + model.seated(owner, number) / (THETA + now.customers[number]) + room[number] * model.parent[owner]
+            logs = np.log10(p / len(totals)).astype(np.float32)
+            yield pd.DataFrame({"part": [row.part], "sizes": [narrow(sizes)], "logs": [logs.tobytes()], "known": [narrow(model.count.astype(np.int64))]})
+
+
+def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each pack that has pairs of a part, their probabilities and the counts of their words."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            sizes, logs, known = wide(row.sizes), np.frombuffer(row.logs, np.float32), wide(row.known)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            made = []
+            for pack, own in zip(np.frombuffer(row.packs, np.int64).tolist(), np.split(wide(row.places), np.cumsum(wide(row.lengths))[:-1]), strict=True):
+                place = np.cumsum(own)
+                word = owner[place]
+                made.append((pack, row.part, logs[place].tobytes(), narrow(known[word[np.flatnonzero(np.diff(word, prepend=-1))]])))
+            yield pd.DataFrame(made, columns=["pack", "part", "logs", "known"])
+
+
+def summed(batches: Iterator[pd.DataFrame], vocabulary: int, train_tokens: int) -> Iterator[pd.DataFrame]:
+    """Scores of a pack's documents, of the answers of all parts in their order."""
+    denominator = np.log10(train_tokens + vocabulary + 1)
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            ids, doc, times = np.frombuffer(row.ids, np.int64), wide(row.docs), wide(row.times)
+            count = np.repeat(np.concatenate([wide(x["known"]) for x in row.answers]), wide(row.sizes))
+            log = np.concatenate([np.frombuffer(x["logs"], np.float32) for x in row.answers]).astype(np.float64)
+            base, score, known = (np.repeat(x, times) for x in (np.log10(count + 1.0) - denominator, log, (count > 0).astype(float)))
+            total_ = lambda x, d=doc, m=len(ids): np.bincount(d, x, m)
+            yield pd.DataFrame({"doc_id": ids, "n": total_(None), "known": total_(known).astype(np.int64), "base": total_(base), "score": total_(score)})
 
 
 @dataclass
 class Model:
-    words: np.ndarray
     count: np.ndarray
     parent: np.ndarray
     pairs: np.ndarray
     seats: np.ndarray
 
     @classmethod
-    def of(cls, row, totals: Totals) -> Model:
-        sizes, context = as_array(row.sizes, np.int32), numbers(row)
-        counts, tables = np.frombuffer(row.counts, np.int64), np.frombuffer(row.tables, np.float32)
+    def of(cls, row, totals: Totals, tables: np.ndarray | None = None, parent_tables: np.ndarray | None = None) -> Model:
+        """Of a part and tables of a sweep, else its mean ones."""
+        sizes, context, counts = as_array(row.sizes, np.int32), numbers(row), np.frombuffer(row.counts, np.int64)
+        if tables is None:
+            tables, parent_tables = np.frombuffer(row.tables, np.float32), np.frombuffer(row.parent_tables, np.float32)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         customers = np.bincount(owner, tables, len(sizes))
         return cls(
-            as_array(row.words, np.uint64), np.bincount(owner, counts, len(sizes)),
-            totals.parent(customers, np.frombuffer(row.parent_tables, np.float32)),
+            np.bincount(owner, counts, len(sizes)), totals.parent(customers, parent_tables),
             owner << 32 | context, (counts - totals.discount * tables).astype(np.float32),
         )
 
-    @classmethod
-    def empty(cls, unknown: float) -> Model:
-        return cls(np.empty(0, np.uint64), np.zeros(1), np.full(1, unknown), np.empty(0, np.int64), np.zeros(0, np.float32))
-
-    def find(self, word: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(word), -1)
-        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[at] == word, at, -1)
-
     def seated(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         if not len(self.pairs):
             return np.zeros(len(word))
@@ -431,35 +591,36 @@ def scores(docs: DataFrame) -> DataFrame:
     count and are scored as often as they stand. Without training rows the vocabulary is
     empty and every token has the probability 1. Other columns are ignored.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-n_bytes // PART_BYTES))
-    packed = texts.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(lambda it: count_batches(it, parts), COUNTS)
-    merged = packed.groupBy("part").applyInPandas(merge, COUNTS)
-    none = F.lit(None).cast("binary")
-    merged = kept(merged.withColumns({"tables": none, "parent_tables": none}))
-    totals, train_tokens, _ = total(merged)
-    discounts = (totals.discount, totals.parent_discount)
-    held = docs.sparkSession.sparkContext.broadcast
-    start = held(totals)
-    seated = kept(with_contexts(merged, parts).mapInPandas(lambda it: sweep(it, start.value, BURN_IN, 0, 1), SEATED))
-    next_ = held(total(seated, discounts)[0])
-    model = kept(with_contexts(seated, parts).mapInPandas(lambda it: sweep(it, next_.value, SAMPLES, 0, 2), SEATED))
-    totals, train_tokens, sizes = total(model, discounts)
-    last = held(totals)
-    mean = max(1.0, train_tokens / max(1, len(sizes)))
-    shares = {int(p): max(1, round(n / mean)) for p, n in sizes}
-    packs = texts.mapInArrow(lambda it: pack_batches(it, parts, shares), PACKS)
-    # One short row for each share: broadcast.
-    by_share = docs.sparkSession.createDataFrame([(p, k) for p, n in shares.items() for k in range(n)], "part int, share int")
-    model = with_contexts(model, parts).join(F.broadcast(by_share), "part").withColumns({
-        "kind": F.lit(0), "row": F.lit(0).cast("bigint"), **dict.fromkeys(["docs", "ids", "times", "low", "high"], none)})
-    only_model = ["contexts", "upper", "counts", "tables", "parent_tables", "found"]
-    wanted = [c.split()[0] for c in PACKS.split(", ")] + only_model
-    both = packs.withColumns({c: F.lit(None).cast(model.schema[c].dataType) for c in only_model}).select(*wanted).unionByName(model.select(*wanted))
-    sorted_ = both.repartition(max(1, sum(shares.values())), "part", "share").sortWithinPartitions("part", "share", "kind")
-    scored = sorted_.mapInPandas(lambda it: score_packs(it, last.value, train_tokens), SCORES)
-    out = scored.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
+    packed = texts.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(lambda it: count_batches(it, parts), COUNTS)
+    merged = kept(packed.groupBy("part", "own").applyInPandas(merge, COUNTS).drop("words"), "zstd")
+    dropped(spark)
+    counted = merged.where("own < 0")
+    static, state = ["part", "sizes", "keys", "contexts", "upper", "counts"], ["seats", "parent_seats", "samples", "parent_samples"]
+    first = counted.select(*static, *(F.lit(None).cast("binary").alias(c) for c in state))
+    start, train_tokens = total(first)
+    discounts = (start[0].discount, start[0].parent_discount)
+    held = spark.sparkContext.broadcast
+
+    def swept(parts_: DataFrame, totals: list[Totals], sweeps: int, discard: int, turn: int, columns: list[str]) -> DataFrame:
+        last = held(totals[-1])
+        return kept(with_contexts(parts_, parts).mapInPandas(lambda it: sweep(it, last.value, sweeps, discard, turn), SWEPT).select(*columns), "zstd")
+
+    seated = swept(first, start, BURN_IN, BURN_IN - 1, 1, static + state)
+    model = swept(seated, total(seated, discounts)[0], SAMPLES, 0, 2, static + state[2:])
+    dropped(spark, seated)
+    totals = held(total(model, discounts, SAMPLES)[0])
+    pairs = kept(with_contexts(model, parts).mapInPandas(lambda it: predicted(it, totals.value), PREDICTED), "zstd")
+    dropped(spark, model)
+    places = counted.select("part", "packs", "lengths", "places")
+    answered = pairs.join(places, "part").mapInPandas(answers, ANSWERS)
+    by_pack = answered.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("part", "logs", "known"))).alias("answers"))
+    own = merged.where("own >= 0").select(F.col("own").alias("pack"), "sizes", "times", "docs", "ids")
+    vocabulary = start[0].vocabulary
+    out = own.join(by_pack, "pack").mapInPandas(lambda it: summed(it, vocabulary, train_tokens), SCORES)
     doc_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
     return out.select(
         doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),

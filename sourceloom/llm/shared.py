@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write rows to the shared folder and read them back: lineage ends here, and lost
     executors take nothing with them."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/sourceloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, *rows: DataFrame) -> None:
+    """Delete tables that ``kept`` wrote and nothing reads any more. The shuffle files of finished
+    steps go with the driver's next garbage, which is collected here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for r in rows for f in r.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    for _ in range(2):  # the driver's Python lets go first
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)

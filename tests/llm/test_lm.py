@@ -1,10 +1,12 @@
 import collections
 import math
+import pathlib
 import zlib
 
 import numpy as np
 
 from sourceloom.llm import lm
+from sourceloom.llm.shared import shared_folder
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -120,3 +122,50 @@ def test_sums_of_contexts_over_all_parts(docs_of):
         for k, n in zip(keys[number].tolist(), np.frombuffer(row.counts, np.int64).tolist(), strict=True):
             customers[k] += n
     assert all(customers[k] == n for k, n in asked) and sum(n for _, n in {*asked}) == 24 * 61
+
+
+def exact_tables(customers, mass, discount):
+    """Expected tables where ``t`` of them have the odds ``mass ** t`` times a generalised Stirling number."""
+    ways = np.zeros(customers + 2)
+    ways[1] = 1.0
+    for n in range(1, customers):
+        t = np.arange(1, customers + 2)
+        ways[1:] = ways[:-1] + np.maximum(n - discount * t, 0) * ways[1:]
+        ways /= ways.sum()
+    odds = ways * mass ** np.arange(customers + 2)
+    return (odds * np.arange(customers + 2)).sum() / odds.sum()
+
+
+def test_customers_are_taken_out_and_seated_again():
+    """Many turns reach the distribution that leaves every customer's odds given the others as they are."""
+    chance = np.random.default_rng(5)
+    for customers, mass, pairs in ((2, 0.4, 4_000), (3, 2.0, 4_000), (12, 0.3, 4_000), (60, 1.5, lm.FEW - 1), (60, 1.5, 600)):
+        n = np.full(pairs, customers)
+        state, seen = (np.zeros(pairs, np.int64), np.empty(0, np.int64)), []
+        for k in range(12 if pairs > lm.FEW else 300):
+            state = lm.reseated(n, state, np.full(pairs, mass), np.zeros(pairs), 0.5, chance)
+            first = np.cumsum(state[0]) - state[0]
+            assert (np.add.reduceat(state[1], first) == n).all() and (state[1] > 0).all()
+            if k >= 5:
+                seen.append(state[0].mean())
+        want = exact_tables(customers, mass, 0.5)
+        assert abs(np.mean(seen) - want) < 0.03 * want
+
+
+def test_one_turn_starts_from_the_seating_before():
+    """From one large table a turn with little odds for new ones opens few; customers come and leave."""
+    chance, pairs = np.random.default_rng(6), 500
+    start = np.ones(pairs, np.int64), np.full(pairs, 40)
+    nothing = np.zeros(pairs)
+    assert (lm.reseated(np.full(pairs, 40), start, nothing, nothing, 0.5, chance)[0] == 1).all()
+    for n in (25, 40, 55):
+        tables, sizes = lm.reseated(np.full(pairs, n), (np.full(pairs, 20), np.full(pairs * 20, 2)), nothing, nothing, 0.5, chance, again=False)
+        assert sizes.sum() == n * pairs and (tables <= 20).all() and tables.mean() > 12
+
+
+def test_copies_of_earlier_rounds_are_deleted(spark, docs_of):
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {*folder.glob("sourceloom-*")}
+    got = lm.scores(docs_of([(k, prose(k, 60)) for k in range(20)]))
+    assert got.count() == 20 and len({*folder.glob("sourceloom-*")} - before) == 2
+    assert got.count() == 20  # what is left can be read again
