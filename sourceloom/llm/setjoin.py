@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.llm.components import components
 from sourceloom.llm.near import shingle_sets
-from sourceloom.llm.shared import kept
+from sourceloom.llm.shared import dropped, kept
 from sourceloom.llm.words import NON_SPACE, mix, slices, words
 
 # Counters of shingles: 2**24 of them, and how many lie in a row.
@@ -154,7 +154,9 @@ def fetched(
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     found = texts.mapInArrow(lambda it: digested(it, size, of, name), f"hi bigint, lo bigint, {name} {kind}")
-    return kept(found.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select("node", name))
+    out = kept(found.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select("node", name))
+    dropped(docs.sparkSession, wanted)
+    return out
 
 
 def needed(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -190,9 +192,12 @@ def verified(pairs: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFra
     profiled = with_both(pairs, known, "profile")
     near = kept(profiled.where(may("profile_a", "profile_b", needed(F.col("n_a"), F.col("n_b"), percent))).select(*pairs.columns))
     involved = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    both = with_both(near, fetched(involved, nodes, docs, size), "hashes")
+    sets = fetched(involved, nodes, docs, size)
+    both = with_both(near, sets, "hashes")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    return kept(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
+    out = kept(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
+    dropped(docs.sparkSession, near, sets)
+    return out
 
 
 def overlap(small: np.ndarray, large: np.ndarray) -> int:
@@ -329,7 +334,9 @@ def remaining_links(
 ) -> DataFrame | None:
     """Links between different classes of a list (``token, node, n, at, component``). Cells
     are dealt three times: with coarse profiles and then with fine ones (``known``) in place of the
-    sets, to leave out rows without a possible partner, and the rest with their sets."""
+    sets, to leave out rows without a possible partner, and the rest with their sets. What a
+    step has read is deleted after it."""
+    spark = docs.sparkSession
     classes = lists.groupBy("token", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = classes.groupBy("token").agg(
         F.max_by("component", F.struct("shingles", "component")).alias("top"), F.max_by("members", F.struct("shingles", "component")).alias("top_members"),
@@ -349,21 +356,27 @@ def remaining_links(
     inside = own.select(*columns, dealt("rows").alias("i"), every("columns").alias("j"), F.lit(False).alias("outside"))
     outside = own.where("component <> top").select(*columns, every("rows").alias("i"), dealt("columns").alias("j"), F.lit(True).alias("outside"))
     together = lambda rows: rows.repartition(*cell).sortWithinPartitions(*cell)
-    members = inside.unionByName(outside)
+    members, read = inside.unionByName(outside), own
     narrow = lambda it: by_cell(it, lambda group: possible(group, percent))
     rough = known.select("node", F.pandas_udf(coarse, "binary")("profile").alias("profile"))
     for profile in (rough, known):
         profiled = members.join(profile, "node")
         members = kept(together(profiled).mapInPandas(narrow, profiled.drop("profile").schema))
+        dropped(spark, read)
+        read = members
     if members.isEmpty():
         return None
     members = kept(one_of_alike(members, cell, ["node", "outside"]))
-    held = members.join(fetched(members.select("node").distinct(), nodes, docs, size), "node")
+    dropped(spark, read)
+    sets = fetched(members.select("node").distinct(), nodes, docs, size)
+    held = members.join(sets, "node")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(compared(group, percent), columns=["a", "b"], dtype="int64")
 
-    return kept(together(held).mapInPandas(lambda it: by_cell(it, links), "a bigint, b bigint").distinct())
+    out = kept(together(held).mapInPandas(lambda it: by_cell(it, links), "a bigint, b bigint").distinct())
+    dropped(spark, members, sets)
+    return out
 
 
 def one_of_alike(rows: DataFrame, group: list[str], member: list[str]) -> DataFrame:
@@ -379,7 +392,9 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
     postings = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     lists = kept(postings.join(shared, "token", "left_semi").join(nodes.select("node", "n"), "node"))
-    return kept(one_of_alike(lists, ["token"], ["node"]))
+    out = kept(one_of_alike(lists, ["token"], ["node"]))
+    dropped(nodes.sparkSession, lists)
+    return out
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -398,16 +413,19 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     level = spark.sparkContext.broadcast(rarity(docs, size))
+    dropped(spark)
     schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>"
     found = kept(docs.mapInArrow(lambda it: prefixes(it, size, percent, level.value), schema))
     some = found.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = kept(some.withColumn("node", F.monotonically_increasing_id()))
     lists = shared_lists(nodes)
     known = fetched(lists.select("node").distinct(), nodes, docs, size, profiles, "profile", "binary")
-    edges = verified(kept(leader_pairs(lists, percent)), known, nodes, docs, size, percent)
+    pairs = kept(leader_pairs(lists, percent))
+    edges = verified(pairs, known, nodes, docs, size, percent)
     linked_nodes = kept(components(edges))
     classed = lists.join(linked_nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = remaining_links(classed, known, nodes, docs, size, percent)
+    dropped(spark, pairs, lists, known)
     if more is not None and not more.isEmpty():
         linked_nodes = kept(components(edges.unionByName(more)))
     classes = linked_nodes.join(nodes.select("node", "hi", "lo", "rep"), "node")

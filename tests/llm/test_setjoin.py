@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 
 from sourceloom.llm import setjoin
+from sourceloom.llm.shared import shared_folder
 from sourceloom.llm.words import NON_SPACE, words
 from tests.llm import brute
 from tests.llm.conftest import LONG, prose
@@ -122,3 +124,12 @@ def test_long_words_are_told_apart(docs_of):
     b = a.translate(str.maketrans("ab", "ba"))
     rows = [(1, a), (2, b), (3, a), (4, LONG), (5, LONG)]
     assert found(docs_of(rows)) == plain(rows)
+
+
+def test_tables_that_were_read_are_deleted(spark):
+    nodes = spark.createDataFrame([(1, 3, [5, 6]), (2, 3, [5, 7]), (3, 4, [6, 7])], "node bigint, n bigint, prefix array<bigint>")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {*folder.glob("sourceloom-*")}
+    lists = setjoin.shared_lists(nodes)
+    assert len({*folder.glob("sourceloom-*")} - before) == 1
+    assert sorted((r.token, r.node) for r in lists.collect()) == [(5, 1), (5, 2), (6, 1), (6, 3), (7, 2), (7, 3)]
