@@ -11,15 +11,19 @@ and of the held-out tokens it will score. A context's customers and tables are s
 all parts where its hash is dealt to, and joined to every part that has it; there are as many
 ranges of hashes as parts.
 
-The seating is sampled by Gibbs: every customer is taken out of its table (which goes if it
-was alone) and seated again among the others, at a table of ``n`` with odds ``n - d`` or at
-a new one with odds ``(theta + d * T) * parent``. ``T`` counts the tables of the context, its
+The seating is sampled by Gibbs: customers are taken out of their tables (which go with
+their last one) and seated again among the others, at a table of ``n`` with odds ``n - d`` or
+at a new one with odds ``(theta + d * T) * parent``. ``T`` counts the tables of the context, its
 own of the word as they stand, others as of the sweep before; the word's probability in the
 parent is that of the sweep before (parallel Gibbs: what other customers of the same turn do
-is seen in the next). Tables opened or gone are customers come or gone in the parent, whose
-customers are then taken out and seated again likewise. Before the first sweep customers come
-in one after the other. Sweeps run where the counts lie; between the two rounds all totals
-are summed anew. Probabilities are the mean of those of the second round's sweeps.
+is seen in the next). Probabilities need only how many tables a pair has, so all customers of
+a pair are taken out at once (blocked Gibbs), and their tables drawn from the distribution that
+seating one by one again and again would reach: generalised Stirling numbers times the odds of
+new tables. Those of pairs with more than ``DRAWN`` are seated one by one, and come in one after
+the other before the first sweep. Tables opened or gone are customers come or gone in the
+parent, whose customers are then seated likewise. Sweeps run where the counts lie; between the
+two rounds all totals are summed anew. Probabilities are the mean of those of the second
+round's sweeps.
 
 A part keeps where each pack's pairs are in it. It answers every pack with the probabilities
 of its pairs, and these meet the pack's documents.
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -51,6 +56,14 @@ BLOCK_PAIRS = 100_000
 BLOCK_CUSTOMERS = 1_000_000
 # So few pairs that still have customers to seat are taken one after the other.
 FEW = 24
+# Customers of a pair and contexts of a word up to which tables are drawn at once; how many tables are
+# thought of at first; ratios that are held of other widths, and odds that are held at a time.
+DRAWN, PARENT_DRAWN = 1 << 12, 1 << 13
+WIDTH = 64
+RATIOS = 1 << 20
+ODDS = 1 << 17
+# Odds that no draw of a double meets.
+NO_ODDS = 1e-18
 BURN_IN, SAMPLES = 1, 3
 THETA = 1.0
 END, START = (mix(np.array([k], np.uint64))[0] for k in (0xE17D, 0x57A7))
@@ -98,6 +111,34 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """Places of 64-bit numbers, ascending: their first bits and places are sorted as one number,
+    and all bits only where the first ones do not tell them apart."""
+    bits = np.uint64(len(x).bit_length())
+    place = np.sort(x >> bits << bits | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+    order = place.astype(np.int64)
+    y = x[order]
+    return order if (y[1:] >= y[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and the number of each one's."""
+    order = order_of(x)
+    y, number = x[order], np.empty(len(x), np.int64)
+    new = np.ones(len(x), bool)
+    new[1:] = y[1:] != y[:-1]
+    number[order] = np.cumsum(new) - 1
+    return y[new], number
+
+
+def order_of_pairs(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Places by word, then context."""
+    (words_, word), (contexts, context) = numbered(word), numbered(context)
+    bits = len(contexts).bit_length()
+    key = (word << bits | context).astype(np.uint64)
+    return order_of(key << np.uint64(64 - bits - len(words_).bit_length()))
+
+
 def count_pairs(word: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct words ascending, how many contexts each has, and contexts (numbers) with counts."""
     unique, at = np.unique(word, return_inverse=True)
@@ -156,7 +197,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
 
     def pack(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray]) -> pa.RecordBatch:
         token, context, once, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((context, token))
+        order = order_of_pairs(token, context)
         token, context = token[order], context[order]
         new = np.concatenate([[True], token[1:] != token[:-1]])
         pair = np.flatnonzero(new | np.concatenate([[True], context[1:] != context[:-1]]))
@@ -167,7 +208,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         rows, first = [], np.append(begin, len(pair))
         for p in np.flatnonzero(np.diff(edges)).tolist():
             own, pairs = slice(edges[p], edges[p + 1]), slice(first[edges[p]], first[edges[p + 1]])
-            met, local = np.unique(key[pairs], return_inverse=True)
+            met, local = numbered(key[pairs])
             rows.append({
                 "part": p, "own": -1, "pack": seq, "words": narrow_steps(unique[own]), "sizes": narrow(sizes[own]),
                 "keys": narrow_steps(met), "contexts": narrow(local), "counts": narrow(n[pairs]),
@@ -206,10 +247,10 @@ def merge(group: pd.DataFrame) -> pd.DataFrame:
     if group.own.iloc[0] >= 0:
         return group
     met = [wide_steps(k) for k in group["keys"]]
-    keys = np.unique(np.concatenate(met))
+    keys, at = numbered(np.concatenate(met))
     packs = []
-    for r, own in zip(group.itertuples(), met, strict=True):
-        number = np.searchsorted(keys, own).astype(np.int32)
+    for r, own in zip(group.itertuples(), np.split(at, np.cumsum([len(k) for k in met])[:-1]), strict=True):
+        number = own.astype(np.int32)
         packs.append((wide_steps(r.words), wide(r.sizes, np.int32), number[wide(r.contexts)], wide(r.counts, np.int32)))
     firsts = [np.concatenate([[0], np.cumsum(p[1], dtype=np.int64)]) for p in packs]
     blocks = max(1, sum(len(p[2]) for p in packs) // BLOCK_PAIRS)
@@ -405,6 +446,93 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, chance: np.ra
     return reseated(customers, empty, mass, np.zeros(len(customers)), discount, chance, again=False)[0]
 
 
+def ratios(n: np.ndarray, width: int, discount: float) -> np.ndarray:
+    """``S(m, t + 1) / S(m, t)`` for the numbers ``m`` (ascending, a column each) and ``t`` from 1
+    to ``width`` (a row each). ``S``, a generalised Stirling number, sums up all ways to seat ``m``
+    customers at ``t`` tables: ``S(m + 1, t) = S(m, t - 1) + (m - discount * t) * S(m, t)``."""
+    out, now, m = np.zeros((width, len(n))), np.zeros(width), 1
+    own, below, above = discount * np.arange(1, width + 1), np.empty(width), np.empty(width)
+    for column, last in enumerate(n.tolist()):
+        while m < last:
+            k = min(m, width)
+            now_, own_, below_, above_ = (now, own, below, above) if k == width else (x[:k] for x in (now, own, below, above))
+            np.subtract(m, own_, out=below_)
+            np.subtract(below_, discount, out=above_)
+            above_ *= now_
+            above_ += 1
+            below_[1:] += np.reciprocal(now_[:-1], out=now_[:-1])
+            np.divide(above_, below_, out=now_)
+            m += 1
+        out[:, column] = now
+    return out
+
+
+@lru_cache(maxsize=2)
+def first_ratios(discount: float) -> np.ndarray:
+    """Those of all numbers up to twice ``PARENT_DRAWN`` and of ``WIDTH``, the number less 2 as the column."""
+    return ratios(np.arange(2, 2 * PARENT_DRAWN + 1), WIDTH, discount)
+
+
+class Drawing:
+    """Tables of pairs, all customers seated anew at once: ``t`` tables have the odds
+    ``S(customers, t) * mass * (mass + slope) * .. * (mass + slope * (t - 1))``."""
+
+    def __init__(self, discount: float, chance: np.random.Generator) -> None:
+        self.discount, self.chance, self.last = discount, chance, {}
+
+    def ratios(self, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, and the column of each of the numbers ``n``; those asked for last are kept."""
+        if width == WIDTH and n[-1] <= 2 * PARENT_DRAWN:
+            return first_ratios(self.discount), n - 2
+        if width not in self.last or not np.array_equal(self.last[width][0], n):
+            self.last[width] = n, ratios(n, width, self.discount)
+        return self.last[width][1], np.arange(len(n))
+
+    def tables(self, customers: np.ndarray, mass: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """Pairs whose odds have not run out at ``width`` tables are drawn from more."""
+        now, width = np.minimum(customers, 1).astype(np.int64), WIDTH
+        left = np.flatnonzero(customers > 1)
+        left = left[np.argsort(customers[left], kind="stable")]
+        while len(left):
+            own, wider, columns = customers[left], [], max(1, RATIOS // width)
+            n, number = np.unique(own, return_inverse=True)
+            for begin in range(0, len(n), columns):
+                a, end = np.searchsorted(number, [begin, begin + columns]).tolist()
+                ratio, column = self.ratios(n[begin : begin + columns], width)
+                while a < end:
+                    b = min(end, int(np.searchsorted(own, 2 * own[a])), a + max(1, ODDS // min(width, 2 * int(own[a]))))
+                    pair, most = left[a:b], min(width, int(own[b - 1]))
+                    now[pair], done = self.draw(own[a:b], mass[pair], slope[pair], ratio[: most - 1, column[number[a:b] - begin]])
+                    wider.append(pair[~done])
+                    a = b
+            left, width = np.concatenate(wider), 8 * width
+        return now
+
+    def draw(self, customers: np.ndarray, mass: np.ndarray, slope: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of pairs with such ratios (a column each), and whether there are no odds for more."""
+        most = len(ratio) + 1
+        odds = np.zeros((most, len(customers)))
+        with np.errstate(divide="ignore"):
+            np.log((mass + slope * np.arange(1, most)[:, None]) * ratio, out=odds[1:])
+        falling = odds[-1] < 0
+        np.cumsum(odds, axis=0, out=odds)
+        np.exp(odds - odds.max(axis=0), out=odds)
+        done = (customers <= most) | ((odds[-1] < NO_ODDS) & falling)
+        np.cumsum(odds, axis=0, out=odds)
+        above = (odds[:-1] <= self.chance.random(len(customers)) * odds[-1]).sum(axis=0)
+        return np.minimum(1 + above, customers), done
+
+
+def sampled(
+    customers: np.ndarray, many: np.ndarray, state: tuple[np.ndarray, np.ndarray], mass: np.ndarray, slope: np.ndarray, drawing: Drawing
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each pair after all its customers were seated again, and the sizes of the tables
+    of those that have ``many``."""
+    tables = drawing.tables(np.where(many, 0, customers), mass, slope)
+    tables[many], sizes = reseated(customers[many], (state[0][many], state[1]), mass[many], slope[many], drawing.discount, drawing.chance)
+    return tables, sizes
+
+
 def sweep(batches: Iterator[pd.DataFrame], totals: Totals, sweeps: int, discard: int, turn: int) -> Iterator[pd.DataFrame]:
     """Sample the seating ``sweeps`` times, from the one before (``seats``, ``parent_seats``) if
     there is one. ``samples`` are the tables after each sweep but the first ``discard``, ``tables`` their mean."""
@@ -421,15 +549,18 @@ def sweep(batches: Iterator[pd.DataFrame], totals: Totals, sweeps: int, discard:
                 state, parent_state = (tables, wide(row.seats)), (parent_tables, wide(row.parent_seats))
             # Of other words; this word's tables are counted as they stand.
             others, parent_others = context_tables - tables, totals.parent_tables - parent_tables
+            many, parent_many = counts > DRAWN, np.bincount(owner[counts > 0], minlength=len(sizes)) > PARENT_DRAWN
+            drawing, parent_drawing = Drawing(totals.discount, chance), Drawing(totals.parent_discount, chance)
             share, samples, parent_samples = 1 / (totals.vocabulary + 1), [], []
             for k in range(sweeps):
                 parent = totals.parent(np.bincount(owner, tables, len(sizes)), parent_tables)[owner]
-                state = reseated(counts, state, (THETA + totals.discount * others) * parent, totals.discount * parent, totals.discount, chance)
+                mass, slope = (THETA + totals.discount * others) * parent, totals.discount * parent
+                state = sampled(counts, many, state, mass, slope, drawing)
                 tables = state[0]
                 customers = np.bincount(owner, tables, len(sizes)).astype(np.int64)
                 mass = (THETA + totals.parent_discount * parent_others) * share
                 slope = np.full(len(sizes), totals.parent_discount * share)
-                parent_state = reseated(customers, parent_state, mass, slope, totals.parent_discount, chance)
+                parent_state = sampled(customers, parent_many, parent_state, mass, slope, parent_drawing)
                 parent_tables = parent_state[0]
                 if k >= discard:
                     samples.append(tables)

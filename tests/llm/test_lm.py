@@ -170,3 +170,62 @@ def test_copies_of_earlier_rounds_are_deleted(spark, docs_of):
     got = lm.scores(docs_of([(k, prose(k, 60)) for k in range(20)]))
     assert got.count() == 20 and len({*folder.glob("sourceloom-*")} - before) == 2
     assert got.count() == 20  # what is left can be read again
+
+
+def exact_odds(customers, mass, slope, discount):
+    """Of each number of tables, where ``t`` have the odds ``mass * (mass + slope) * ..`` times a generalised Stirling number."""
+    ways = [0.0, 1.0]
+    for n in range(1, customers):
+        ways = [0.0, *(ways[t - 1] + (n - discount * t) * (ways[t] if t <= n else 0.0) for t in range(1, n + 2))]
+        ways = [w / sum(ways) for w in ways]
+    odds = np.array(ways) * np.cumprod([1.0, mass, *(mass + slope * t for t in range(1, customers))])
+    return odds / odds.sum()
+
+
+def test_tables_drawn_at_once_have_their_exact_odds(monkeypatch):
+    """Also where the odds run out only beyond the first width, and of mixed numbers of customers."""
+    chance = np.random.default_rng(8)
+    kinds = [(1, 0.5, 0.1), (2, 0.4, 0.1), (3, 2.0, 0.0), (7, 1e-9, 1e-9), (12, 0.3, 0.2), (60, 1.5, 0.3), (90, 9.0, 0.4), (70, 80.0, 0.0)]
+    customers, mass, slope = (np.repeat(x, 8_000) for x in zip(*kinds, strict=True))
+    for width, ratios in ((lm.WIDTH, lm.RATIOS), (4, 40)):
+        monkeypatch.setattr(lm, "WIDTH", width)
+        monkeypatch.setattr(lm, "RATIOS", ratios)
+        lm.first_ratios.cache_clear()
+        mixed = chance.permutation(len(customers))
+        got = np.empty(len(customers), np.int64)
+        got[mixed] = lm.Drawing(0.5, chance).tables(customers[mixed], mass[mixed], slope[mixed])
+        for k, kind in enumerate(kinds):
+            want = exact_odds(*kind, 0.5)
+            seen = np.bincount(got[k * 8_000 : (k + 1) * 8_000], minlength=len(want)) / 8_000
+            assert len(seen) == len(want) and np.abs(np.cumsum(seen) - np.cumsum(want)).max() < 0.025
+    lm.first_ratios.cache_clear()
+
+
+def test_pairs_are_seated_one_by_one_only_if_large(docs_of, monkeypatch):
+    rows = [(k, " ".join(["a b"] * 300) + " " + prose(k, 60)) for k in range(30)]
+    seated, one_by_one = [], lm.Seating.turn
+
+    def counted(self, *how):
+        seated.append(self.n)
+        return one_by_one(self, *how)
+
+    packed = docs_of(rows).select("text").mapInArrow(lambda it: lm.count_batches(it, 1), lm.COUNTS)
+    merged = packed.groupBy("part").applyInPandas(lm.merge, lm.COUNTS).toPandas().assign(tables=None, parent_tables=None)
+    counts, number = np.frombuffer(merged.counts[0], np.int64), lm.numbers(next(merged.itertuples()))
+    tables, vocabulary = np.bincount(number).astype(float), len(np.frombuffer(merged.sizes[0], np.int32))
+    totals = lm.Totals(np.bincount(number, counts), tables, tables.sum(), vocabulary, vocabulary, 0.7, 0.6)
+    monkeypatch.setattr(lm.Seating, "turn", counted)
+    first = next(lm.sweep(iter([merged]), totals, 1, 0, 1))
+    list(lm.sweep(iter([first]), totals, 2, 0, 2))
+    assert sum((counts > lm.DRAWN).tolist()) == 2 and [n.tolist() for n in seated] == [sorted(counts[counts > lm.DRAWN].tolist(), reverse=True)] * 6
+
+
+def test_order_of_hashes_whose_first_bits_are_alike():
+    chance = np.random.default_rng(9)
+    for x in (chance.integers(0, 1 << 64, 5_000, np.uint64), chance.integers(0, 40, 5_000).astype(np.uint64), np.empty(0, np.uint64), np.full(3, (1 << 64) - 1, np.uint64)):
+        order = lm.order_of(x)
+        assert (x[order] == np.sort(x)).all() and sorted(order.tolist()) == list(range(len(x)))
+        distinct, number = lm.numbered(x)
+        assert distinct.tolist() == sorted({*x.tolist()}) and (distinct[number] == x).all()
+        other = np.roll(x, 1) // np.uint64(3)
+        assert (lm.order_of_pairs(x, other) == np.lexsort((other, x))).all()
