@@ -4,7 +4,7 @@ Equal sets are one node. A global order of shingles, rare ones first, comes from
 all documents, hashed to a fixed number (the order only has to be the same everywhere).
 Similar sets share a shingle among the first few of that order (the prefix), so the index
 has prefixes alone: lists of the sets that hold a shingle, with sizes and positions.
-Lists with the same members are one list.
+Lists with the same members are one list. Prefixes are deleted as soon as the lists are made of them.
 
 A set's answers lead to those of sets much like it. First every list has one leader, whose
 pairs with the members are verified; sets linked so far are related. Sets outside a list's
@@ -417,8 +417,12 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>"
     found = kept(docs.mapInArrow(lambda it: prefixes(it, size, percent, level.value), schema))
     some = found.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = kept(some.withColumn("node", F.monotonically_increasing_id()))
-    lists = shared_lists(nodes)
+    with_prefix = kept(some.withColumn("node", F.monotonically_increasing_id()))
+    rows = kept(found.drop("prefix"))
+    dropped(spark, found)
+    lists = shared_lists(with_prefix)
+    nodes = kept(with_prefix.drop("prefix"))
+    dropped(spark, with_prefix)
     known = fetched(lists.select("node").distinct(), nodes, docs, size, profiles, "profile", "binary")
     pairs = kept(leader_pairs(lists, percent))
     edges = verified(pairs, known, nodes, docs, size, percent)
@@ -431,6 +435,6 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = linked_nodes.join(nodes.select("node", "hi", "lo", "rep"), "node")
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = classes.join(least, "component").select("hi", "lo", "component_id")
-    rows = found.select("doc_id", "n", "hi", "lo").join(nodes.select("hi", "lo", "rep"), ["hi", "lo"], "left").join(classes, ["hi", "lo"], "left")
+    rows = rows.join(nodes.select("hi", "lo", "rep"), ["hi", "lo"], "left").join(classes, ["hi", "lo"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

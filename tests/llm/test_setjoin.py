@@ -133,3 +133,25 @@ def test_tables_that_were_read_are_deleted(spark):
     lists = setjoin.shared_lists(nodes)
     assert len({*folder.glob("sourceloom-*")} - before) == 1
     assert sorted((r.token, r.node) for r in lists.collect()) == [(5, 1), (5, 2), (6, 1), (6, 3), (7, 2), (7, 3)]
+
+
+def test_prefixes_are_deleted_once_lists_are_made(spark, docs_of, monkeypatch):
+    folder, seen = pathlib.Path(shared_folder(spark).removeprefix("file:")), []
+    before = {*folder.glob("sourceloom-*")}
+
+    def watched(name):
+        step = getattr(setjoin, name)
+
+        def run(*given):
+            tables = [spark.read.parquet(str(f)).columns for f in {*folder.glob("sourceloom-*")} - before]
+            seen.append((name, sum("prefix" in columns for columns in tables)))
+            return step(*given)
+
+        monkeypatch.setattr(setjoin, name, run)
+
+    for name in ("shared_lists", "leader_pairs"):
+        watched(name)
+    rows = family()
+    got = setjoin.linked(docs_of(rows), size=4, percent=85)
+    assert got.count() == len(rows) and got.count() == len(rows)
+    assert seen == [("shared_lists", 1), ("leader_pairs", 0)]
