@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.labels import relation_type
 from sourceloom.operators.analysis import analysis_documents, parse_analysis, response_documents
 from sourceloom.operators.edges import normalised_edges
+from sourceloom.operators.skew import PART_BYTES
 from sourceloom.plans import adapters as t
 from sourceloom.plans.registry import query
 from sourceloom.schemas import REFERENCE
@@ -26,9 +27,12 @@ where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders
   'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""")
 def scan(spark, sf):
     """The table files themselves, with the marks that their content begins and ends with."""
-    return scan_tree(spark, sf, ["parquet"]).select(
-        F.substring_index("path", "/", -1).alias("name"), F.left("content", F.lit(4)).alias("head"), F.right("content", F.lit(4)).alias("tail")
+    parts = scan_tree(spark, sf, ["parquet"], part_bytes=PART_BYTES).select(
+        "path", "part", F.left("content", F.lit(4)).alias("head"), F.right("content", F.lit(4)).alias("tail")
     )
+    # Dealt by path first, or else the sort below the aggregate would sort whole content.
+    marks = parts.repartition("path").groupBy("path").agg(F.min_by("head", "part").alias("head"), F.max_by("tail", "part").alias("tail"))
+    return marks.select(F.substring_index("path", "/", -1).alias("name"), "head", "tail")
 
 
 @query("a1_tree_source", """
